@@ -37,28 +37,28 @@ def row_count(columns):
     return total([c.isNotNull().cast("int") for c in columns])
 
 
-def row_median(columns):
-    """Median over columns of one row, skipping missing ones."""
-    width = len(columns)
-    if width == 1:
-        return columns[0]
-    ordered = F.sort_array(F.array(*columns))  # missing ones come first
-    n = row_count(columns)
-    low = F.get(ordered, F.lit(width) - n + F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ordered, F.lit(width) - n + F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
-
-
-def row_mean(columns):
-    n = row_count(columns)
-    return total([F.coalesce(c, F.lit(0.0)) for c in columns]) / F.nullif(n, F.lit(0))
-
-
-def row_std(columns, mean: Column):
-    """Sample standard deviation over columns of one row, given their mean."""
-    n = row_count(columns)
-    squares = total([F.coalesce((c - mean) * (c - mean), F.lit(0.0)) for c in columns])
-    return F.when(n > 1, F.sqrt(squares / F.nullif(n - 1, F.lit(0))))
+def with_row_stats(df, columns, median=None, mean=None, std=None):
+    """Adds median, mean and sample deviation over columns of one row, skipping missing ones.
+
+    Shared parts are columns of their own, so that they are computed once per row however
+    often they are used.
+    """
+    columns = [clean_number(c) for c in columns]
+    width, n, kept = len(columns), F.col("_n"), df.columns
+    df = df.withColumn("_n", row_count(columns))
+    if median:
+        df = df.withColumn("_sorted", F.sort_array(F.array(*columns)))  # missing ones come first
+        low = F.get("_sorted", F.shiftright(n - 1, 1) + width - n)
+        high = F.get("_sorted", F.shiftright(n, 1) + width - n)
+        df = df.withColumn(median, F.when(n > 0, (low + high) / 2))
+    if mean or std:
+        mid = mean or "_mean"
+        sums = total([F.coalesce(c, F.lit(0.0)) for c in columns])
+        df = df.withColumn(mid, sums / F.nullif(n, F.lit(0)))
+        if std:
+            squares = total([F.coalesce((c - F.col(mid)) * (c - F.col(mid)), F.lit(0.0)) for c in columns])
+            df = df.withColumn(std, F.when(n > 1, F.sqrt(squares / F.nullif(n - 1, F.lit(0)))))
+    return df.select(*kept, *[name for name in (median, mean, std) if name])
 
 
 def between_ranks(low: Column, high: Column, weight: Column) -> Column:

@@ -4,11 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..defaults import DATA_OFFSET, MODELS, THRESHOLD, VALUE
-from ..functions.expr import clean_number, ratio, total
+from ..functions.expr import clean_number, ratio, total, with_row_stats
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import lookup, stage
-from .errors import dataset_keys, median_prediction
+from .errors import dataset_keys
 
 KINDS = ("abs", "rel", "both")
 
@@ -22,17 +22,25 @@ def falling(thresholds):
     return sorted(set(as_list(thresholds)), reverse=True)
 
 
-def error_columns(models, value, offsets, kinds):
-    """Error columns by name. Relative errors keep the sign of their denominator."""
-    size = {m: F.abs(clean_number(m) - clean_number(value)) for m in models}
-    columns = {}
-    if "abs" in kinds or "both" in kinds:
-        columns.update({f"_abs_{m}": size[m] for m in models})
-    if "rel" in kinds or "both" in kinds:
-        for j, d in enumerate(offsets):
-            centre = median_prediction(models) + F.lit(d)
-            columns.update({f"_rel{j}_{m}": ratio(size[m], centre) for m in models})
-    return columns
+def with_errors(df, models, value, offsets, kinds, carry):
+    """``carry`` and the error columns, with the names of the latter.
+
+    ``_abs_<model>``, and ``_rel<j>_<model>`` for the j-th offset. Relative errors keep the sign
+    of their denominator. Each step is a projection of its own: what is used often is not
+    repeated.
+    """
+    names = [f"_abs_{m}" for m in models]
+    relative = "rel" in kinds or "both" in kinds
+    df = df.withColumn("_y", clean_number(value))
+    if relative:
+        df = with_row_stats(df, models, "_centre")
+    rows = df.select(*carry, *(["_centre"] if relative else []), *[F.abs(clean_number(m) - F.col("_y")).alias(f"_abs_{m}") for m in models])
+    if relative:
+        rows = rows.withColumns({f"_den{j}": F.col("_centre") + F.lit(d) for j, d in enumerate(offsets)})
+        ratios = {f"_rel{j}_{m}": ratio(F.col(f"_abs_{m}"), F.col(f"_den{j}")) for j in range(len(offsets)) for m in models}
+        names = (names if "abs" in kinds or "both" in kinds else []) + list(ratios)
+        rows = rows.withColumns(ratios)
+    return rows.select(*carry, *names), names
 
 
 def _cut_arrays(errors, keys, names, thresholds, null_policy, method):
@@ -48,9 +56,8 @@ def cutoffs(
     """The error each model's marks start at, per dataset, kind, offset and threshold."""
     keys, offsets = dataset_keys(df, keys), as_list(data_offsets)
     thresholds = falling(thresholds)
-    columns = error_columns(models, value, offsets, kinds)
-    errors = df.select(*keys, *[c.alias(n) for n, c in columns.items()])
-    cuts = _cut_arrays(errors, keys, list(columns), thresholds, null_policy, method)
+    errors, columns = with_errors(df, models, value, offsets, kinds, keys)
+    cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy, method)
     cells = []
     for m in models:
         for i, t in enumerate(thresholds):
@@ -84,10 +91,9 @@ def card_levels(
     ``_k_abs_<model>`` and ``_k_rel<j>_<model>`` for the j-th offset. ``carry`` names the
     columns to keep (default: all).
     """
-    columns = error_columns(models, value, offsets, kinds)
     carry = df.columns if carry is None else list(carry)
-    errors = df.select(*carry, *[c.alias(n) for n, c in columns.items()])
-    cuts = _cut_arrays(errors, list(keys), list(columns), thresholds, null_policy, method)
+    errors, columns = with_errors(df, models, value, offsets, kinds, carry)
+    cuts = _cut_arrays(errors, list(keys), columns, thresholds, null_policy, method)
     rows = lookup(errors, cuts, keys)
     rows = count_passed(rows, {f"_k{n}": (n, f"_cut{n}") for n in columns}, len(thresholds))
     return rows.select(*carry, *[f"_k{n}" for n in columns])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..defaults import DATA_OFFSET, DATASET_KEYS, ENTRY_ID, MODELS, REF_VALUE, TOL, VALUE
-from ..functions.expr import clean_number, ratio, row_mean, row_median, row_std
+from ..functions.expr import clean_number, ratio, with_row_stats
 
 
 def dataset_keys(df: DataFrame, keys=None) -> list[str]:
@@ -43,22 +43,11 @@ def value_diffs(df: DataFrame, value=VALUE, ref=REF_VALUE, out="delta") -> DataF
     return df.withColumn(out, clean_number(value) - clean_number(ref))
 
 
-def median_prediction(models) -> Column:
-    return row_median([clean_number(m) for m in models])
-
-
 def basic_stats(df: DataFrame, models=MODELS, ref=None, value=VALUE, data_offset=DATA_OFFSET) -> DataFrame:
     """Adds centre and spread of the predictions and their distance from ``ref`` (default: own values)."""
     target = clean_number(ref or value)
-    predictions = [clean_number(m) for m in models]
-    df = df.withColumns({"p_median": row_median(predictions), "p_mean": row_mean(predictions)})
-    df = df.withColumns(
-        {
-            "p_std": row_std(predictions, F.col("p_mean")),
-            "d_mean_a": F.abs(F.col("p_mean") - target),
-            "d_median_a": F.abs(F.col("p_median") - target),
-        }
-    )
+    df = with_row_stats(df, models, "p_median", "p_mean", "p_std")
+    df = df.withColumns({"d_mean_a": F.abs(F.col("p_mean") - target), "d_median_a": F.abs(F.col("p_median") - target)})
     return df.withColumns(
         {
             "d_mean_r": ratio(F.col("d_mean_a"), F.col("p_mean") + F.lit(data_offset)),
@@ -71,9 +60,9 @@ def model_diffs(df: DataFrame, models=MODELS, ref=None, value=VALUE, data_offset
     """Long table of every model's error per entry, keeping id, dataset and ``carry`` columns."""
     kept = [c for c in (*DATASET_KEYS, ENTRY_ID) if c in df.columns] + list(carry)
     target = clean_number(ref or value)
-    wide = df.select(
+    wide = with_row_stats(df, models, "_median").select(
         *kept,
-        (median_prediction(models) + F.lit(data_offset)).alias("_centre"),
+        (F.col("_median") + F.lit(data_offset)).alias("_centre"),
         *[(clean_number(m) - target).alias(m) for m in models],
     )
     long = wide.unpivot([*kept, "_centre"], list(models), "model_name", "delta")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..defaults import DATA_OFFSET, MODELS, REF_VALUE, THRESHOLD, TOL, VALUE
-from ..functions.expr import clean_number, ratio
+from ..functions.expr import clean_number, ratio, with_row_stats
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import lookup, stage
 from .cards import cards
-from .errors import basic_stats, dataset_keys, is_modified, median_prediction, value_diffs
+from .errors import basic_stats, dataset_keys, is_modified, value_diffs
 from .features import histogram
 
 STATS = ("p_median", "p_mean", "p_std", "d_mean_a", "d_mean_r", "d_median_a", "d_median_r")
@@ -93,18 +93,17 @@ def model_error_summary(
         targets["noisy"] = ref
     if original is not None:
         targets["base"] = original
-    centre = median_prediction(models) + F.lit(data_offset)
-    cells, columns = [], {}
+    cells, sizes, ratios = [], {}, {}
     for kind, target in targets.items():
         for m in models:
-            size = F.abs(clean_number(m) - clean_number(target))
-            for delta_type, error in (("delta_abs", size), ("delta_rel", F.abs(ratio(size, centre)))):
-                name = f"_e{len(cells)}"
-                cells.append((kind, m, delta_type, name))
-                columns[name] = error
+            size, share = f"_a{len(cells)}", f"_r{len(cells)}"
+            sizes[size] = F.abs(clean_number(m) - clean_number(target))
+            ratios[share] = F.abs(ratio(F.col(size), F.col("_den")))
+            cells += [(kind, m, "delta_abs", size), (kind, m, "delta_rel", share)]
     ids = [*keys, "modified"] if split_modified and ref is not None else keys
     rows = df.withColumn("modified", is_modified(value, ref)) if ref is not None else df
-    rows = rows.select(*ids, *[c.alias(n) for n, c in columns.items()])
+    rows = with_row_stats(rows, models, "_median").withColumn("_den", F.col("_median") + F.lit(data_offset))
+    rows = rows.withColumns(sizes).withColumns(ratios).select(*ids, *sizes, *ratios)
     return _mean_and_median(rows, ids, cells, ("ref_type", "model_name", "delta_type"), method)
 
 

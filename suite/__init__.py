@@ -1,8 +1,8 @@
 """The registered queries and their SQL twins."""
 
-from . import cards, metrics
+from . import cards, cleaning, errors, injection, metrics, tables
 
-MODULES = (cards, metrics)
+MODULES = (tables, cleaning, injection, errors, cards, metrics)
 
 
 def all_queries():
