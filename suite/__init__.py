@@ -1,8 +1,8 @@
 """The registered queries and their SQL twins."""
 
-from . import cards, cleaning, errors, injection, metrics, tables
+from . import cards, cleaning, errors, features, injection, metrics, reports, tables
 
-MODULES = (tables, cleaning, injection, errors, cards, metrics)
+MODULES = (tables, cleaning, features, injection, errors, cards, metrics, reports)
 
 
 def all_queries():

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from outvote.operators import cleaning as P
+from outvote.operators.cards import cards
 
 from .fixtures import predictions, table
-from .sqltext import DS, with_preds
+from .sqltext import DS, marked_ctes, with_preds
 
 
 def values_above(spark, sf):
@@ -73,7 +74,8 @@ def long_to_wide(spark, sf):
 
 
 def chosen_groups(spark, sf):
-    return P.in_groups(predictions(spark, sf).withColumn("group_no", F.col("entry_id") % 6), "group_no", (4, 5)).select("entry_id", "var_add", "modified_pct", "group_no")
+    marked = cards(predictions(spark, sf), kinds=("abs",))
+    return P.in_groups(marked, "cards_abs", (4, 5)).select("entry_id", "var_add", "modified_pct", "cards_abs")
 
 
 QUERIES = {
@@ -107,5 +109,5 @@ SQL = {
         select l_returnflag, l_linestatus, 'quantity' as stat, quantity as value from rows union all select l_returnflag, l_linestatus, 'price', price from rows""",
     "long_to_wide": """select user_id, nullif(count(*) filter (event_type = 'click'), 0) as click, nullif(count(*) filter (event_type = 'view'), 0) as view,
         nullif(count(*) filter (event_type = 'error'), 0) as error from events group by user_id""",
-    "chosen_groups": with_preds() + f"select entry_id, {DS}, entry_id % 6 as group_no from preds where entry_id % 6 in (4, 5)",
+    "chosen_groups": with_preds(marked_ctes((5.0,), (1.5,))) + f"select entry_id, {DS}, cards_abs from marked where cards_abs in (4, 5)",
 }

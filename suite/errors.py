@@ -8,14 +8,16 @@ from outvote.defaults import MODELS
 from outvote.functions.expr import clean_round
 from outvote.operators import errors as R
 
-from .fixtures import entries, predictions
+from .fixtures import predictions, table
 from .sqltext import DS, median_of, r6, with_preds
 
 KEYS = ["entry_id", "var_add", "modified_pct"]
 
 
 def aligned_reference(spark, sf):
-    ref = entries(spark, sf).filter(F.col("entry_id") % 7 != 0)
+    ref = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(
+        F.col("o_orderkey").alias("entry_id"), F.col("o_totalprice").alias("values")
+    )
     return R.align_reference(predictions(spark, sf).drop("ref_values"), ref).select(*KEYS, "ref_values")
 
 
@@ -98,7 +100,7 @@ def _pairs_cte():
 
 
 SQL = {
-    "aligned_reference": with_preds("kept as (select o_orderkey as entry_id, o_totalprice as r from orders where o_orderkey % 7 <> 0)")
+    "aligned_reference": with_preds("kept as (select o_orderkey as entry_id, o_totalprice as r from orders where o_orderstatus = 'F')")
     + f"select entry_id, {DS}, r as ref_values from preds left join kept using (entry_id)",
     "modified_entries": with_preds() + f'select entry_id, {DS}, abs("values" - ref_values) > 1e-8 as modified from preds',
     "value_diffs": with_preds() + f"select entry_id, {DS}, " + r6('"values" - ref_values', "delta") + " from preds",

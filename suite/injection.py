@@ -30,8 +30,11 @@ def inject_shuffle_columns(spark, sf):
 
 def experiment_grid(spark, sf):
     """All 125 shift datasets, summed up per dataset."""
-    grid = J.experiment_grid(entries(spark, sf))
-    return grid.groupBy("var_add", "modified_pct").agg(F.count("*").alias("n"), clean_round(F.sum("values"), 2).alias("total"))
+    grid = J.experiment_grid(entries(spark, sf).withColumn("clean", F.col("values")))
+    changed = F.count_if(F.col("values") != F.col("clean"))
+    return grid.groupBy("var_add", "modified_pct").agg(
+        F.count("*").alias("n"), changed.alias("n_modified"), clean_round(F.sum("values"), 0).alias("total")
+    )
 
 
 def experiment_grid_energy(spark, sf):
@@ -39,7 +42,7 @@ def experiment_grid_energy(spark, sf):
     rows = entries(spark, sf).withColumn("second", F.col("values") / 2)
     grid = J.experiment_grid(rows, deltas=J.SHIFTS_ENERGY, cols=("values", "second"), scale=-1000.0)
     return grid.groupBy("var_add", "modified_pct").agg(
-        F.count("*").alias("n"), clean_round(F.sum("values"), 2).alias("total"), clean_round(F.sum("second"), 2).alias("total_second")
+        F.count("*").alias("n"), clean_round(F.sum("values"), 0).alias("total"), clean_round(F.sum("second"), 0).alias("total_second")
     )
 
 
@@ -48,7 +51,7 @@ def kfold(spark, sf):
 
 
 def _training(spark, sf):
-    """Line items with part facts; entry ids are a hash-free key: unique combination per row is made by aggregation."""
+    """Orders with facts summed up from their line items and parts; the label is the order's price."""
     lines = table(spark, sf, "lineitem").join(
         table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"),
         F.col("l_partkey") == F.col("p_partkey"),
@@ -119,11 +122,11 @@ select entry_id, {out} from entries left join swap on entry_id = eid"""
 
 def _grid_sql(deltas, scale, second):
     g = values_table("rates", "r", [(num(r),) for r in J.RATES]), values_table("deltas", "d", [(num(d),) for d in deltas])
-    extra = f", round(sum(\"values\" / 2 + case when rk <= floor(r / 100 * n) then d * {num(scale)} else 0 end), 2) as total_second" if second else ""
+    extra = f", round(sum(\"values\" / 2 + case when rk <= floor(r / 100 * n) then d * {num(scale)} else 0 end), 0) as total_second" if second else ", count(*) filter (rk <= floor(r / 100 * n)) as n_modified"
     return (
         _DRAWN
         + f""", {g[0]}, {g[1]}
-select d as var_add, r as modified_pct, count(*) as n, round(sum("values" + case when rk <= floor(r / 100 * n) then d * {num(scale)} else 0 end), 2) as total{extra}
+select d as var_add, r as modified_pct, count(*) as n, round(sum("values" + case when rk <= floor(r / 100 * n) then d * {num(scale)} else 0 end), 0) as total{extra}
 from drawn, rates, deltas group by d, r"""
     )
 
