@@ -211,10 +211,10 @@ def clipped_density(stats: DataFrame, stat: str, group="group_no", bins=50, uppe
     Values outside are left out; each group's density covers its counted rows.
     """
     rows = stats.select(F.col(group), F.col(stat).alias("_x"))
-    top = stage(exact_quantiles(rows, [], ["_x"], [upper], "skip", method).select(F.get("_x", 0).alias("top"))).scalar()
-    steps = F.array(*[F.lit(i) for i in range(bins)])
-    rows = rows.withColumn("_top", top)
-    rows = rows.withColumn("_edges", F.concat(F.transform(steps, lambda i: i * (F.col("_top") / bins)), F.array("_top")))
+    top = exact_quantiles(rows, [], ["_x"], [upper], "skip", method).select(F.get("_x", 0).alias("top"))
+    inner = F.transform(F.array(*[F.lit(i) for i in range(bins)]), lambda i: i * (F.col("top") / bins))
+    edges = stage(top.select(F.concat(inner, F.array("top")).alias("edges"))).scalar()  # made once, not per row
+    rows = rows.withColumn("_edges", edges).withColumn("_top", F.get("_edges", bins))
     rows = count_passed(rows, {"_bin": ("_x", "_edges")}, bins + 1)
     at = F.when(F.col("_x") == F.col("_top"), F.lit(bins - 1)).otherwise(F.col("_bin") - 1)
     counts = (

@@ -11,7 +11,11 @@ def count_passed(df: DataFrame, probes, width: int, strict=False) -> DataFrame:
     length. One projection per halving step covers all probes, so the generated code stays
     small however many cuts there are. A missing value or array gives 0; with ``strict`` the
     value must exceed the cut.
+
+    The result passes through a one-row generator: a filter on it would otherwise be pushed
+    below all steps, doubling in size at each.
     """
+    kept = df.columns
     df = df.withColumns({out: F.lit(0) for out in probes})
     step = 1 << (width.bit_length() - 1)
     while step:
@@ -22,4 +26,5 @@ def count_passed(df: DataFrame, probes, width: int, strict=False) -> DataFrame:
             moves[out] = F.when(reached, F.col(out) + step).otherwise(F.col(out))
         df = df.withColumns(moves)
         step >>= 1
-    return df
+    found = F.array(F.struct(*probes))
+    return df.select(*kept, F.inline(found))

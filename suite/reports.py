@@ -151,7 +151,7 @@ stats as (select c.*, t, modified, cards_abs, cards_both, sqrt(({" + ".join(f"({
 _EIGHTHS = "[" + ", ".join(num(q) for q in T.EIGHTHS) + "]"
 _DENSITY = (
     "top as (select quantile_cont(d_median_a, 0.99::double) as top from stats), "
-    "placed as (select cards_abs, top, case when d_median_a = top then 49 else list_count(list_filter(list_transform(range(51), i -> case when i = 50 then top else i * (top / 50) end), e -> e <= d_median_a)) - 1 end as bin from stats, top), "
+    "placed as (select cards_abs, top, case when d_median_a = top then 49 else list_count(list_filter(list_transform(range(51), lambda i: case when i = 50 then top else i * (top / 50) end), lambda e: e <= d_median_a)) - 1 end as bin from stats, top), "
     "counts as (select cards_abs as group_no, bin::int as bin, top, count(*) as n from placed where bin between 0 and 49 group by all)"
 )
 SQL = {
