@@ -94,7 +94,7 @@ def card_levels(
     carry = df.columns if carry is None else list(carry)
     errors, columns = with_errors(df, models, value, offsets, kinds, carry)
     cuts = _cut_arrays(errors, list(keys), columns, thresholds, null_policy, method)
-    rows = lookup(errors, cuts, keys)
+    rows = lookup(errors, cuts, keys, "left", 100 + 8 * len(thresholds) * len(columns))
     rows = count_passed(rows, {f"_k{n}": (n, f"_cut{n}") for n in columns}, len(thresholds))
     return rows.select(*carry, *[f"_k{n}" for n in columns])
 

@@ -40,10 +40,11 @@ def dedup_keep_first(df: DataFrame, key, order) -> DataFrame:
     """
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
-    first = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in key]).agg(
-        F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
-    )
-    return first.select("_row.*")
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return first.select(*key, "_row.*").select(*df.columns)
 
 
 def float_columns(df: DataFrame, among=None) -> list[str]:

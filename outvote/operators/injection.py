@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..defaults import ENTRY_ID, SEED, VALUE
 from ..plans.ranks import at_or_before, distributed_rank, draw_bucket, draw_key, rank_cuts
+from ..plans.staging import stage
 
 # The published experiment plans.
 RATES = (0.5, 1.0, 2.5, 5.0, 10.0)
@@ -30,10 +31,13 @@ def sample_size(pct, n):
 
 
 def draw_cuts(df: DataFrame, ranks, id_col=ENTRY_ID, seed=SEED):
-    """``df`` with its draw key, and the array of order values found at ``ranks(n)``."""
+    """``df`` with its draw key, and the array of order values found at ``ranks(n)``.
+
+    The one row of cuts is staged: results that are read again do not look for it again.
+    """
     keyed = df.withColumn("_draw", draw_key(id_col, seed))
     cuts = rank_cuts(keyed, ["_draw", id_col], draw_bucket(F.col("_draw")), ranks)
-    return keyed, cuts.scalar()
+    return keyed, stage(cuts).scalar()
 
 
 def _sampled(df, pct, id_col, seed):

@@ -289,7 +289,7 @@ def quantile_baseline(
     rows = basic_stats(rows, models, None, value, data_offset).select(*keys, "_mod", "d_median_a")
     cuts = exact_quantiles(rows, keys, ["d_median_a"], [t / 100 for t in steps], "skip", method)
     cuts = stage(cuts.select(*keys, F.col("d_median_a").alias("_cuts")))
-    rows = count_passed(lookup(rows, cuts, keys), {"_level": ("d_median_a", "_cuts")}, len(steps), strict=True)
+    rows = count_passed(lookup(rows, cuts, keys, "left", 100 + 8 * len(steps)), {"_level": ("d_median_a", "_cuts")}, len(steps), strict=True)
     levels = rows.groupBy(*keys, "_mod", "_level").agg(F.count("*").alias("cnt"))
     by_threshold = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(t).alias("threshold")) for i, t in enumerate(steps)])
     hit = F.when(F.col("_level") > F.col("_i"), F.col("cnt")).otherwise(0)

@@ -112,7 +112,7 @@ def _mean_and_median(rows, ids, cells, labels, method):
     names = [c[-1] for c in cells]
     means = rows.groupBy(*ids).agg(*[F.avg(n).alias(f"_mean{n}") for n in names])
     medians = stage(exact_quantiles(rows, ids, names, [0.5], "skip", method))
-    both = lookup(means, medians, ids, "inner")
+    both = lookup(means, medians, ids, "inner", 100 + 24 * len(names))
     out = F.array(
         *[
             F.struct(

@@ -1,6 +1,6 @@
 """Exact linear-interpolation quantiles per dataset, for several columns in one pass.
 
-Small datasets are sorted inside one task each. Past ``SORT_ROWS`` rows in any dataset the
+Small inputs are sorted, each dataset inside one task. Past ``SORT_VALUES`` values in all the
 same numbers come from bracketing: a mergeable sketch gives pivots around every wanted rank,
 one counting pass places all rows among the pivots and keeps only distinct values next to
 the wanted ranks, and those are ranked with a distributed sort. Sketch error costs time,
@@ -16,7 +16,7 @@ from .levels import count_passed
 from .ranks import running_total
 from .staging import fits_broadcast, lookup, stage
 
-SORT_ROWS = 1_000_000
+SORT_VALUES = 12_000_000  # some 300 MB as sorted lists, wherever they meet
 ACCURACY = 10_000
 
 
@@ -31,7 +31,7 @@ def exact_quantiles(df: DataFrame, keys, columns, qs, null_policy="poison", meth
         raise ValueError(f"unknown null_policy {null_policy!r}")
     df = df.select(*keys, *columns).dropna(subset=keys) if keys else df.select(*columns)
     if method == "auto":
-        method = "sort" if _largest_dataset(df, keys) <= SORT_ROWS else "bracket"
+        method = "sort" if df.count() * len(columns) <= SORT_VALUES else "bracket"
     if method == "sort":
         stats = _by_sorting(df, keys, columns, qs)
     elif method == "bracket":
@@ -47,11 +47,6 @@ def exact_quantiles(df: DataFrame, keys, columns, qs, null_policy="poison", meth
     return stats.select(*out)
 
 
-def _largest_dataset(df, keys):
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
 def _place(q, n):
     """Zero-based lower rank, upper rank and weight of the upper one."""
     at = (n - 1) * q
@@ -96,7 +91,7 @@ def _by_bracketing(df, keys, columns, qs, accuracy=ACCURACY, margin=None):
 
     # Place every value among the pivots: even buckets are gaps, odd ones are the pivots.
     pivots = sketch.select(*keys, *[f"_p_{c}" for c in columns])
-    rows = lookup(df, pivots, keys, "inner")
+    rows = lookup(df, pivots, keys, "inner", 100 + 8 * len(levels) * len(columns))
     rows = count_passed(rows, {f"_b_{c}": (c, f"_p_{c}") for c in columns}, len(levels))
     cells = F.array(
         *[

@@ -5,14 +5,15 @@ Parquet table below the session's checkpoint folder, so that it survives the los
 executors.
 """
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# 20 000 datasets with 5 models, 4 kinds of error and 15 cutoffs each are about 48 MB.
-BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 64 << 20
 _LOCAL_DIR = "spark.outvote.localStaging"
 _staged: list[str] = []
 
@@ -24,6 +25,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="outvote-")
+        atexit.register(shutil.rmtree, named, True)
         spark.conf.set(_LOCAL_DIR, named)
     return named.rstrip("/")
 
@@ -48,20 +50,25 @@ def release(spark: SparkSession) -> int:
     return dropped
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Counts at most ``max_rows + 1`` rows. Give it a staged frame: this is an action."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, row_bytes: int = 200) -> bool:
+    """Whether so many rows of about this size stay below the broadcast budget.
+
+    Counts no more rows than the budget allows. Give it a staged frame: this is an action.
+    """
+    most = max(BROADCAST_BYTES // row_bytes, 1)
+    return df.limit(most + 1).count() <= most
 
 
-def lookup(df: DataFrame, small: DataFrame, keys, how="left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup(df: DataFrame, small: DataFrame, keys, how="left", row_bytes: int = 200) -> DataFrame:
     """Join per-key facts to rows: broadcast after a row count, else a shuffled join.
 
-    ``small`` must be staged (it is counted, then read again). The shuffled join relies on
-    adaptive execution to split a dataset that holds a large share of the rows.
+    ``small`` must be staged (it is counted, then read again) and have one row per key. The
+    shuffled join relies on adaptive execution to split a key that holds a large share of
+    the rows.
     """
     if not keys:
-        row = F.broadcast(small.withColumn("_one", F.lit(1)))
+        row = F.broadcast(small.withColumn("_one", F.lit(1)))  # one row
         return df.withColumn("_one", F.lit(1)).join(row, "_one", how).drop("_one")
-    if fits_broadcast(small, max_rows):
+    if fits_broadcast(small, row_bytes):
         small = F.broadcast(small)
     return df.join(small, list(keys), how)
