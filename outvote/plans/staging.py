@@ -30,23 +30,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path for a table of this run."""
+    return f"{checkpoint_dir(spark)}/outvote-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark, path):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def written(spark: SparkSession, path: str) -> None:
+    """Marks a written table to be deleted by ``release`` or when the driver ends."""
+    files, target = _hadoop(spark, path)
+    files.deleteOnExit(target)
+    _staged.append(path)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a frame over what was written."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/outvote-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    _staged.append(path)
+    written(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables staged by this process; frames built on them become unreadable."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Delete the tables staged so far; frames built on them become unreadable."""
     dropped = 0
     while _staged:
-        path = hadoop.Path(_staged.pop())
-        dropped += bool(path.getFileSystem(conf).delete(path, True))
+        files, target = _hadoop(spark, _staged.pop())
+        dropped += bool(files.delete(target, True))
     return dropped
 
 

@@ -1,26 +1,21 @@
 """Sources and sinks."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from outvote.functions.expr import clean_round
 from outvote.operators.features import fit_scaler
-from outvote.plans.staging import checkpoint_dir
+from outvote.plans.staging import new_path, written
 from outvote.sources import tables as S
 
 from .fixtures import descriptors, predictions, table
 from .sqltext import DS, r6, with_preds
 
 
-def _fresh(spark):
-    return f"{checkpoint_dir(spark)}/outvote-{uuid.uuid4().hex}"
-
-
 def csv_round_trip(spark, sf):
-    path = _fresh(spark)
+    path = new_path(spark)
     rows = table(spark, sf, "events").select("event_id", "event_type", "value")
     S.write_table(rows, path, fmt="csv")
+    written(spark, path)
     return S.read_table(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE").filter("value > 100")
 
 
@@ -41,16 +36,18 @@ def load_predictions(spark, sf):
 
 
 def partitioned_write(spark, sf):
-    path = _fresh(spark)
+    path = new_path(spark)
     S.write_table(predictions(spark, sf), path)
+    written(spark, path)
     back = S.read_table(spark, path, fmt="parquet")
     return back.groupBy("var_add", "modified_pct").agg(F.count("*").alias("n"), clean_round(F.sum("values"), 2).alias("total"))
 
 
 def scaler_params_round_trip(spark, sf):
-    path = _fresh(spark)
+    path = new_path(spark)
     fitted = fit_scaler(descriptors(spark, sf), ("l_quantity", "l_tax")).orderBy("position").collect()
     S.save_params(spark, path, [r["name"] for r in fitted], [r["mean"] for r in fitted], [r["scale"] for r in fitted])
+    written(spark, path)
     names, means, scales = S.load_params(spark, path)
     rows = descriptors(spark, sf)
     scaled = [clean_round(F.max((F.col(n) - m) / s), 6).alias(f"max_{n}") for n, m, s in zip(names, means, scales)]
@@ -58,9 +55,10 @@ def scaler_params_round_trip(spark, sf):
 
 
 def row_mask(spark, sf):
-    path = _fresh(spark)
+    path = new_path(spark)
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("entry_id"), F.col("o_totalprice").alias("values"))
     S.save_mask(rows.filter("values > 200000"), path)
+    written(spark, path)
     return S.apply_mask(rows, spark, path)
 
 
