@@ -84,30 +84,51 @@ def cutoffs(
 def card_levels(
     df: DataFrame, models, thresholds, offsets, kinds, value=VALUE, keys=(), null_policy="poison", method="auto", carry=None,
 ) -> DataFrame:
-    """Adds, per model, how many of the thresholds it marks the row at.
+    """Adds, per kind and model, how many of the thresholds the model marks the row at.
 
     A model that marks a row at a strict threshold marks it at every looser one, so one small
     number says it all: row marked at the i-th loosest threshold <=> level > i. Columns are
-    ``_k_abs_<model>`` and ``_k_rel<j>_<model>`` for the j-th offset. ``carry`` names the
-    columns to keep (default: all).
+    ``_k_<kind>_<model>``. If relative errors take part there is one row per offset, numbered
+    ``_j``; else ``_j`` is 0. ``carry`` names the columns to keep (default: all).
     """
-    carry = df.columns if carry is None else list(carry)
+    keys, carry = list(keys), df.columns if carry is None else list(carry)
     errors, columns = with_errors(df, models, value, offsets, kinds, carry)
-    cuts = _cut_arrays(errors, list(keys), columns, thresholds, null_policy, method)
-    rows = lookup(errors, cuts, keys, "left", 100 + 8 * len(thresholds) * len(columns))
-    rows = count_passed(rows, {f"_k{n}": (n, f"_cut{n}") for n in columns}, len(thresholds))
-    return rows.select(*carry, *[f"_k{n}" for n in columns])
+    cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy, method)
+    absolute = [f"_abs_{m}" for m in models if f"_abs_{m}" in columns]
+
+    def by_offset(prefix):
+        """One entry per offset, with its own relative columns under common names."""
+        return F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(j).alias("_j"), *[F.col(f"{prefix}_rel{j}_{m}").alias(f"{prefix}_rel_{m}") for m in models])
+                    for j in range(len(offsets))
+                ]
+            )
+        )
+
+    on, names = keys, absolute
+    if len(columns) > len(absolute):
+        errors = errors.select(*carry, *absolute, by_offset(""))
+        cuts = cuts.select(*keys, *[f"_cut{n}" for n in absolute], by_offset("_cut"))
+        on, names = [*keys, "_j"], absolute + [f"_rel_{m}" for m in models]
+    else:
+        errors = errors.withColumn("_j", F.lit(0))
+    rows = lookup(errors, cuts, on, "left", 100 + 8 * len(thresholds) * len(names))
+
+    pair = {n: (n, f"_cut{n}") for n in names}
+    probes = {f"_k{n}": pair[n] for n in names if n.split("_")[1] in kinds}
+    least = {}
+    if "both" in kinds and "abs" in kinds and "rel" in kinds:
+        least = {f"_k_both_{m}": F.least(f"_k_abs_{m}", f"_k_rel_{m}") for m in models}
+    elif "both" in kinds:
+        probes.update({f"_k_both_{m}": [pair[f"_abs_{m}"], pair[f"_rel_{m}"]] for m in models})
+    rows = count_passed(rows, probes, len(thresholds))
+    return rows.withColumns(least).select(*carry, "_j", *[f"_k_{kind}_{m}" for kind in kinds for m in models])
 
 
-def level_sets(models, offsets, kind):
-    """For each offset, one level column per model under a kind of error."""
-    absolute = [F.col(f"_k_abs_{m}") for m in models]
-    if kind == "abs":
-        return [absolute for _ in offsets]
-    relative = [[F.col(f"_k_rel{j}_{m}") for m in models] for j in range(len(offsets))]
-    if kind == "rel":
-        return relative
-    return [[F.least(a, r) for a, r in zip(absolute, rel)] for rel in relative]
+def level_columns(models, kind):
+    return [F.col(f"_k_{kind}_{m}") for m in models]
 
 
 def cards(
@@ -124,21 +145,18 @@ def cards(
     given = as_list(thresholds)
     steps = falling(given)
     levels = card_levels(df, models, steps, offsets, kinds, value, keys, null_policy, method)
+    by_offset = tuple(kinds) != ("abs",)
     grid = F.array(
         *[
-            F.struct(F.lit(t).alias("threshold_pct"), F.lit(d).alias("data_offset"), F.lit(steps.index(t)).alias("_i"), F.lit(j).alias("_j"))
+            F.struct(F.lit(t).alias("threshold_pct"), F.lit(steps.index(t)).alias("_i"), *([] if by_offset else [F.lit(d).alias("data_offset")]))
             for t in given
-            for j, d in enumerate(offsets)
+            for d in (offsets[:1] if by_offset else offsets)
         ]
     )
     out = levels.select(*levels.columns, F.inline(grid))
-    counts = {}
-    for kind in kinds:
-        by_offset = level_sets(models, offsets, kind)
-        if kind == "abs":
-            by_offset = by_offset[:1]
-        per_model = [by_offset[0][m] if len(by_offset) == 1 else F.get(F.array(*[s[m] for s in by_offset]), F.col("_j")) for m in range(len(models))]
-        counts[f"cards_{kind}"] = total([(k > F.col("_i")).cast("int") for k in per_model])
+    if by_offset:
+        out = out.withColumn("data_offset", F.get(F.array(*map(F.lit, offsets)), F.col("_j")))
+    counts = {f"cards_{kind}": total([(k > F.col("_i")).cast("int") for k in level_columns(models, kind)]) for kind in kinds}
     counts["cards_norm"] = F.lit(0)
     return out.withColumns(counts).select(*df.columns, "threshold_pct", "data_offset", *counts)
 

@@ -12,7 +12,7 @@ from ..functions.expr import INF, f1_columns, total
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import lookup, stage
-from .cards import as_list, card_levels, falling, level_sets
+from .cards import as_list, card_levels, falling, level_columns
 from .errors import align_reference, basic_stats, dataset_keys, is_modified
 
 METRICS = ("group_len", "group_pos", "group_ratio", "group_pos_ratio", "precision", "recall", "f1")
@@ -51,7 +51,7 @@ def dataset_totals(df: DataFrame, reference=REF_VALUE, value=VALUE, data_offsets
     return totals.select(*keys, F.explode(offsets).alias("data_offset"), "ds_pos", "neg_ds", "ds_len")
 
 
-def _at_least_counts(rows, keys, sets, n_thresholds):
+def _at_least_counts(rows, keys, levels, n_thresholds):
     """Rows with at least g marks: one row per dataset, offset number, known error, g and level.
 
     The g-th largest level of a row says at how many thresholds it has g or more marks, so
@@ -59,11 +59,8 @@ def _at_least_counts(rows, keys, sets, n_thresholds):
     multiplied by thresholds. With few thresholds rows first collapse to distinct level sets,
     of which there are at most C(T + m, m).
     """
-    m = len(sets[0])
-    numbered = F.array(
-        *[F.struct(F.lit(j).alias("_j"), F.sort_array(F.array(*s), asc=False).alias("_s")) for j, s in enumerate(sets)]
-    )
-    base = rows.select(*keys, "_mod", F.inline(numbered))
+    m = len(levels)
+    base = rows.select(*keys, "_j", "_mod", F.sort_array(F.array(*levels), asc=False).alias("_s"))
     if comb(n_thresholds + m, m) <= _CUBE_LIMIT:
         base = base.groupBy(*keys, "_j", "_mod", "_s").agg(F.count("*").alias("cnt"))
     else:
@@ -91,13 +88,13 @@ def classification_metrics(
     rows = _with_truth(df, reference, value, keys)
     n_models = len(models)
     if kind == "norm":
-        sets = [[F.lit(0)] * n_models]
+        rows, levels = rows.withColumn("_j", F.lit(0)), [F.lit(0)] * n_models
     else:
         rows = card_levels(rows, models, steps, offsets, (kind,), value, keys, null_policy, method, [*keys, "_mod"])
-        sets = level_sets(models, offsets, kind)
+        levels = level_columns(models, kind)
     # Absolute errors do not depend on the offset: count once, label with all.
     shared = kind in ("abs", "norm")
-    marks = _at_least_counts(rows, keys, sets[:1] if shared else sets, len(steps))
+    marks = _at_least_counts(rows, keys, levels, len(steps))
     return _metrics_from_marks(marks, keys, steps, offsets, n_models, shared, complete)
 
 

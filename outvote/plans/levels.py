@@ -1,5 +1,8 @@
 """Positions of row values among sorted per-dataset cuts."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,8 +10,9 @@ from pyspark.sql import functions as F
 def count_passed(df: DataFrame, probes, width: int, strict=False) -> DataFrame:
     """Adds, per probe, how many entries of an ascending array a value has reached.
 
-    ``probes`` maps a new column to (value column, array column); ``width`` is the array
-    length. One projection per halving step covers all probes, so the generated code stays
+    ``probes`` maps a new column to (value column, array column), or to several such pairs
+    where each value must have reached its own array's entry; ``width`` is the array length.
+    One projection per halving step covers all probes, so the generated code stays
     small however many cuts there are. A missing value or array gives 0; with ``strict`` the
     value must exceed the cut.
 
@@ -20,9 +24,12 @@ def count_passed(df: DataFrame, probes, width: int, strict=False) -> DataFrame:
     step = 1 << (width.bit_length() - 1)
     while step:
         moves = {}
-        for out, (value, cuts) in probes.items():
-            cut = F.get(F.col(cuts), F.col(out) + (step - 1))
-            reached = F.col(value) > cut if strict else F.col(value) >= cut
+        for out, pairs in probes.items():
+            tests = []
+            for value, cuts in [pairs] if isinstance(pairs, tuple) else pairs:
+                cut = F.get(F.col(cuts), F.col(out) + (step - 1))
+                tests.append(F.col(value) > cut if strict else F.col(value) >= cut)
+            reached = reduce(and_, tests)
             moves[out] = F.when(reached, F.col(out) + step).otherwise(F.col(out))
         df = df.withColumns(moves)
         step >>= 1

@@ -89,24 +89,27 @@ def _by_bracketing(df, keys, columns, qs, accuracy=ACCURACY, margin=None):
         aggs.append(F.percentile_approx(c, [float(u) for u in levels], accuracy).alias(f"_p_{c}"))
     sketch = stage(df.groupBy(*keys).agg(*aggs))
 
-    # Place every value among the pivots: even buckets are gaps, odd ones are the pivots.
-    pivots = sketch.select(*keys, *[f"_p_{c}" for c in columns])
-    rows = lookup(df, pivots, keys, "inner", 100 + 8 * len(levels) * len(columns))
-    rows = count_passed(rows, {f"_b_{c}": (c, f"_p_{c}") for c in columns}, len(levels))
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(number[c]).alias("col"),
-                F.col(c).alias("x"),
-                (
-                    2 * F.col(f"_b_{c}")
-                    - F.coalesce(F.get(F.col(f"_p_{c}"), F.col(f"_b_{c}") - 1) == F.col(c), F.lit(False)).cast("int")
-                ).alias("bucket"),
+    facts = sketch.select(
+        *keys,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(number[c]).alias("col"), F.col(f"_v_{c}").alias("n"), F.col(f"_p_{c}").alias("p"))
+                    for c in columns
+                ]
             )
-            for c in columns
-        ]
-    )
-    long = rows.select(*keys, F.inline(cells)).filter(F.col("x").isNotNull())
+        ),
+    ).filter("n > 0")
+
+    # Place every value among the pivots: even buckets are gaps, odd ones are the pivots. One
+    # narrow row per value: with all columns and pivots in a row the generated code gets too
+    # big to be compiled.
+    cells = F.array(*[F.struct(F.lit(number[c]).alias("col"), F.col(c).alias("x")) for c in columns])
+    long = df.select(*keys, F.inline(cells)).filter(F.col("x").isNotNull())
+    long = lookup(long, facts.select(*keys, "col", "p"), [*keys, "col"], "inner", 100 + 8 * len(levels))
+    long = count_passed(long, {"_b": ("x", "p")}, len(levels))
+    at_edge = F.coalesce(F.get("p", F.col("_b") - 1) == F.col("x"), F.lit(False)).cast("int")
+    long = long.select(*keys, "col", "x", (2 * F.col("_b") - at_edge).alias("bucket"))
     keep = F.get(F.array(*[F.lit(w) for w in wanted]), F.col("bucket"))
     cell = [*keys, "col", "bucket"]
     hist = stage(
@@ -120,17 +123,6 @@ def _by_bracketing(df, keys, columns, qs, accuracy=ACCURACY, margin=None):
     totals = hist.groupBy(*cell).agg(F.sum("cnt").alias("size")).withColumn(
         "below", F.coalesce(F.sum("size").over(over), F.lit(0))
     )
-    facts = sketch.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(number[c]).alias("col"), F.col(f"_v_{c}").alias("n"), F.col(f"_p_{c}").alias("p"))
-                    for c in columns
-                ]
-            )
-        ),
-    ).filter("n > 0")
     ranks = F.array(
         *[
             F.struct(F.lit(i).alias("slot"), *[v.cast(t).alias(k) for k, v, t in zip(("low", "high", "weight"), _place(F.lit(q), F.col("n")), ("long", "long", "double"))])
