@@ -51,8 +51,7 @@ def numpy_cards(data, models, t, offset):
     return out
 
 
-@pytest.mark.parametrize("models", [MODELS, MODELS[:4]])
-@pytest.mark.parametrize("method", ["sort", "bracket"])
+@pytest.mark.parametrize("models, method", [(MODELS, "sort"), (MODELS[:4], "bracket")])
 def test_cards_equal_numpy(data, df, models, method):
     thresholds, offsets = (0.7, 5.0, 30.0, 100.0), (0.0, 1.5)
     got = C.cards(df, models, thresholds, offsets, method=method).toPandas()

@@ -8,11 +8,7 @@ import pytest
 import __spark_entry__ as registry
 from check_oracle import TABLES, compare
 
-QUICK = (
-    "load_predictions", "float_columns", "symbol_codes", "signature_codes", "inject_shuffle", "kfold",
-    "basic_stats", "error_correlations", "cards_both_errors", "metrics_absolute", "subset_metrics",
-    "method_comparison", "model_error_summary", "group_means",
-)
+QUICK = ("load_predictions", "signature_codes", "kfold", "cards_both_errors", "subset_metrics", "group_means")
 
 
 @pytest.fixture(scope="module")
