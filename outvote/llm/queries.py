@@ -1,6 +1,13 @@
 """Registered queries of this folder, with SQL twins where SQL can say the same."""
 
+from pyspark.sql import functions as F
+
+from . import line_dedup as lines
+from . import mixing
 from . import near_duplicates as nd
+from . import quality_rules, rule_ensemble
+from . import url_cascade as urls
+from .common import LOWER, UPPER, WORDS
 
 
 def table(spark, sf_dir, name):
@@ -11,8 +18,6 @@ def op5_superminhash(spark, sf_dir):
     return nd.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
-WORDS = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP5_SQL = rf"""
 with recursive words as (
@@ -35,3 +40,113 @@ from sets s left join classes c on s.s = c.s and len(s.s) > 0 left join roots r
 
 QUERIES = {"op5_superminhash": op5_superminhash}
 SQL = {"op5_superminhash": OP5_SQL}
+
+
+def op10_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.dedup_lines(docs, least_chars=20, least_docs=3)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = rf"""
+with lines as (
+  select doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') k
+  from (select doc_id, str_split(coalesce(text, ''), chr(10)) l from documents),
+    lateral (select unnest(l) line, generate_subscripts(l, 1) i)),
+repeated as (select k, max(doc_id) last from lines where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+marked as (select l.doc_id, l.i, l.line, r.k is not null and l.doc_id is distinct from r.last gone from lines l left join repeated r on l.k = r.k)
+select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) kept_sha256
+from marked group by doc_id
+"""
+
+QUERIES["op10_line_dedup"] = op10_line_dedup
+SQL["op10_line_dedup"] = OP10_SQL
+
+
+def op9_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(5, 2, 1), share=(3, 2))
+
+
+OP9_SQL = rf"""
+with recursive rows as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) size,
+    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '|7'), 1, 15) as bigint) draw from documents),
+sources as (select source, cast(sum(size) as bigint) source_size, count(*) docs,
+    [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] weight from rows group by source),
+whole as (select cast(sum(source_size) as bigint) total from sources),
+level as (
+  select 0 step, 3 * total above, 2 * (select cast(sum(weight) as bigint) from sources) below from whole
+  union all
+  select step + 1, 3 * total - 2 * coalesce((select cast(sum(2 * source_size) as bigint) from sources s where s.weight * above > 2 * below * s.source_size), 0),
+    2 * (select cast(sum(weight) as bigint) from sources s where s.weight * above <= 2 * below * s.source_size)
+  from level, whole where step < (select count(*) from sources)),
+last as (select * from level where below > 0 order by step desc limit 1),
+wanted as (select source, source_size, docs, least(cast(weight * above as double) / cast(below as double), cast(2 * source_size as double)) target from sources, last),
+placed as (select r.*, w.source_size, w.target, r.draw % cast(ceil(w.docs / 10000) as bigint) shard from rows r join wanted w on r.source is not distinct from w.source),
+cells as (select source, shard, cast(sum(size) as bigint) cell_size, any_value(target) * cast(sum(size) as bigint) / any_value(source_size) votes from placed group by source, shard),
+n as (select (3 * total + 100) // 200 blocks from whole),
+races as (select source, shard, cell_size, k, votes / (2 * k + 1) quotient from (select *, unnest(range(0, cast(2 * ceil(cell_size / 100) + 5 as bigint))) k from cells)),
+won as (select source, shard, count(*) quota from (select * from races qualify row_number() over (order by quotient desc, source nulls last, shard, k) <= (select blocks from n)) group by source, shard),
+quota as (select c.source, c.shard, cast(ceil(c.cell_size / 100) as bigint) blocks, least(coalesce(w.quota, 0), 2 * cast(ceil(c.cell_size / 100) as bigint)) quota,
+    cast('0x' || substr(md5(coalesce(c.source, '') || '|' || c.shard || '|7'), 1, 15) as bigint) turn
+  from cells c left join won w on c.source is not distinct from w.source and c.shard = w.shard),
+ends as (select *, cast(sum(size) over (partition by source, shard order by draw, doc_id nulls first, size rows unbounded preceding) as bigint) word_end from placed),
+parts as (select e.doc_id, e.draw, e.size, e.source_size, e.target, e.word_end, q.blocks, q.quota, q.turn,
+    unnest(range((e.word_end - e.size) // 100, (e.word_end - 1) // 100 + 1)) i
+  from ends e join quota q on e.source is not distinct from q.source and e.shard = q.shard where e.size > 0),
+taken as (select doc_id, size, source_size, target, word_end, any_value(quota // blocks * size)
+    + sum(case when (i * 2147483647 + turn % blocks) % blocks < quota % blocks then least((i + 1) * 100, word_end) - greatest(i * 100, word_end - size) else 0 end) taken
+  from parts group by doc_id, size, source_size, target, word_end)
+select doc_id, cast(size as bigint) size, cast(source_size as bigint) source_size, target, cast(taken as bigint) taken from taken
+union all select doc_id, 0, cast(source_size as bigint), target, 0 from placed where size = 0
+"""
+
+QUERIES["op9_mixing"] = op9_mixing
+SQL["op9_mixing"] = OP9_SQL
+
+#: Contract values: the url rules.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+#: Parts of a host name, between dots and hyphens, that put it on the block list.
+LISTED_PARTS = "adult|ads|bet|bets|casino|gambling|pills|porn|spam|viagra|xxx"
+LISTED = f"(^|[.-])({LISTED_PARTS})([.-]|$)"
+
+
+def op8_url_cascade(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    out = urls.filter_urls(pages, URL_RULES, lambda host: host.rlike(LISTED))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _case(value):
+    whens = []
+    for host, path, verdict in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])):
+        whens.append(f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then '{host + path if value == 'rule' else verdict}'")
+    return "case " + " ".join(whens) + " end"
+
+
+OP8_SQL = rf"""
+with a as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
+b as (select page_id, rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') h from a),
+c as (select page_id, translate(h, '{UPPER}', '{LOWER}') host, regexp_extract(substr(coalesce(rest, ''), length(h) + 1), '^[^?#]*') path from b)
+select page_id, host, path, {_case("rule")} as rule,
+  coalesce({_case("verdict")}, case when regexp_matches(host, '{LISTED}') then 'block' else 'allow' end) verdict from c
+"""
+
+QUERIES["op8_url_cascade"] = op8_url_cascade
+SQL["op8_url_cascade"] = OP8_SQL
+
+
+def op6_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels"))).drop("score")
+
+
+def op7_rule_ensemble(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rule_ensemble.classify(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+QUERIES |= {"op6_quality_rules": op6_quality_rules, "op7_rule_ensemble": op7_rule_ensemble}
