@@ -1,6 +1,12 @@
 """Small helpers shared by the operators of this folder."""
 
-from pyspark.sql import Column, DataFrame
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
@@ -34,3 +40,22 @@ def ascii_lower(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Runs of anything but ASCII white space; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once a session, so that tasks can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_outvote_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="outvote-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, "outvote-code.zip")
+    with zipfile.ZipFile(archive, "w") as made:
+        for path, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(path, name)
+                    made.write(file, os.path.relpath(file, os.path.dirname(top)))
+    context.addPyFile(archive)
+    context._outvote_shipped = True

@@ -14,6 +14,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+CONTINUED = np.zeros(256, bool)  # bytes that do not begin a code point
+CONTINUED[0x80:0xC0] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 _SAME = np.arange(256, dtype=np.uint8)
@@ -90,13 +92,14 @@ def _stretches(data, offsets):
 class Words:
     """Words of consecutive texts: ``hashes``, byte ``starts`` and ``ends``, and per text the range ``at[i]:at[i+1]``."""
 
-    def __init__(self, column, lower: bool):
+    def __init__(self, column, lower: bool, space: np.ndarray = SPACE):
+        """``space`` says which bytes part words; it must hold ASCII white space."""
         self.data, self.offsets = utf8(column)
         table = LOWER if lower else _SAME
         hashes, starts, ends = [], [], []
         for lo, hi in _stretches(self.data, self.offsets):
             part = self.data[lo:hi]
-            solid = ~SPACE[part]
+            solid = ~space[part]
             begin = solid.copy()
             begin[1:] &= ~solid[:-1]
             close = solid.copy()

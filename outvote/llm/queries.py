@@ -2,15 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from . import decontamination
 from . import line_dedup as lines
 from . import mixing
 from . import near_duplicates as nd
-from . import quality_rules, rule_ensemble
+from . import quality_rules, rule_ensemble, sentence_spans
 from . import url_cascade as urls
-from .common import LOWER, UPPER, WORDS
+from .common import LOWER, UPPER, WORDS, ship
 
 
 def table(spark, sf_dir, name):
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -150,3 +152,15 @@ def op7_rule_ensemble(spark, sf_dir):
 
 
 QUERIES |= {"op6_quality_rules": op6_quality_rules, "op7_rule_ensemble": op7_rule_ensemble}
+
+
+def op2_sentence_spans(spark, sf_dir):
+    return sentence_spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_decontamination(spark, sf_dir):
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("n_passages"))
+
+
+QUERIES |= {"op2_sentence_spans": op2_sentence_spans, "op4_decontamination": op4_decontamination}

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SPACE, Words, mix, slices, utf8, windows
+from .kernels import CONTINUED, SPACE, Words, slices, utf8, windows
 
 #: Counts of the base rules, then numbers without dimension that models read.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -14,8 +14,6 @@ FEATURES = [
     "upper_rate", "exclaim_rate", "pipe_rate", "digit_rate", "stop_rate", "line_words",
 ]
 _WHITE = b" \t\n\x0b\x0c\r"
-_CONTINUED = np.zeros(256, bool)
-_CONTINUED[0x80:0xC0] = True
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -63,7 +61,7 @@ def statistics_of(column) -> dict[str, np.ndarray]:
     data, offsets = utf8(column)
     words = Words(column, lower=False)
     n = words.counts().astype(np.int64)
-    chars = _per_text(~SPACE[data] & ~_CONTINUED[data], offsets)
+    chars = _per_text(~SPACE[data] & ~CONTINUED[data], offsets)
     symbols = _per_text(_SYMBOL[data], offsets)
     lines = [_repeated_lines(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(len(n))]
     n_lines, dup = np.array(lines, np.int64).reshape(-1, 2).T
