@@ -6,8 +6,9 @@ from . import decontamination
 from . import line_dedup as lines
 from . import mixing
 from . import near_duplicates as nd
-from . import quality_rules, rule_ensemble, sentence_spans
+from . import quality_rules, rule_ensemble, sentence_spans, style_tree
 from . import url_cascade as urls
+from . import warc
 from .common import LOWER, UPPER, WORDS, ship
 
 
@@ -164,3 +165,16 @@ def op4_decontamination(spark, sf_dir):
 
 
 QUERIES |= {"op2_sentence_spans": op2_sentence_spans, "op4_decontamination": op4_decontamination}
+
+
+def op1_site_style_tree(spark, sf_dir):
+    return style_tree.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op3_capture_index(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archive = warc.write_archive(pages, least_bytes=0)
+    return warc.read_records(spark, archive.lookup(pages.select("url")))
+
+
+QUERIES |= {"op1_site_style_tree": op1_site_style_tree, "op3_capture_index": op3_capture_index}
