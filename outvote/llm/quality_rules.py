@@ -54,7 +54,6 @@ def judge(docs: DataFrame, model: QualityModel, keep=("doc_id",)) -> DataFrame:
 def passing(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept."""
     model = fit(docs, labels, sample)
-    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # no clash with the statistics
-    renamed = docs.withColumnsRenamed(own).withColumn("text", F.col(own["text"]))
-    kept = judge(renamed, model, keep=list(own.values())).filter("kept")
-    return kept.select(*[F.col(v).alias(k) for k, v in own.items()])
+    own = [f"own_{i}" for i in range(len(docs.columns))]  # no clash with the statistics
+    renamed = docs.toDF(*own).withColumn("text", F.col(own[docs.columns.index("text")]))
+    return judge(renamed, model, keep=own).filter("kept").select(*own).toDF(*docs.columns)

@@ -87,7 +87,7 @@ level as (
 last as (select * from level where below > 0 order by step desc limit 1),
 wanted as (select source, source_size, docs, least(cast(weight * above as double) / cast(below as double), cast(2 * source_size as double)) target from sources, last),
 placed as (select r.*, w.source_size, w.target, r.draw % cast(ceil(w.docs / 10000) as bigint) shard from rows r join wanted w on r.source is not distinct from w.source),
-cells as (select source, shard, cast(sum(size) as bigint) cell_size, any_value(target) * cast(sum(size) as bigint) / any_value(source_size) votes from placed group by source, shard),
+cells as (select source, shard, cast(sum(size) as bigint) cell_size, case when any_value(source_size) > 0 then any_value(target) * cast(sum(size) as bigint) / any_value(source_size) else 0.0 end votes from placed group by source, shard),
 n as (select (3 * total + 100) // 200 blocks from whole),
 races as (select source, shard, cell_size, k, votes / (2 * k + 1) quotient from (select *, unnest(range(0, cast(2 * ceil(cell_size / 100) + 5 as bigint))) k from cells)),
 won as (select source, shard, count(*) quota from (select * from races qualify row_number() over (order by quotient desc, source nulls last, shard, k) <= (select blocks from n)) group by source, shard),
