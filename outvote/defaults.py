@@ -15,4 +15,3 @@ TOL = 1e-8
 ENTRY_ID = "entry_id"
 REF_VALUE = "ref_values"
 DATASET_KEYS = ("var_add", "modified_pct")
-EMPTY_KEYS = ()

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 INF = float("inf")
 
 
-def as_columns(names):
-    return [F.col(f"`{n}`") for n in names]
-
-
 def total(columns):
     return reduce(add, columns)
 
@@ -28,11 +24,6 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.when(num != 0, F.lit(INF))).otherwise(num / F.nullif(den, F.lit(0.0)))
 
 
-def flag(cond: Column) -> Column:
-    """A condition as 0/1; unknown counts as 0."""
-    return F.coalesce(cond, F.lit(False)).cast("int")
-
-
 def row_count(columns):
     return total([c.isNotNull().cast("int") for c in columns])
 
@@ -62,10 +53,12 @@ def with_row_stats(df, columns, median=None, mean=None, std=None):
 
 
 def between_ranks(low: Column, high: Column, weight: Column) -> Column:
-    """Linear interpolation that is exact at both ends and for equal neighbours."""
+    """Linear interpolation that is exact at both ends and for equal neighbours; next to an infinite one it is infinite."""
     gap = high - low
     return (
         F.when((weight == 0) | (low == high), low)
+        .when(F.abs(high) == INF, high)
+        .when(F.abs(low) == INF, low)
         .when(weight < 0.5, low + gap * weight)
         .otherwise(high - gap * (1 - weight))
     )

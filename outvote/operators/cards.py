@@ -7,7 +7,7 @@ from ..defaults import DATA_OFFSET, MODELS, THRESHOLD, VALUE
 from ..functions.expr import clean_number, ratio, total, with_row_stats
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
-from ..plans.staging import lookup, stage
+from ..plans.staging import lookup, row_bytes, stage
 from .errors import dataset_keys
 
 KINDS = ("abs", "rel", "both")
@@ -43,21 +43,28 @@ def with_errors(df, models, value, offsets, kinds, carry):
     return rows.select(*carry, *names), names
 
 
-def _cut_arrays(errors, keys, names, thresholds, null_policy, method):
+def _cut_arrays(errors, keys, names, thresholds, null_policy):
     qs = [(100 - t) / 100.0 for t in thresholds]
-    cuts = exact_quantiles(errors, keys, names, qs, null_policy, method)
-    return stage(cuts.select(*keys, *[F.col(n).alias(f"_cut{n}") for n in names]))
+    cuts = exact_quantiles(errors, keys, names, qs, null_policy)
+    return stage(cuts.select(*keys, *[_ascending(F.col(n)).alias(f"_cut{n}") for n in names]))
+
+
+def _ascending(cuts):
+    """The array; an error if it has NaN or falls anywhere, since levels are searched by halving."""
+    fine = F.forall(F.sequence(F.lit(1), F.size(cuts)), lambda i: (i == F.size(cuts)) | (F.get(cuts, i - 1) <= F.get(cuts, i)))
+    fine = fine & ~F.exists(cuts, F.isnan)
+    return F.when(cuts.isNull() | fine, cuts).otherwise(F.raise_error(F.lit("cutoffs must ascend")).cast("array<double>"))
 
 
 def cutoffs(
     df: DataFrame, models=MODELS, thresholds=THRESHOLD, data_offsets=DATA_OFFSET, kinds=("abs", "rel"),
-    value=VALUE, keys=None, null_policy="poison", method="auto",
+    value=VALUE, keys=None, null_policy="poison",
 ) -> DataFrame:
     """The error each model's marks start at, per dataset, kind, offset and threshold."""
     keys, offsets = dataset_keys(df, keys), as_list(data_offsets)
     thresholds = falling(thresholds)
     errors, columns = with_errors(df, models, value, offsets, kinds, keys)
-    cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy, method)
+    cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy)
     cells = []
     for m in models:
         for i, t in enumerate(thresholds):
@@ -82,7 +89,7 @@ def cutoffs(
 
 
 def card_levels(
-    df: DataFrame, models, thresholds, offsets, kinds, value=VALUE, keys=(), null_policy="poison", method="auto", carry=None,
+    df: DataFrame, models, thresholds, offsets, kinds, value=VALUE, keys=(), null_policy="poison", carry=None,
 ) -> DataFrame:
     """Adds, per kind and model, how many of the thresholds the model marks the row at.
 
@@ -93,7 +100,7 @@ def card_levels(
     """
     keys, carry = list(keys), df.columns if carry is None else list(carry)
     errors, columns = with_errors(df, models, value, offsets, kinds, carry)
-    cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy, method)
+    cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy)
     absolute = [f"_abs_{m}" for m in models if f"_abs_{m}" in columns]
 
     def by_offset(prefix):
@@ -114,7 +121,7 @@ def card_levels(
         on, names = [*keys, "_j"], absolute + [f"_rel_{m}" for m in models]
     else:
         errors = errors.withColumn("_j", F.lit(0))
-    rows = lookup(errors, cuts, on, "left", 100 + 8 * len(thresholds) * len(names))
+    rows = lookup(errors, cuts, on, "left", row_bytes(len(thresholds) * len(names)))
 
     pair = {n: (n, f"_cut{n}") for n in names}
     probes = {f"_k{n}": pair[n] for n in names if n.split("_")[1] in kinds}
@@ -133,7 +140,7 @@ def level_columns(models, kind):
 
 def cards(
     df: DataFrame, models=MODELS, thresholds=THRESHOLD, data_offsets=DATA_OFFSET, kinds=KINDS,
-    value=VALUE, keys=None, null_policy="poison", method="auto",
+    value=VALUE, keys=None, null_policy="poison",
 ) -> DataFrame:
     """Every row once per (threshold, offset), with its number of marks by kind of error.
 
@@ -144,7 +151,7 @@ def cards(
     keys, offsets = dataset_keys(df, keys), as_list(data_offsets)
     given = as_list(thresholds)
     steps = falling(given)
-    levels = card_levels(df, models, steps, offsets, kinds, value, keys, null_policy, method)
+    levels = card_levels(df, models, steps, offsets, kinds, value, keys, null_policy)
     by_offset = tuple(kinds) != ("abs",)
     grid = F.array(
         *[
@@ -161,7 +168,7 @@ def cards(
     return out.withColumns(counts).select(*df.columns, "threshold_pct", "data_offset", *counts)
 
 
-def flag_errors(df: DataFrame, models=MODELS, threshold=THRESHOLD, value=VALUE, keys=None, null_policy="poison", method="auto") -> DataFrame:
+def flag_errors(df: DataFrame, models=MODELS, threshold=THRESHOLD, value=VALUE, keys=None, null_policy="poison") -> DataFrame:
     """The entries that every model marks by absolute error."""
-    marked = cards(df, models, threshold, DATA_OFFSET, ("abs",), value, keys, null_policy, method)
+    marked = cards(df, models, threshold, DATA_OFFSET, ("abs",), value, keys, null_policy)
     return marked.filter(F.col("cards_abs") == len(models)).select(*df.columns)

@@ -1,5 +1,8 @@
 """Filters, key repair, deduplication, column choice and reshaping."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,17 +37,24 @@ def truncate_key(column, pattern=LAYERED_KEY) -> Column:
 
 
 def dedup_keep_first(df: DataFrame, key, order) -> DataFrame:
-    """The first row of each key by a unique order.
+    """The first row of each key by a unique order; a NULL is a key like others.
 
-    A partial aggregation: each task sends one row per key, so hot keys do no harm.
+    Only digests of the keys and the order are aggregated, one row per key and task, and the rows are
+    then picked by their order: long keys and wide rows are neither sorted nor carried along.
     """
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.distinct()
-    first = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return first.select(*key, "_row.*").select(*df.columns)
+    parts = [p for c in key for p in (F.col(c).isNull(), F.col(c))]
+    digest = [F.xxhash64(*parts, F.lit(i)).alias(f"_digest{i}") for i in (1, 2)]
+    least = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
+    first = df.groupBy(*digest).agg(least.alias("_first"))
+    chosen = [F.col("_first")] if len(order) == 1 else [F.col(f"_first.{c}") for c in order]
+    first = first.select(*[c.alias(f"_order{i}") for i, c in enumerate(chosen)])
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_order{i}")) for i, c in enumerate(order)])
+    return df.join(first, match, "left_semi")
 
 
 def float_columns(df: DataFrame, among=None) -> list[str]:

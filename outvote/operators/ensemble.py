@@ -33,11 +33,12 @@ def default_estimators(seed=SEED):
 def oof_predict(df: DataFrame, features, label=VALUE, estimators=None, k=5, id_col=ENTRY_ID, seed=SEED, balanced=True) -> DataFrame:
     """One prediction column per model; every row is predicted by models that never saw it.
 
-    Folds are cut once and staged. The k * m fits run one after another, each over the cluster.
+    Folds are cut once and staged with one folder a fold, so a fit reads only its own. The k * m fits run
+    one after another, each over the cluster.
     """
     estimators = estimators or default_estimators(seed)
     vectors = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
-    folded = stage(vectors.transform(kfold(df, k, id_col, seed, balanced)))
+    folded = stage(vectors.transform(kfold(df, k, id_col, seed, balanced)), ["fold"])
     parts = []
     for fold in range(k):
         train = folded.filter(F.col("fold") != fold)

@@ -104,29 +104,25 @@ def correlation_envelope(df: DataFrame, models=MODELS, ref=None, value=VALUE, ke
 
 
 def _pair_correlations(df, models, ref, value, keys):
-    """One aggregation per dataset, then one row per pair a <= b in model order."""
+    """One row per dataset and pair a <= b in model order.
+
+    Rows fan out to the pairs of different models and combine again before the shuffle, so that the
+    aggregate has few fields and stays in generated code. A model with itself needs its spread only.
+    """
     target = clean_number(ref or value)
     models = list(models)
     deltas = df.select(*keys, *[(clean_number(m) - target).alias(f"_d{i}") for i, m in enumerate(models)])
     if keys:
         deltas = deltas.dropna(subset=keys)
     cells = [(i, i) for i in range(len(models))] + list(combinations(range(len(models)), 2))
-    aggs = []
-    for i, j in cells:
-        a, b = F.col(f"_d{i}"), F.col(f"_d{j}")
-        both = a.isNotNull() & b.isNotNull()
-        spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
-        # The ready-made correlation fails on a constant column; this one gives NULL.
-        aggs.append((F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))).alias(f"_c{i}_{j}"))
-    wide = deltas.groupBy(*keys).agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(models[i]).alias("a"),
-                F.lit(models[j]).alias("b"),
-                (F.when(F.col(f"_c{i}_{j}").isNotNull(), F.lit(1.0)) if i == j else F.col(f"_c{i}_{j}")).alias("corr"),
-            )
-            for i, j in cells
-        ]
+    pairs = F.array(*[F.struct(F.lit(models[i]).alias("a"), F.lit(models[j]).alias("b"), F.col(f"_d{i}").alias("_x"), F.col(f"_d{j}").alias("_y")) for i, j in cells])
+    rows = deltas.select(*keys, F.inline(pairs))
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    rows = rows.withColumns({"_x": F.when(both, F.col("_x")), "_y": F.when(both, F.col("_y"))})
+    moments = rows.groupBy(*keys, "a", "b").agg(
+        F.covar_pop("_x", "_y").alias("_cov"), F.stddev_pop("_x").alias("_sx"), F.stddev_pop("_y").alias("_sy")
     )
-    return wide.select(*keys, F.inline(rows))
+    # The ready-made correlation fails on a constant column; this one gives NULL.
+    corr = F.col("_cov") / F.nullif(F.col("_sx") * F.col("_sy"), F.lit(0.0))
+    own = F.when(corr.isNotNull(), F.lit(1.0))
+    return moments.select(*keys, "a", "b", F.when(F.col("a") == F.col("b"), own).otherwise(corr).alias("corr"))

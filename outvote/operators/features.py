@@ -133,7 +133,11 @@ def node_signatures(nodes: DataFrame, edges: DataFrame, own=("label", "degree",
 
 
 def signature_codes(signed: DataFrame, order=("graph_id", "node_id")) -> DataFrame:
-    """Adds ``code`` 0, 1, ... of signatures by first appearance, and the dictionary size + 1."""
+    """Adds ``code`` 0, 1, ... of signatures by first appearance, and the dictionary size + 1.
+
+    ``signed`` is read twice, so it is staged first.
+    """
+    signed = stage(signed)
     first = signed.groupBy("signature").agg(F.min(F.struct(*order)).alias("_first"))
     codes = stage(distributed_rank(first, ["_first"], "_rank").select("signature", (F.col("_rank") - 1).alias("code")))
     size = codes.agg((F.count("*") + 1).alias("n")).scalar()

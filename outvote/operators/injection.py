@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..defaults import ENTRY_ID, SEED, VALUE
-from ..plans.ranks import at_or_before, distributed_rank, draw_bucket, draw_key, rank_cuts
+from ..plans.ranks import at_or_before, distributed_rank, draw_buckets, draw_key, rank_cuts
 from ..plans.staging import stage
 
 # The published experiment plans.
@@ -23,7 +23,6 @@ SHIFTS_ENERGY = (
     0.125, 0.15, 0.175, 0.2, 0.25,
 )
 EXTRA_RATES, EXTRA_SHIFTS = (0.15, 0.25), (2.5,)
-NOISE_SIGMA = 0.015
 
 
 def sample_size(pct, n):
@@ -33,10 +32,12 @@ def sample_size(pct, n):
 def draw_cuts(df: DataFrame, ranks, id_col=ENTRY_ID, seed=SEED):
     """``df`` with its draw key, and the array of order values found at ``ranks(n)``.
 
+    Ids must be unique: with repeated ones no draw has the asked size, so they are an error, found
+    while the buckets that hold a wanted rank are counted.
     The one row of cuts is staged: results that are read again do not look for it again.
     """
     keyed = df.withColumn("_draw", draw_key(id_col, seed))
-    cuts = rank_cuts(keyed, ["_draw", id_col], draw_bucket(F.col("_draw")), ranks)
+    cuts = rank_cuts(keyed, ["_draw", id_col], draw_buckets(F.col("_draw")), ranks)
     return keyed, stage(cuts).scalar()
 
 

@@ -1,6 +1,6 @@
 """How well the groups of equally marked entries match the entries known to be wrong."""
 
-from math import comb
+from functools import reduce
 
 from numpy import concatenate, geomspace
 from pyspark.sql import DataFrame
@@ -11,12 +11,12 @@ from ..defaults import DATA_OFFSET, DATA_OFFSETS, MODELS, REF_VALUE, THRESHOLD,
 from ..functions.expr import INF, f1_columns, total
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
-from ..plans.staging import lookup, stage
+from ..plans.staging import lookup, row_bytes, stage
 from .cards import as_list, card_levels, falling, level_columns
 from .errors import align_reference, basic_stats, dataset_keys, is_modified
 
+# The names of the metrics.
 METRICS = ("group_len", "group_pos", "group_ratio", "group_pos_ratio", "precision", "recall", "f1")
-_CUBE_LIMIT = 50_000
 
 
 def _with_truth(df, reference, value, keys):
@@ -51,30 +51,24 @@ def dataset_totals(df: DataFrame, reference=REF_VALUE, value=VALUE, data_offsets
     return totals.select(*keys, F.explode(offsets).alias("data_offset"), "ds_pos", "neg_ds", "ds_len")
 
 
-def _at_least_counts(rows, keys, levels, n_thresholds):
+def _at_least_counts(rows, keys, levels):
     """Rows with at least g marks: one row per dataset, offset number, known error, g and level.
 
     The g-th largest level of a row says at how many thresholds it has g or more marks, so
     m small histograms per dataset hold every group at every threshold. Rows are never
-    multiplied by thresholds. With few thresholds rows first collapse to distinct level sets,
-    of which there are at most C(T + m, m).
+    multiplied by thresholds, and the counts combine before they are shuffled.
     """
-    m = len(levels)
     base = rows.select(*keys, "_j", "_mod", F.sort_array(F.array(*levels), asc=False).alias("_s"))
-    if comb(n_thresholds + m, m) <= _CUBE_LIMIT:
-        base = base.groupBy(*keys, "_j", "_mod", "_s").agg(F.count("*").alias("cnt"))
-    else:
-        base = base.withColumn("cnt", F.lit(1).cast("long"))
     return (
-        base.select(*keys, "_j", "_mod", "cnt", F.posexplode("_s").alias("_g", "_level"))
+        base.select(*keys, "_j", "_mod", F.posexplode("_s").alias("_g", "_level"))
         .groupBy(*keys, "_j", "_mod", (F.col("_g") + 1).alias("_g"), "_level")
-        .agg(F.sum("cnt").alias("cnt"))
+        .agg(F.count("*").alias("cnt"))
     )
 
 
 def classification_metrics(
     df: DataFrame, reference=REF_VALUE, models=MODELS, thresholds=THRESHOLD, data_offsets=DATA_OFFSET,
-    group_stat="abs", value=VALUE, keys=None, complete=True, null_policy="poison", method="auto",
+    group_stat="abs", value=VALUE, keys=None, complete=True, null_policy="poison",
 ) -> DataFrame:
     """Size, precision, recall and F1 of each exact group, per dataset, threshold and offset.
 
@@ -90,11 +84,11 @@ def classification_metrics(
     if kind == "norm":
         rows, levels = rows.withColumn("_j", F.lit(0)), [F.lit(0)] * n_models
     else:
-        rows = card_levels(rows, models, steps, offsets, (kind,), value, keys, null_policy, method, [*keys, "_mod"])
+        rows = card_levels(rows, models, steps, offsets, (kind,), value, keys, null_policy, [*keys, "_mod"])
         levels = level_columns(models, kind)
     # Absolute errors do not depend on the offset: count once, label with all.
     shared = kind in ("abs", "norm")
-    marks = _at_least_counts(rows, keys, levels, len(steps))
+    marks = _at_least_counts(rows, keys, levels)
     return _metrics_from_marks(marks, keys, steps, offsets, n_models, shared, complete)
 
 
@@ -150,13 +144,11 @@ def _metrics_from_marks(marks, keys, steps, offsets, n_models, shared, complete)
 def complete_domain(metrics: DataFrame, names) -> DataFrame:
     """All combinations of the values seen in ``names``; metrics that were not there become 0.
 
-    The values are gathered as one row of arrays: they are thresholds, offsets, groups and
-    dataset labels, never entries.
+    The product of the distinct thresholds, offsets, groups and dataset labels is the result asked
+    for; it is built from one distinct list a label, none of which has to fit into a row.
     """
     metrics = stage(metrics)
-    domain = metrics.agg(*[F.collect_set(n).alias(n) for n in names])
-    for n in names:
-        domain = domain.withColumn(n, F.explode(n))
+    domain = reduce(DataFrame.crossJoin, [metrics.select(n).filter(F.col(n).isNotNull()).distinct() for n in names])
     return domain.join(metrics, list(names), "left").na.fill(0)
 
 
@@ -174,10 +166,18 @@ def subsets(models):
     return [(b, len(picked[b]), ";".join(models[i] for i in picked[b])) for b in order]
 
 
-def _subset_counts(rows, keys, models, offset):
-    """Top-group counts of all subsets from one histogram of mark patterns (at most 2^m per dataset)."""
-    mask = total([F.col(f"_k_abs_{m}") * (1 << i) for i, m in enumerate(models)])
-    patterns = rows.groupBy(*keys, "_mod", mask.alias("_mask")).agg(F.count("*").alias("cnt"))
+def _level_patterns(rows, keys, models):
+    """Rows by known error and the models' levels: the distinct ones, counted."""
+    return rows.groupBy(*keys, "_mod", *[f"_k_abs_{m}" for m in models]).agg(F.count("*").alias("cnt"))
+
+
+def _subset_counts(rows, keys, models, offset, least=1):
+    """Top-group counts of all subsets from one histogram of mark patterns (at most 2^m per dataset).
+
+    ``rows`` has counted level patterns; a model marks from level ``least`` on.
+    """
+    mask = total([(F.col(f"_k_abs_{m}") >= least).cast("int") * (1 << i) for i, m in enumerate(models)])
+    patterns = rows.groupBy(*keys, "_mod", mask.alias("_mask")).agg(F.sum("cnt").alias("cnt"))
     choices = F.array(
         *[
             F.struct(F.lit(b).alias("_bits"), F.lit(n).alias("n_models"), F.lit(label).alias("model_combo"), F.lit(i).alias("combo_no"))
@@ -200,19 +200,21 @@ def _subset_counts(rows, keys, models, offset):
 
 def multi_model_stats(
     df: DataFrame, reference=REF_VALUE, models=MODELS, threshold=THRESHOLD, data_offset=DATA_OFFSET,
-    value=VALUE, keys=None, null_policy="poison", method="auto",
+    value=VALUE, keys=None, null_policy="poison",
 ) -> DataFrame:
     """Top-group metrics of every subset of the models at one threshold (absolute errors)."""
     keys, models = dataset_keys(df, keys), list(models)
     rows = _with_truth(df, reference, value, keys)
-    rows = card_levels(rows, models, [float(threshold)], [float(data_offset)], ("abs",), value, keys, null_policy, method, [*keys, "_mod"])
-    counts = _subset_counts(rows, keys, models, data_offset).withColumn("threshold_pct", F.lit(float(threshold)))
+    rows = card_levels(rows, models, [float(threshold)], [float(data_offset)], ("abs",), value, keys, null_policy, [*keys, "_mod"])
+    return _subset_metrics(_level_patterns(rows, keys, models), keys, models, threshold, data_offset)
+
+
+def _subset_metrics(patterns, keys, models, threshold, data_offset, least=1):
+    counts = _subset_counts(patterns, keys, models, data_offset, least).withColumn("threshold_pct", F.lit(float(threshold)))
     names = ["n_models", "model_combo", "threshold_pct", *keys, "data_offset"]
     # A subset without any top-group entry has only zeros.
     metrics = _metric_frame(counts, [*names, "combo_no"])
-    for n in METRICS:
-        metrics = metrics.withColumn(n, F.when(F.col("group_len") > 0, F.col(n)).otherwise(0))
-    return metrics
+    return metrics.withColumns({n: F.when(F.col("group_len") > 0, F.col(n)).otherwise(0) for n in METRICS})
 
 
 def best_combo(stats: DataFrame, criterion="max", keys=None) -> DataFrame:
@@ -233,21 +235,27 @@ def best_combo(stats: DataFrame, criterion="max", keys=None) -> DataFrame:
 
 def multi_model_curve(
     df: DataFrame, reference=REF_VALUE, models=MODELS, thresholds=THRESHOLDS, data_offset=DATA_OFFSET,
-    criterion="max", value=VALUE, keys=None, null_policy="poison", method="auto",
+    criterion="max", value=VALUE, keys=None, null_policy="poison", threshold=THRESHOLD,
 ) -> DataFrame:
-    """Top-group metrics over all thresholds for the best subset of each size."""
-    keys, models, steps = dataset_keys(df, keys), list(models), falling(thresholds)
-    stats = multi_model_stats(df, reference, models, THRESHOLD, data_offset, value, keys, null_policy, method)
+    """Top-group metrics over all thresholds for the best subset of each size, chosen at ``threshold``.
+
+    One level pass over all thresholds; what follows works on the counted level patterns, so rows
+    are never multiplied by subsets.
+    """
+    keys, models, asked = dataset_keys(df, keys), list(models), falling(thresholds)
+    steps = falling([*asked, float(threshold)])
+    rows = _with_truth(df, reference, value, keys)
+    rows = card_levels(rows, models, steps, [float(data_offset)], ("abs",), value, keys, null_policy, [*keys, "_mod"])
+    patterns = stage(_level_patterns(rows, keys, models))
+    stats = _subset_metrics(patterns, keys, models, threshold, data_offset, steps.index(float(threshold)) + 1)
     masks = F.create_map(*[F.lit(x) for b, _, label in subsets(models) for x in (label, b)])
     chosen = best_combo(stats, criterion, keys).select("n_models", "model_combo", masks[F.col("model_combo")].alias("_bits"))
     winners = chosen.agg(F.collect_list(F.struct("n_models", "model_combo", "_bits")).alias("w"))  # one entry per size
-    rows = _with_truth(df, reference, value, keys)
-    rows = card_levels(rows, models, steps, [float(data_offset)], ("abs",), value, keys, null_policy, method, [*keys, "_mod"])
-    rows = rows.select("*", F.inline(stage(winners).scalar()))
+    levels = patterns.select("*", F.inline(stage(winners).scalar()))
     members = [F.when(F.col("_bits").bitwiseAND(1 << i) != 0, F.col(f"_k_abs_{m}")) for i, m in enumerate(models)]
     weakest = F.least(*members) if len(members) > 1 else members[0]
-    levels = rows.groupBy("n_models", "model_combo", *keys, "_mod", weakest.alias("_level")).agg(F.count("*").alias("cnt"))
-    by_threshold = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(t).alias("threshold_pct")) for i, t in enumerate(steps)])
+    levels = levels.groupBy("n_models", "model_combo", *keys, "_mod", weakest.alias("_level")).agg(F.sum("cnt").alias("cnt"))
+    by_threshold = F.array(*[F.struct(F.lit(steps.index(t)).alias("_i"), F.lit(t).alias("threshold_pct")) for t in asked])
     hit = F.when(F.col("_level") > F.col("_i"), F.col("cnt")).otherwise(0)
     counts = (
         levels.select("*", F.inline(by_threshold))
@@ -265,7 +273,7 @@ def multi_model_curve(
 
 
 def quantile_thresholds(num_points=100):
-    """Dense near 0 and near 100; the value both halves share is kept once."""
+    """Dense near 0 and near 100; the value both halves share is kept once. The ranges are fixed values."""
     low = geomspace(0.01, 90, num_points // 2)
     high = 100 - geomspace(0.0001, 10, num_points // 2)[::-1]
     return sorted({float(t) for t in concatenate([low, high])})
@@ -273,7 +281,7 @@ def quantile_thresholds(num_points=100):
 
 def quantile_baseline(
     df: DataFrame, reference=REF_VALUE, models=MODELS, thresholds=None, data_offset=DATA_OFFSET,
-    value=VALUE, keys=None, method="auto",
+    value=VALUE, keys=None,
 ) -> DataFrame:
     """Plain cut: entries whose error of the median prediction exceeds its t % quantile.
 
@@ -284,9 +292,9 @@ def quantile_baseline(
     steps = quantile_thresholds() if thresholds is None else sorted(set(as_list(thresholds)))
     rows = _with_truth(df, reference, value, keys)
     rows = basic_stats(rows, models, None, value, data_offset).select(*keys, "_mod", "d_median_a")
-    cuts = exact_quantiles(rows, keys, ["d_median_a"], [t / 100 for t in steps], "skip", method)
+    cuts = exact_quantiles(rows, keys, ["d_median_a"], [t / 100 for t in steps], "skip")
     cuts = stage(cuts.select(*keys, F.col("d_median_a").alias("_cuts")))
-    rows = count_passed(lookup(rows, cuts, keys, "left", 100 + 8 * len(steps)), {"_level": ("d_median_a", "_cuts")}, len(steps), strict=True)
+    rows = count_passed(lookup(rows, cuts, keys, "left", row_bytes(len(steps))), {"_level": ("d_median_a", "_cuts")}, len(steps), strict=True)
     levels = rows.groupBy(*keys, "_mod", "_level").agg(F.count("*").alias("cnt"))
     by_threshold = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(t).alias("threshold")) for i, t in enumerate(steps)])
     hit = F.when(F.col("_level") > F.col("_i"), F.col("cnt")).otherwise(0)
@@ -306,16 +314,16 @@ def quantile_baseline(
 
 def compare_threshold_methods(
     df: DataFrame, reference=REF_VALUE, models=MODELS, num_points=100, data_offset=DATA_OFFSET,
-    value=VALUE, keys=None, null_policy="poison", method="auto",
+    value=VALUE, keys=None, null_policy="poison",
 ) -> DataFrame:
     """Quantile cuts and top card groups side by side, sorted.
 
     The thresholds run opposite ways: ``Quantile`` keeps the top 100 - t %, ``Cards`` the top t %.
     """
     keys = dataset_keys(df, keys)
-    plain = quantile_baseline(df, reference, models, quantile_thresholds(num_points), data_offset, value, keys, method)
+    plain = quantile_baseline(df, reference, models, quantile_thresholds(num_points), data_offset, value, keys)
     marked = classification_metrics(
-        df, reference, models, geomspace(0.0001, 100, num_points), data_offset, "abs", value, keys, True, null_policy, method
+        df, reference, models, geomspace(0.0001, 100, num_points), data_offset, "abs", value, keys, True, null_policy
     )
     top = group_slice(marked, len(list(models))).withColumnRenamed("threshold_pct", "threshold")
     shape = ["threshold", *keys, "precision", "recall", "f1"]
@@ -325,7 +333,7 @@ def compare_threshold_methods(
 
 def shifted_comparison(
     df: DataFrame, shifted: DataFrame, reference=REF_VALUE, shifted_reference=REF_VALUE, models=MODELS,
-    thresholds=THRESHOLDS, data_offsets=DATA_OFFSETS, shift=1.5, value=VALUE, keys=None, null_policy="poison", method="auto",
+    thresholds=THRESHOLDS, data_offsets=DATA_OFFSETS, shift=1.5, value=VALUE, keys=None, null_policy="poison",
 ) -> DataFrame:
     """Top-group metrics by both errors on data and on the same data shifted by a constant.
 
@@ -335,7 +343,7 @@ def shifted_comparison(
 
     def top(frame, truth, used):
         return group_slice(
-            classification_metrics(frame, truth, models, thresholds, used, "both", value, keys, True, null_policy, method), n_models
+            classification_metrics(frame, truth, models, thresholds, used, "both", value, keys, True, null_policy), n_models
         )
 
     moved = top(shifted, shifted_reference, [d - shift for d in offsets])

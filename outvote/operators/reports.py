@@ -10,7 +10,7 @@ from ..defaults import DATA_OFFSET, MODELS, REF_VALUE, THRESHOLD, TOL, VALUE
 from ..functions.expr import clean_number, ratio, with_row_stats
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
-from ..plans.staging import lookup, stage
+from ..plans.staging import lookup, row_bytes, stage
 from .cards import cards
 from .errors import basic_stats, dataset_keys, is_modified, value_diffs
 from .features import histogram
@@ -30,20 +30,20 @@ def bin_values(df: DataFrame, column: str, edges, out="bin_val") -> DataFrame:
     """Adds the edge that stands for a value's right-open bin, to three digits.
 
     A bin is named by its upper edge; below the first edge the lowest, from the last on the
-    highest.
+    highest. A missing value, NULL or NaN, goes to the highest as well.
     """
     edges = [float(e) for e in edges]
     inner = [round(edges[i], 3) for i in range(1, len(edges))]
     names = [round(min(edges), 3), *inner, round(max(edges), 3)]
-    rows = df.withColumns({"_x": F.col(column), "_edges": F.array(*map(F.lit, edges))})
+    rows = df.withColumns({"_x": F.coalesce(clean_number(column), F.lit(float("inf"))), "_edges": F.array(*map(F.lit, edges))})
     rows = count_passed(rows, {"_bin": ("_x", "_edges")}, len(edges))
     return rows.withColumn(out, F.get(F.array(*map(F.lit, names)), F.col("_bin"))).drop("_x", "_edges", "_bin")
 
 
-def binned_error_profile(df: DataFrame, edges, models=MODELS, value=VALUE, method="auto") -> DataFrame:
+def binned_error_profile(df: DataFrame, edges, models=MODELS, value=VALUE) -> DataFrame:
     """Share of entries and median error of the median prediction in each value bin."""
     rows = bin_values(basic_stats(df, models, None, value), value, edges).select("bin_val", "d_median_a")
-    binned = exact_quantiles(rows, ["bin_val"], ["d_median_a"], [0.5], "skip", method)
+    binned = exact_quantiles(rows, ["bin_val"], ["d_median_a"], [0.5], "skip")
     whole = F.sum("n_rows").over(Window.partitionBy())  # over one row per bin
     return binned.select(
         "bin_val", F.col("n_rows").alias("n"), (F.col("n_rows") / whole).alias("share"), F.get("d_median_a", 0).alias("median_error")
@@ -58,16 +58,32 @@ def _regression(x, y):
     ]
 
 
-def error_regression(df: DataFrame, edges, models=MODELS, value=VALUE, method="auto") -> DataFrame:
+def inner_bins(df: DataFrame, edges, models=MODELS, value=VALUE) -> DataFrame:
+    """The binned profile without its first and last bin."""
+    bins = stage(binned_error_profile(df, edges, models, value))
+    ends = bins.agg(F.min("bin_val").alias("low"), F.max("bin_val").alias("high"))
+    return bins.filter((F.col("bin_val") > ends.select("low").scalar()) & (F.col("bin_val") < ends.select("high").scalar()))
+
+
+def error_regression(df: DataFrame, edges, models=MODELS, value=VALUE) -> DataFrame:
     """Error of the median prediction against the value: over entries, and over inner bin medians."""
     raw = basic_stats(df, models, None, value).agg(*_regression(F.col(value), F.col("d_median_a")))
-    bins = stage(binned_error_profile(df, edges, models, value, method))
-    ends = bins.agg(F.min("bin_val").alias("low"), F.max("bin_val").alias("high"))
-    inner = bins.filter((F.col("bin_val") > ends.select("low").scalar()) & (F.col("bin_val") < ends.select("high").scalar()))
-    medians = inner.agg(*_regression(F.col("bin_val"), F.col("median_error")))
+    medians = inner_bins(df, edges, models, value).agg(*_regression(F.col("bin_val"), F.col("median_error")))
     return raw.withColumn("fit", F.lit("entries")).unionByName(medians.withColumn("fit", F.lit("bin_medians")))
 
 
+def slope_statistics(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: ``slope``, its standard error ``stderr``, ``t`` and degrees of freedom ``dof`` of y on x."""
+    pair = F.col(x).isNotNull() & F.col(y).isNotNull()
+    sums = df.agg(
+        F.regr_slope(y, x).alias("slope"), F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy"),
+        (F.count_if(pair) - 2).alias("dof"),
+    )
+    rest = F.col("_syy") - F.col("slope") * F.col("_sxy")
+    stderr = F.when((F.col("dof") > 0) & (F.col("_sxx") > 0), F.sqrt(F.greatest(rest, F.lit(0.0)) / F.col("dof") / F.col("_sxx")))
+    return sums.withColumn("stderr", stderr).select("slope", "stderr", (F.col("slope") / F.nullif(F.col("stderr"), F.lit(0.0))).alias("t"), "dof")
+
+
 def slope_p_value(df: DataFrame, x: str, y: str) -> float:
     """Two-sided p of a regression slope."""
     points = VectorAssembler(inputCols=[x], outputCol="_x").transform(df.select(x, y).dropna())
@@ -77,7 +93,7 @@ def slope_p_value(df: DataFrame, x: str, y: str) -> float:
 
 def model_error_summary(
     df: DataFrame, ref=None, original=None, models=MODELS, value=VALUE, data_offset=DATA_OFFSET,
-    keys=None, split_modified=True, with_own=True, method="auto",
+    keys=None, split_modified=True, with_own=True,
 ) -> DataFrame:
     """Mean and median error per dataset and model against several kinds of reference.
 
@@ -104,15 +120,15 @@ def model_error_summary(
     rows = df.withColumn("modified", is_modified(value, ref)) if ref is not None else df
     rows = with_row_stats(rows, models, "_median").withColumn("_den", F.col("_median") + F.lit(data_offset))
     rows = rows.withColumns(sizes).withColumns(ratios).select(*ids, *sizes, *ratios)
-    return _mean_and_median(rows, ids, cells, ("ref_type", "model_name", "delta_type"), method)
+    return _mean_and_median(rows, ids, cells, ("ref_type", "model_name", "delta_type"))
 
 
-def _mean_and_median(rows, ids, cells, labels, method):
+def _mean_and_median(rows, ids, cells, labels):
     """Long table of mean and median of many columns per group. ``cells``: (label..., column)."""
     names = [c[-1] for c in cells]
     means = rows.groupBy(*ids).agg(*[F.avg(n).alias(f"_mean{n}") for n in names])
-    medians = stage(exact_quantiles(rows, ids, names, [0.5], "skip", method))
-    both = lookup(means, medians, ids, "inner", 100 + 24 * len(names))
+    medians = stage(exact_quantiles(rows, ids, names, [0.5], "skip"))
+    both = lookup(means, medians, ids, "inner", row_bytes(3 * len(names)))
     out = F.array(
         *[
             F.struct(
@@ -129,16 +145,16 @@ def _mean_and_median(rows, ids, cells, labels, method):
 
 def group_sizes(
     df: DataFrame, ref=None, models=MODELS, threshold=THRESHOLD, data_offset=DATA_OFFSET, group_stat="abs",
-    groups=None, value=VALUE, keys=None, method="auto",
+    groups=None, value=VALUE, keys=None,
 ) -> DataFrame:
     """Number of entries per dataset, known state and group."""
     keys = dataset_keys(df, keys)
-    kind = group_stat if group_stat in ("abs", "rel", "both") else "abs"
+    kind = group_stat if group_stat in ("abs", "rel", "both", "norm") else "abs"
     ids = list(keys)
     if ref is not None:
         df = df.withColumn("modified", is_modified(value, ref))
         ids.append("modified")
-    marked = cards(df, models, threshold, data_offset, (kind,), value, keys, method=method)
+    marked = cards(df, models, threshold, data_offset, ("abs" if kind == "norm" else kind,), value, keys)
     sizes = marked.groupBy(*ids, F.col(f"cards_{kind}").alias("group_no")).agg(F.count("*").alias("size"))
     return sizes if groups is None else sizes.filter(F.col("group_no").isin(list(groups)))
 
@@ -155,19 +171,20 @@ def group_size_histogram(sizes: DataFrame, n_models=len(MODELS)) -> DataFrame:
 
 def group_statistics(
     df: DataFrame, ref=None, models=MODELS, thresholds=THRESHOLD, data_offset=DATA_OFFSET, group_stat="abs",
-    groups=None, value=VALUE, keys=None, own_reference=False, method="auto",
+    groups=None, value=VALUE, keys=None, own_reference=False,
 ) -> DataFrame:
     """Entries with group, prediction statistics and each model's error ``err_<model>``.
 
     Errors are against ``ref`` if given, or the recorded values with ``own_reference``.
     Everything is local to the row once the cutoffs are known.
     """
-    kind = group_stat if group_stat in ("abs", "rel", "both") else "abs"
+    kind = group_stat if group_stat in ("abs", "rel", "both", "norm") else "abs"
     target = value if own_reference or ref is None else ref
-    marked = cards(df, models, thresholds, data_offset, (kind,), value, keys, method=method)
+    counted = "abs" if kind == "norm" else kind
+    marked = cards(df, models, thresholds, data_offset, (counted,), value, keys)
     out = basic_stats(marked, models, target, value, data_offset)
     out = out.withColumns({f"err_{m}": F.abs(clean_number(m) - clean_number(target)) for m in models})
-    out = out.withColumn("group_no", F.col(f"cards_{kind}")).drop(f"cards_{kind}", "cards_norm")
+    out = out.withColumn("group_no", F.col(f"cards_{kind}")).drop(f"cards_{counted}", "cards_norm")
     if ref is not None:
         out = out.withColumn("modified", is_modified(value, ref))
     return out if groups is None else out.filter(F.col("group_no").isin(list(groups)))
@@ -197,21 +214,21 @@ def group_means(stats: DataFrame, stat: str, keys=None) -> DataFrame:
     )
 
 
-def group_aggregates(stats: DataFrame, columns=STATS, keys=None, split_modified=False, method="auto") -> DataFrame:
+def group_aggregates(stats: DataFrame, columns=STATS, keys=None, split_modified=False) -> DataFrame:
     """Mean and median of statistics per dataset, threshold and group, in long form."""
     ids = [*dataset_keys(stats, keys), "threshold_pct", "group_no", *(["modified"] if split_modified else [])]
     cells = [(c, c) for c in columns]
     rows = stats.select(*ids, *[F.col(c).alias(c) for c in columns])
-    return _mean_and_median(rows, ids, cells, ("stat",), method)
+    return _mean_and_median(rows, ids, cells, ("stat",))
 
 
-def clipped_density(stats: DataFrame, stat: str, group="group_no", bins=50, upper=0.99, method="auto") -> DataFrame:
+def clipped_density(stats: DataFrame, stat: str, group="group_no", bins=50, upper=0.99) -> DataFrame:
     """Density of a statistic per group on equal bins from 0 to its overall ``upper`` quantile.
 
     Values outside are left out; each group's density covers its counted rows.
     """
     rows = stats.select(F.col(group), F.col(stat).alias("_x"))
-    top = exact_quantiles(rows, [], ["_x"], [upper], "skip", method).select(F.get("_x", 0).alias("top"))
+    top = exact_quantiles(rows, [], ["_x"], [upper], "skip").select(F.get("_x", 0).alias("top"))
     inner = F.transform(F.array(*[F.lit(i) for i in range(bins)]), lambda i: i * (F.col("top") / bins))
     edges = stage(top.select(F.concat(inner, F.array("top")).alias("edges"))).scalar()  # made once, not per row
     rows = rows.withColumn("_edges", edges).withColumn("_top", F.get("_edges", bins))
@@ -230,10 +247,10 @@ def clipped_density(stats: DataFrame, stat: str, group="group_no", bins=50, uppe
     )
 
 
-def distribution_summary(stats: DataFrame, columns, ids, qs=EIGHTHS, method="auto") -> DataFrame:
+def distribution_summary(stats: DataFrame, columns, ids, qs=EIGHTHS) -> DataFrame:
     """Quantiles per group for box-like figures, in long form."""
     ids, columns = list(ids), list(columns)
-    found = exact_quantiles(stats, ids, columns, qs, "skip", method)
+    found = exact_quantiles(stats, ids, columns, qs, "skip")
     rows = F.array(
         *[F.struct(F.lit(c).alias("stat"), F.lit(float(q)).alias("q"), F.get(c, i).alias("value")) for c in columns for i, q in enumerate(qs)]
     )

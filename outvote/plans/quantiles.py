@@ -1,26 +1,30 @@
 """Exact linear-interpolation quantiles per dataset, for several columns in one pass.
 
-Small inputs are sorted, each dataset inside one task. Past ``SORT_VALUES`` values in all the
-same numbers come from bracketing: a mergeable sketch gives pivots around every wanted rank,
-one counting pass places all rows among the pivots and keeps only distinct values next to
-the wanted ranks, and those are ranked with a distributed sort. Sketch error costs time,
-never correctness: a rank that falls outside its bracket is found by widening it.
+One plan for every size. A first pass counts values on a logarithmic grid and so finds, for each wanted
+rank, the cell of values that holds it. Later passes cut the cells that hold wanted ranks into
+``SPLIT`` parts, until none has more than ``CELL`` values; the last pass counts the distinct values of
+what is left. Cells are known by their smallest and largest value, and both kinds of cut are monotone, so
+ranks add up exactly. Each pass is one aggregation that combines before the shuffle; cells
+shrink at least a thousandfold a pass, and no task ever holds more than one cell.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expr import between_ranks
+from ..functions.expr import between_ranks, clean_number
 from .levels import count_passed
-from .ranks import running_total
-from .staging import fits_broadcast, lookup, stage
+from .staging import lookup, row_bytes, stage
 
-SORT_VALUES = 12_000_000  # some 300 MB as sorted lists, wherever they meet
-ACCURACY = 10_000
+SPLIT = 1024
+CELL = 50_000
+_STEPS = 16  # cells of the first grid in a factor of e
+_ZERO = 20_000  # above any number of steps to the smallest double
 
 
-def exact_quantiles(df: DataFrame, keys, columns, qs, null_policy="poison", method="auto") -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, columns, qs, null_policy="poison") -> DataFrame:
     """Per dataset: ``n_rows`` and, for each column, an array of its quantiles in the order of ``qs``.
 
     ``null_policy='poison'``: one missing value makes the whole array NULL. ``'skip'``:
@@ -30,21 +34,38 @@ def exact_quantiles(df: DataFrame, keys, columns, qs, null_policy="poison", meth
     if null_policy not in ("poison", "skip"):
         raise ValueError(f"unknown null_policy {null_policy!r}")
     df = df.select(*keys, *columns).dropna(subset=keys) if keys else df.select(*columns)
-    if method == "auto":
-        method = "sort" if df.count() * len(columns) <= SORT_VALUES else "bracket"
-    if method == "sort":
-        stats = _by_sorting(df, keys, columns, qs)
-    elif method == "bracket":
-        stats = _by_bracketing(df, keys, columns, qs)
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    out = [*keys, "n_rows"]
-    for c in columns:
-        values = F.col(f"_q_{c}")
-        if null_policy == "poison":
-            values = F.when(F.col(f"_v_{c}") == F.col("n_rows"), values)
-        out.append(values.alias(c))
-    return stats.select(*out)
+    # One narrow row per value: with all columns in a row the generated code gets too big to be compiled.
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), clean_number(c).alias("_x")) for i, c in enumerate(columns)])
+    long, ids = df.select(*keys, F.inline(cells)), [*keys, "_c"]
+    grid = stage(_counted(long, ids, _grid(F.col("_x"))))
+
+    counts = grid.groupBy(*ids).agg(F.sum("_n").alias("n_rows"), F.sum(F.when(F.col("_part").isNotNull(), F.col("_n"))).alias("_v"))
+    slots = F.array(*[F.struct(*[v.cast(t).alias(k) for k, v, t in zip(("low", "high", "weight"), _place(F.lit(q), F.col("_v")), ("long", "long", "double"))]) for q in qs])
+    facts = stage(counts.withColumn("_slots", F.when(F.col("_v") > 0, slots)))
+    ranks = F.array_sort(F.array_distinct(F.concat(F.col("_slots.low"), F.col("_slots.high"))))
+    state = facts.filter("_v > 0").select(*ids, F.lit(0).alias("_cell"), F.lit(0).cast("long").alias("_below"), ranks.alias("_ranks"))
+    width = 2 * len(qs)
+    kept = _narrowed(grid.filter("_part is not null").withColumn("_cell", F.lit(0)), ids, state, width)
+    found = [_values(kept, ids)]
+    while (most := kept.filter("_low < _high").agg(F.max("_n")).first()[0]) is not None:
+        part = F.col("_x") if most <= CELL else F.floor((F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low")) * SPLIT)
+        state = kept.filter("_low < _high").withColumn("_cell", F.row_number().over(Window.partitionBy(*ids).orderBy("_low")))
+        state = stage(state)
+        hist = _counted(_inside(long, ids, state, width), [*ids, "_cell"], part)
+        kept = _narrowed(hist, ids, state.select(*ids, "_cell", "_below", "_ranks"), width)
+        found.append(_values(kept, ids))
+
+    # At most two entries per wanted quantile.
+    held = reduce(DataFrame.unionByName, found).groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_held"))
+    value = lambda s: between_ranks(F.try_element_at("_held", s["low"]), F.try_element_at("_held", s["high"]), s["weight"])
+    done = facts.join(held, ids, "left").withColumn("_q", F.transform("_slots", value))
+    out = done.groupBy(*keys).agg(
+        F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows"),
+        *[F.max(F.when(F.col("_c") == i, F.struct("_v", "_q"))).alias(f"_q{i}") for i in range(len(columns))],
+    )
+    complete = lambda i: F.when(F.col(f"_q{i}._v") == F.col("n_rows"), F.col(f"_q{i}._q"))
+    pick = complete if null_policy == "poison" else lambda i: F.col(f"_q{i}._q")
+    return out.select(*keys, "n_rows", *[pick(i).alias(c) for i, c in enumerate(columns)])
 
 
 def _place(q, n):
@@ -54,136 +75,44 @@ def _place(q, n):
     return low, F.least(low + 1, n - 1), at - low
 
 
-def _by_sorting(df, keys, columns, qs):
-    aggs = [F.count("*").alias("n_rows")]
-    for c in columns:
-        aggs += [F.count(c).alias(f"_v_{c}"), F.sort_array(F.collect_list(c)).alias(f"_s_{c}")]
-    sorted_sets = df.groupBy(*keys).agg(*aggs)
-
-    def pick(c, q):
-        low, high, weight = _place(q, F.col(f"_v_{c}"))
-        at = F.col(f"_s_{c}")
-        return between_ranks(F.get(at, low.cast("int")), F.get(at, high.cast("int")), weight)
-
-    wanted = F.array(*map(F.lit, qs))
-    return sorted_sets.select(
-        *keys,
-        "n_rows",
-        *[f"_v_{c}" for c in columns],
-        *[
-            F.when(F.col(f"_v_{c}") > 0, F.transform(wanted, lambda q: pick(c, q))).alias(f"_q_{c}")
-            for c in columns
-        ],
-    )
+def _grid(x):
+    """A whole number that never falls with x: equal steps of the logarithm, apart by sign."""
+    size = F.abs(x)
+    steps = F.when(x == 0, 0).when(size == float("inf"), 2 * _ZERO).otherwise(F.floor(F.ln(size) * _STEPS) + _ZERO)
+    return (F.signum(x) * steps).cast("int")
 
 
-def _by_bracketing(df, keys, columns, qs, accuracy=ACCURACY, margin=None):
-    margin = 2.0 / accuracy if margin is None else margin
-    levels = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-margin, margin)})
-    wanted = _wanted_gaps(levels, qs, margin)
-    number = {c: i for i, c in enumerate(columns)}
-
-    aggs = [F.count("*").alias("n_rows")]
-    for c in columns:
-        aggs.append(F.count(c).alias(f"_v_{c}"))
-        aggs.append(F.percentile_approx(c, [float(u) for u in levels], accuracy).alias(f"_p_{c}"))
-    sketch = stage(df.groupBy(*keys).agg(*aggs))
-
-    facts = sketch.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(number[c]).alias("col"), F.col(f"_v_{c}").alias("n"), F.col(f"_p_{c}").alias("p"))
-                    for c in columns
-                ]
-            )
-        ),
-    ).filter("n > 0")
-
-    # Place every value among the pivots: even buckets are gaps, odd ones are the pivots. One
-    # narrow row per value: with all columns and pivots in a row the generated code gets too
-    # big to be compiled.
-    cells = F.array(*[F.struct(F.lit(number[c]).alias("col"), F.col(c).alias("x")) for c in columns])
-    long = df.select(*keys, F.inline(cells)).filter(F.col("x").isNotNull())
-    long = lookup(long, facts.select(*keys, "col", "p"), [*keys, "col"], "inner", 100 + 8 * len(levels))
-    long = count_passed(long, {"_b": ("x", "p")}, len(levels))
-    at_edge = F.coalesce(F.get("p", F.col("_b") - 1) == F.col("x"), F.lit(False)).cast("int")
-    long = long.select(*keys, "col", "x", (2 * F.col("_b") - at_edge).alias("bucket"))
-    keep = F.get(F.array(*[F.lit(w) for w in wanted]), F.col("bucket"))
-    cell = [*keys, "col", "bucket"]
-    hist = stage(
-        long.withColumn("x", F.when(keep, F.col("x")))
-        .groupBy(*cell, "x")
-        .agg(F.count("*").alias("cnt"))
-    )
+def _counted(rows, by, part):
+    """Size, smallest and largest value of each part."""
+    return rows.groupBy(*by, part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
 
-    # Bucket totals: at most 2 * len(levels) + 1 rows per dataset and column.
-    over = Window.partitionBy(*keys, "col").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = hist.groupBy(*cell).agg(F.sum("cnt").alias("size")).withColumn(
-        "below", F.coalesce(F.sum("size").over(over), F.lit(0))
-    )
-    ranks = F.array(
-        *[
-            F.struct(F.lit(i).alias("slot"), *[v.cast(t).alias(k) for k, v, t in zip(("low", "high", "weight"), _place(F.lit(q), F.col("n")), ("long", "long", "double"))])
-            for i, q in enumerate(qs)
-        ]
-    )
-    slots = facts.select(*keys, "col", "p", F.inline(ranks))
-    ends = slots.select(
-        *keys, "col", "p", "slot", "weight",
-        F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("low").alias("rank")), F.struct(F.lit(1).alias("side"), F.col("high").alias("rank")))),
-    )
-    placed = stage(
-        ends.join(totals, [*keys, "col"])
-        .filter((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("size")))
-        .withColumn("is_pivot", F.col("bucket") % 2 == 1)
-        .withColumn("is_kept", keep)
-    )
-    if margin < 1 and not placed.filter("not is_pivot and not is_kept").isEmpty():
-        return _by_bracketing(df, keys, columns, qs, accuracy, margin * 10)
-
-    at_pivot = placed.filter("is_pivot").withColumn("x", F.get("p", ((F.col("bucket") - 1) / 2).cast("int")))
-    seen = running_total(hist.filter(F.col("x").isNotNull()), [*cell, "x"], F.col("cnt"), "upto")
-    first = seen.groupBy(*cell).agg(F.min(F.col("upto") - F.col("cnt")).alias("start"))
-    seekers = placed.filter("not is_pivot")
-    if fits_broadcast(seekers):
-        seekers = F.broadcast(seekers)
-    in_gap = (
-        seen.select(*cell, "x", "cnt", "upto")
-        .join(seekers, cell)
-        .join(first, cell)
-        .withColumn("at", F.col("rank") - F.col("below") + F.col("start"))
-        .filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("cnt")))
-    )
-    shape = [*keys, "col", "slot", "weight", "side", "x"]
-    found = at_pivot.select(*shape).unionByName(in_gap.select(*shape))
-    values = (
-        found.groupBy(*keys, "col", "slot")
-        .agg(
-            F.max(F.when(F.col("side") == 0, F.col("x"))).alias("low"),
-            F.max(F.when(F.col("side") == 1, F.col("x"))).alias("high"),
-            F.max("weight").alias("weight"),
-        )
-        .withColumn("value", between_ranks(F.col("low"), F.col("high"), F.col("weight")))
-        .groupBy(*keys, "col")
-        .agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("_slots"))
-        .withColumn("_slots", F.col("_slots.value"))
-        .groupBy(*keys)
-        .agg(*[F.max_by(F.when(F.col("col") == i, F.col("_slots")), F.col("col") == i).alias(f"_q_{c}") for c, i in number.items()])
+
+def _narrowed(parts, ids, state, width):
+    """The parts that hold wanted ranks: with their values' bounds and number, the rows below and those ranks.
+
+    ``state`` has the wanted ranks of each cell, ascending. Parts of a cell: the first grid has some ten
+    thousand, a split ``SPLIT``, the last pass at most CELL; a few of them are looked up by each part.
+    """
+    cell = [*ids, "_cell"]
+    over = Window.partitionBy(*cell).orderBy("_low").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.join(state, cell).withColumn("_upto", F.col("_below") + F.sum("_n").over(over) - 1)
+    rows = rows.withColumn("_from", F.col("_upto") - F.col("_n"))
+    rows = count_passed(rows, {"_first": ("_from", "_ranks"), "_last": ("_upto", "_ranks")}, width)
+    kept = rows.filter("_last > _first").select(
+        *ids, "_low", "_high", "_n", (F.col("_from") + 1).alias("_below"), F.slice("_ranks", F.col("_first") + 1, F.col("_last") - F.col("_first")).alias("_ranks")
     )
-    counts = sketch.select(*keys, "n_rows", *[f"_v_{c}" for c in columns])
-    if not keys:
-        return counts.withColumn("_one", F.lit(1)).join(values.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    return counts.join(values, keys, "left")
-
-
-def _wanted_gaps(levels, qs, margin):
-    """For each bucket number, whether its values may hold a wanted rank."""
-    edges = [0.0, *levels, 1.0]
-    near = 1e-12
-    flags = []
-    for i in range(len(levels) + 1):
-        low, high = edges[i], edges[i + 1]
-        flags += [any(q - margin <= low + near and high - near <= q + margin for q in qs), False]
-    return flags[:-1]
+    return stage(kept)
+
+
+def _values(kept, ids):
+    return kept.filter("_low = _high").select(*ids, F.explode("_ranks").alias("_rank"), F.col("_low").alias("_value"))
+
+
+def _inside(long, ids, state, width):
+    """The values that lie in a cell of ``state``, with its number and bounds."""
+    arrays = state.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_low", "_high", "_cell"))).alias("_cells"))
+    arrays = stage(arrays.select(*ids, F.col("_cells._low").alias("_lows"), "_cells"))
+    rows = lookup(long.filter(F.col("_x").isNotNull()), arrays, ids, "inner", row_bytes(4 * width))
+    rows = count_passed(rows, {"_at": ("_x", "_lows")}, width)
+    rows = rows.withColumn("_own", F.get("_cells", F.col("_at") - 1)).filter(F.col("_x") <= F.col("_own._high"))
+    return rows.select(*ids, "_x", "_own._cell", "_own._low", "_own._high")

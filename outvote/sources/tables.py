@@ -65,11 +65,19 @@ def apply_mask(df: DataFrame, spark: SparkSession, path: str, id_col=ENTRY_ID) -
 
 
 def stack_datasets(frames: dict, keys=DATASET_KEYS) -> DataFrame:
-    """Union of frames, each labelled with its key values."""
+    """Union of frames, each labelled with its key values.
+
+    Labels of a key that are all numbers become doubles, others text. A label for each key is needed.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    labelled = [(labels if isinstance(labels, tuple) else (labels,), frame) for labels, frame in frames.items()]
+    for labels, _ in labelled:
+        if len(labels) != len(keys):
+            raise ValueError(f"{labels!r} does not label {keys}")
+    numeric = [all(isinstance(labels[i], (int, float)) and not isinstance(labels[i], bool) for labels, _ in labelled) for i in range(len(keys))]
     out = None
-    for labels, frame in frames.items():
-        labels = labels if isinstance(labels, tuple) else (labels,)
-        part = frame.select(*[F.lit(float(v)).alias(k) for k, v in zip(keys, labels)], *frame.columns)
+    for labels, frame in labelled:
+        part = frame.select(*[F.lit(float(v) if n else str(v)).alias(k) for k, v, n in zip(keys, labels, numeric)], *frame.columns)
         out = part if out is None else out.unionByName(part)
     return out
 

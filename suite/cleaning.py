@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from outvote.operators import cleaning as P
+from outvote.operators.cleaning import LAYERED_KEY
 from outvote.operators.cards import cards
 
 from .fixtures import predictions, table
@@ -100,7 +101,7 @@ SQL = {
     "rejected_rows": f"select doc_id, lang, n_chars from documents where not {_VALID}",
     "truncated_keys": r"""with rows as (select p_partkey, (case when p_partkey % 5 = 0 then 'Other=1S/C' else 'InChI=1S/C' end) || p_partkey || 'H12/c1-2(3,4)'
         || (case when p_partkey % 3 = 0 then '/t5-,6+' else '/h1-3H,(H,4,5)/t6-/m0/s1' end) as key from part)
-        select p_partkey, nullif(regexp_extract(key, '^(InChI=1S/[\w]+/[\w\d\-\(\)\,]+/h[\w\d\,\(\)\-]+)/{0,1}.*', 1), '') as short_key from rows""",
+        select p_partkey, nullif(regexp_extract(key, '""" + LAYERED_KEY + """', 1), '') as short_key from rows""",
     "first_documents": "select doc_id, lang, source from documents qualify row_number() over (partition by text order by doc_id) = 1",
     "float_columns": "select p_partkey, p_retailprice as real_text, case when p_size > 3 then p_size::double end as gappy_text, p_retailprice from part",
     "missing_filled": "select doc_id, coalesce(quality, 0) as quality, coalesce(toxic, 0) as toxic from documents left join labels using (doc_id)",

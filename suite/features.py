@@ -12,6 +12,7 @@ from .fixtures import GRAPH_SQL, descriptors, graph, table
 from .sqltext import num, r6, values_table
 
 COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+# The first four numbers of numpy's default generator with seed 42.
 WEIGHTS = (0.7739560485559633, 0.4388784397520523, 0.8585979199113825, 0.6973680290593639)
 EDGES = tuple(float(x) for x in range(0, 500, 20))
 
@@ -48,11 +49,11 @@ def symbol_vocabulary(spark, sf):
 
 
 def node_signatures(spark, sf):
-    return X.node_signatures(*graph(spark, sf)).select("node_id", "signature")
+    return X.node_signatures(*graph(spark, sf)).select("graph_id", "node_id", "signature")
 
 
 def signature_codes(spark, sf):
-    return X.signature_codes(X.node_signatures(*graph(spark, sf))).select("node_id", "code", "n_signatures")
+    return X.signature_codes(X.node_signatures(*graph(spark, sf))).select("graph_id", "node_id", "code", "n_signatures")
 
 
 def _bonds(spark, sf):
@@ -100,9 +101,10 @@ QUERIES = {
 _FIT = "fit as (select " + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in COLUMNS) + " from lineitem)"
 _Z = {c: f"(({c} - m_{c}) / s_{c})" for c in COLUMNS}
 _SIGNED = f"""with {GRAPH_SQL.strip()},
-ends as (select src as node_id, dst as other from edges union all select dst, src from edges),
-around as (select ends.node_id, string_agg(label, '' order by label) as text from ends join nodes on nodes.node_id = ends.other group by ends.node_id),
-signed as (select nodes.node_id, label || '-' || degree || '-' || hydrogens || '-' || charge || '_' || coalesce(text, '') as signature from nodes left join around using (node_id))"""
+ends as (select graph_id, src as node_id, dst as other from edges union all select graph_id, dst, src from edges),
+around as (select ends.graph_id, ends.node_id, string_agg(label, '' order by label) as text
+  from ends join nodes on nodes.node_id = ends.other and nodes.graph_id = ends.graph_id group by ends.graph_id, ends.node_id),
+signed as (select nodes.graph_id, nodes.node_id, label || '-' || degree || '-' || hydrogens || '-' || charge || '_' || coalesce(text, '') as signature from nodes left join around using (graph_id, node_id))"""
 _UNIT = "((('0x' || substr(md5(event_id::varchar || '|{s}'), {a}, 8))::bigint + {p}) / 4294967296.0::double)"
 _U1, _U2 = _UNIT.format(s=SEED, a=1, p=1), _UNIT.format(s=SEED, a=9, p=0)
 _EDGE_ROWS = values_table("bins", "bin, left_edge, right_edge", [(str(i), num(EDGES[i]), num(EDGES[i + 1])) for i in range(len(EDGES) - 1)])
@@ -123,10 +125,10 @@ SQL = {
         select p_partkey, array_to_string(list_concat(codes, list_resize([]::bigint[], 64 - len(codes), 0::bigint)), ',') as codes from coded""",
     "symbol_vocabulary": """with chars as (select doc_id, unnest(string_split(text, '')) as symbol, generate_subscripts(string_split(text, ''), 1) as pos from documents)
         select symbol, row_number() over (order by min((doc_id, pos)))::int as code from chars group by symbol""",
-    "node_signatures": _SIGNED + " select node_id, signature from signed",
+    "node_signatures": _SIGNED + " select graph_id, node_id, signature from signed",
     "signature_codes": _SIGNED
-    + """, voc as (select signature, row_number() over (order by min(node_id)) - 1 as code from signed group by signature)
-        select node_id, code, (select count(*) + 1 from voc) as n_signatures from signed join voc using (signature)""",
+    + """, voc as (select signature, row_number() over (order by min((graph_id, node_id))) - 1 as code from signed group by signature)
+        select graph_id, node_id, code, (select count(*) + 1 from voc) as n_signatures from signed join voc using (signature)""",
     "symmetric_edges": """with bonds as (select l_orderkey as graph_id, l_partkey as src, l_suppkey as dst,
         row_number() over (partition by l_orderkey order by l_partkey, l_suppkey) - 1 as b, count(*) over (partition by l_orderkey) as n
         from (select distinct l_orderkey, l_partkey, l_suppkey from lineitem))

@@ -78,24 +78,25 @@ def descriptors(spark, sf_dir):
 
 
 def graph(spark, sf_dir):
-    """Parts and suppliers as nodes, sales as bonds; one graph per supplier nation group."""
+    """Parts and suppliers as nodes, sales as bonds; one graph per supplier nation group, each with all parts."""
     parts = table(spark, sf_dir, "part").select(
-        F.lit(0).alias("graph_id"), F.col("p_partkey").alias("node_id"), F.col("p_type").alias("label"),
+        F.explode(F.sequence(F.lit(0), F.lit(4))).alias("graph_id"), F.col("p_partkey").alias("node_id"), F.col("p_type").alias("label"),
         (F.col("p_size") % 5).alias("degree"), (F.col("p_size") % 3).alias("hydrogens"), F.lit(0).alias("charge"),
     )
     suppliers = table(spark, sf_dir, "supplier").select(
-        F.lit(0).alias("graph_id"), (F.col("s_suppkey") + 100000000).alias("node_id"), F.concat(F.lit("N"), F.col("s_nationkey")).alias("label"),
+        (F.col("s_nationkey") % 5).cast("int").alias("graph_id"), (F.col("s_suppkey") + 100000000).alias("node_id"), F.concat(F.lit("N"), F.col("s_nationkey")).alias("label"),
         (F.col("s_nationkey") % 5).alias("degree"), F.lit(0).alias("hydrogens"), (F.col("s_nationkey") % 2).alias("charge"),
     )
-    edges = table(spark, sf_dir, "lineitem").select(
-        F.lit(0).alias("graph_id"), F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000000).alias("dst")
+    home = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") % 5).cast("int").alias("graph_id"))
+    edges = table(spark, sf_dir, "lineitem").join(home, "l_suppkey").select(
+        "graph_id", F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000000).alias("dst")
     ).distinct()
     return parts.unionByName(suppliers), edges
 
 
 GRAPH_SQL = """
 nodes as (
-  select 0 as graph_id, p_partkey as node_id, p_type as label, p_size % 5 as degree, p_size % 3 as hydrogens, 0 as charge from part
+  select g::int as graph_id, p_partkey as node_id, p_type as label, p_size % 5 as degree, p_size % 3 as hydrogens, 0 as charge from part, range(5) r(g)
   union all
-  select 0, s_suppkey + 100000000, 'N' || s_nationkey, s_nationkey % 5, 0, s_nationkey % 2 from supplier),
-edges as (select distinct 0 as graph_id, l_partkey as src, l_suppkey + 100000000 as dst from lineitem)"""
+  select (s_nationkey % 5)::int, s_suppkey + 100000000, 'N' || s_nationkey, s_nationkey % 5, 0, s_nationkey % 2 from supplier),
+edges as (select distinct (s_nationkey % 5)::int as graph_id, l_partkey as src, l_suppkey + 100000000 as dst from lineitem join supplier on l_suppkey = s_suppkey)"""

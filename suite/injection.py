@@ -1,6 +1,6 @@
 """Known errors, folds and out-of-fold predictions."""
 
-from pyspark.ml.regression import DecisionTreeRegressor, FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from outvote.defaults import SEED
@@ -65,18 +65,24 @@ def _training(spark, sf):
 FEATURES = ("quantity", "discount", "size", "retail", "lines")
 
 
-def _small_estimators():
-    return {
-        "linear": LinearRegression(regParam=0.01),
-        "tree": DecisionTreeRegressor(maxDepth=4, seed=SEED),
-        "forest": RandomForestRegressor(numTrees=5, maxDepth=4, seed=SEED),
-        "boosted": GBTRegressor(maxIter=3, maxDepth=3, seed=SEED),
-        "factor": FMRegressor(factorSize=2, maxIter=10, stepSize=0.05, seed=SEED),
-    }
+def out_of_fold(spark, sf):
+    """Which fold each entry is in and how many models predict it: what SQL can tell of five different models."""
+    out = E.oof_predict(_training(spark, sf), FEATURES)
+    predicted = sum((F.col(m).isNotNull() & ~F.isnan(m)).cast("int") for m in E.default_estimators())
+    return out.select("entry_id", "fold", predicted.alias("n_predictions"))
 
 
-def out_of_fold(spark, sf):
-    return E.oof_predict(_training(spark, sf), FEATURES, estimators=_small_estimators(), k=2)
+def out_of_fold_linear(spark, sf):
+    """Plain least squares on one feature, which SQL can do fold by fold."""
+    line = {"linear": LinearRegression(regParam=0.0, solver="normal")}
+    out = E.oof_predict(_training(spark, sf), ("quantity",), estimators=line)
+    return out.select("entry_id", "fold", clean_round("linear", 4).alias("linear"))
+
+
+def experiment_grid_extra(spark, sf):
+    """The third plan: two small rates, one large shift."""
+    grid = J.experiment_grid(entries(spark, sf), rates=J.EXTRA_RATES, deltas=J.EXTRA_SHIFTS)
+    return grid.groupBy("var_add", "modified_pct").agg(F.count("*").alias("n"), clean_round(F.sum("values"), 0).alias("total"))
 
 
 def fold_errors(spark, sf):
@@ -101,6 +107,8 @@ QUERIES = {
     "fold_errors": fold_errors,
     "best_fold": best_fold,
     "out_of_fold": out_of_fold,
+    "out_of_fold_linear": out_of_fold_linear,
+    "experiment_grid_extra": experiment_grid_extra,
 }
 
 _DRAWN = f"""with {ENTRIES_SQL},
@@ -120,9 +128,9 @@ select entry_id, {out} from entries left join swap on entry_id = eid"""
     )
 
 
-def _grid_sql(deltas, scale, second):
-    g = values_table("rates", "r", [(num(r),) for r in J.RATES]), values_table("deltas", "d", [(num(d),) for d in deltas])
-    extra = f", round(sum(\"values\" / 2 + case when rk <= floor(r / 100 * n) then d * {num(scale)} else 0 end), 0) as total_second" if second else ", count(*) filter (rk <= floor(r / 100 * n)) as n_modified"
+def _grid_sql(deltas, scale, second, rates=J.RATES, changed=True):
+    g = values_table("rates", "r", [(num(r),) for r in rates]), values_table("deltas", "d", [(num(d),) for d in deltas])
+    extra = f", round(sum(\"values\" / 2 + case when rk <= floor(r / 100 * n) then d * {num(scale)} else 0 end), 0) as total_second" if second else "" if not changed else ", count(*) filter (rk <= floor(r / 100 * n)) as n_modified"
     return (
         _DRAWN
         + f""", {g[0]}, {g[1]}
@@ -138,7 +146,18 @@ ends as (select f, (select count(*) from entries) // 5 * (f + 1) + least(f + 1,
 folds as (select drawn.*, (select count(*) from ends where rk > last)::int as fold from drawn)"""
 )
 
+_TRAINING = """training as (
+  select l_orderkey as entry_id, sum(l_quantity) as quantity, sum(l_extendedprice) as "values" from lineitem join part on l_partkey = p_partkey group by l_orderkey),
+drawn as (select *, row_number() over (order by md5(entry_id::varchar || '|{seed}'), entry_id) as rk, count(*) over () as n from training),
+ends as (select f, (select count(*) from training) // 5 * (f + 1) + least(f + 1, (select count(*) from training) % 5) as last from (values (0), (1), (2), (3)) v(f)),
+folds as (select drawn.*, (select count(*) from ends where rk > last)::int as fold from drawn)""".format(seed=SEED)
+
 SQL = {
+    "out_of_fold": f"with {_TRAINING} select entry_id, fold, 5 as n_predictions from folds",
+    "out_of_fold_linear": f"""with {_TRAINING},
+      lines as (select f, regr_slope("values", quantity) as a, regr_intercept("values", quantity) as b from folds, range(5) r(f) where fold <> f group by f)
+      select entry_id, fold, {r6('a * quantity + b', 'linear', 4)} from folds join lines on fold = f""",
+    "experiment_grid_extra": _grid_sql(J.EXTRA_SHIFTS, 1.0, False, J.EXTRA_RATES, False),
     "sample_exact": _DRAWN + f' select entry_id, cust, "values" from drawn where rk <= floor({num(2.5 / 100)} * n)',
     "inject_shift": _DRAWN
     + f' select entry_id, cust, case when rk <= floor({num(5.0 / 100)} * n) then "values" + 1234.5::double else "values" end as "values" from drawn',

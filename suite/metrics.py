@@ -9,7 +9,7 @@ from outvote.defaults import DATA_OFFSETS, MODELS, THRESHOLDS, VALUE
 from outvote.functions.expr import clean_round
 from outvote.operators import metrics as M
 
-from .fixtures import predictions
+from .fixtures import predictions, table
 from .sqltext import DS, F1, P, R, errors_cte, marked_ctes, metrics_ctes, num, q_list, r6, rounded, values_table, with_preds
 
 RATIOS = ("group_ratio", "group_pos_ratio", "precision", "recall", "f1")
@@ -40,6 +40,12 @@ def metrics_observed_groups(spark, sf):
     return tidy(M.classification_metrics(predictions(spark, sf), thresholds=(5.0,), complete=False))
 
 
+def metrics_joined_reference(spark, sf):
+    """Known values in a frame of their own, which lacks many entries."""
+    known = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("entry_id"), F.col("o_totalprice").alias("values"))
+    return tidy(M.classification_metrics(predictions(spark, sf).drop("ref_values"), known, thresholds=(1.0, 5.0, 20.0)))
+
+
 def metrics_top_group(spark, sf):
     return tidy(M.group_slice(M.classification_metrics(predictions(spark, sf), thresholds=THRESHOLDS), len(MODELS)))
 
@@ -72,7 +78,7 @@ def method_comparison(spark, sf):
 def shifted_comparison(spark, sf):
     df = predictions(spark, sf)
     moved = df.withColumns({c: F.col(c) + 1.5 for c in (*MODELS, VALUE, "ref_values")})
-    return tidy(M.shifted_comparison(df, moved, thresholds=(1.0, 5.0, 20.0)))
+    return tidy(M.shifted_comparison(df, moved))
 
 
 def metric_maxima(spark, sf):
@@ -94,6 +100,7 @@ QUERIES = {
     "metrics_absolute_offsets": _metrics("abs", DATA_OFFSETS, (1.0, 5.0)),
     "metrics_observed_groups": metrics_observed_groups,
     "metrics_top_group": metrics_top_group,
+    "metrics_joined_reference": metrics_joined_reference,
     "subset_metrics": subset_metrics,
     "subset_best_max": _best("max"),
     "subset_best_median": _best("median"),
@@ -202,7 +209,7 @@ def _comparison_sql():
 def _shifted_sql():
     moved = ", ".join(f"{c} + 1.5::double as {c}" for c in MODELS)
     shifted = f'moved as (select entry_id, {DS}, "values" + 1.5::double as "values", ref_values + 1.5::double as ref_values, {moved} from preds)'
-    steps = (1.0, 5.0, 20.0)
+    steps = THRESHOLDS
     top = f"select threshold_pct, {DS}, data_offset, group_len, group_pos, {rounded()}, '{{0}}' as df_type from ({{1}}) where group_no = 5"
     orig = "with " + marked_ctes(steps, DATA_OFFSETS) + "," + metrics_ctes("both") + "select * from metrics"
     other = "with " + marked_ctes(steps, [d - 1.5 for d in DATA_OFFSETS], source="moved") + "," + metrics_ctes("both") + (
@@ -230,6 +237,13 @@ SQL = {
     "metrics_both_errors": _metrics_sql("both", DATA_OFFSETS),
     "metrics_absolute_offsets": _metrics_sql("abs", DATA_OFFSETS, (1.0, 5.0)),
     "metrics_observed_groups": _metrics_sql("abs", (1.5,), (5.0,), " where group_len > 0"),
+    "metrics_joined_reference": with_preds(
+        "known as (select o_orderkey as entry_id, o_totalprice as r from orders where o_orderstatus = 'F')",
+        "joined as (select * exclude (ref_values, r), r as ref_values from preds left join known using (entry_id))",
+        marked_ctes((1.0, 5.0, 20.0), (1.5,), source="joined"),
+        metrics_ctes("abs").strip(),
+    )
+    + f"select threshold_pct, {DS}, data_offset, group_no, group_len, group_pos, {rounded()} from metrics",
     "metrics_top_group": with_preds(marked_ctes(THRESHOLDS, (1.5,)), metrics_ctes("abs").strip())
     + f"select threshold_pct, {DS}, data_offset, group_len, group_pos, {rounded()} from metrics where group_no = 5",
     "subset_metrics": with_preds(_subset_ctes())

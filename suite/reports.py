@@ -29,10 +29,20 @@ def error_regression(spark, sf):
 
 
 def regression_p_value(spark, sf):
-    """The p value of the slope over all entries, next to the slope."""
-    rows = basic_stats(predictions(spark, sf)).select("values", "d_median_a")
-    p = T.slope_p_value(rows, "values", "d_median_a")
-    return rows.agg(F.regr_slope("d_median_a", "values").alias("slope")).withColumn("p", F.lit(float(p)))
+    """What the p value of a slope follows from, over all entries and over the inner bin medians."""
+    df = predictions(spark, sf)
+    entries = T.slope_statistics(basic_stats(df).select("values", "d_median_a"), "values", "d_median_a")
+    medians = T.slope_statistics(T.inner_bins(df, BINS), "bin_val", "median_error")
+    out = entries.withColumn("fit", F.lit("entries")).unionByName(medians.withColumn("fit", F.lit("bin_medians")))
+    return out.withColumns({c: clean_round(c, 5) for c in ("slope", "stderr", "t")})
+
+
+def binned_error_profile_missing(spark, sf):
+    """Values that are NULL or NaN stand in the last bin."""
+    eid = F.col("entry_id")
+    value = F.when(eid % 101 == 0, None).when(eid % 103 == 0, F.lit(float("nan"))).otherwise(F.col("values"))
+    out = T.binned_error_profile(predictions(spark, sf).withColumn("values", value), BINS)
+    return out.withColumns({c: clean_round(c) for c in ("share", "median_error")})
 
 
 def model_error_summary(spark, sf):
@@ -91,6 +101,7 @@ QUERIES = {
     "binned_error_profile": binned_error_profile,
     "error_regression": error_regression,
     "regression_p_value": regression_p_value,
+    "binned_error_profile_missing": binned_error_profile_missing,
     "model_error_summary": model_error_summary,
     "group_sizes": group_sizes,
     "group_size_histogram": group_size_histogram,
@@ -106,13 +117,22 @@ QUERIES = {
 _DELTA_BINS = values_table("bins", "bin, left_edge, right_edge", [(str(i), num(a), num(b)) for i, (a, b) in enumerate(zip(DELTA_EDGES, DELTA_EDGES[1:]))])
 _NAMES = [min(BINS), *BINS[1:], max(BINS)]
 _PROFILE = (
-    f'dist as (select *, abs({median_of(MODELS)} - "values") as dm from preds), '
+    f'dist as (select *, abs({median_of(MODELS)} - "values") as dm from source), '
     f'binned as (select dm, "values" as v, list_value({", ".join(num(round(x, 3)) for x in _NAMES)})[1 + '
     + " + ".join(f'("values" >= {num(b)})::int' for b in BINS)
     + "] as bin_val from dist), profile as (select bin_val, count(*) as n, count(*) / (select count(*) from binned) as share, quantile_cont(dm, 0.5::double) as median_error from binned group by bin_val)"
 )
 
 
+_INNER = "inner_bins as (select * from profile where bin_val > (select min(bin_val) from profile) and bin_val < (select max(bin_val) from profile))"
+
+
+def _slope(x, y, label, source):
+    slope, dof = f"regr_slope({y}, {x})", f"(regr_count({y}, {x}) - 2)"
+    error = f"sqrt((regr_syy({y}, {x}) - {slope} * regr_sxy({y}, {x})) / {dof} / regr_sxx({y}, {x}))"
+    return f"select '{label}' as fit, {r6(slope, 'slope', 5)}, {r6(error, 'stderr', 5)}, {r6(f'{slope} / {error}', 't', 5)}, {dof}::bigint as dof from {source}"
+
+
 def _regr(x, y, label, source):
     return f"select '{label}' as fit, {r6(f'regr_slope({y}, {x})', 'slope', 5)}, {r6(f'regr_intercept({y}, {x})', 'intercept', 5)}, {r6(f'regr_r2({y}, {x})', 'r2', 5)} from {source}"
 
@@ -161,13 +181,22 @@ SQL = {
     + f"""select ds.var_add, ds.modified_pct, bin, left_edge, right_edge, count(delta) as n from ds cross join bins left join deltas
       on deltas.var_add = ds.var_add and deltas.modified_pct = ds.modified_pct and delta >= left_edge and (delta < right_edge or (delta = right_edge and bin = {len(DELTA_EDGES) - 2}))
       group by all""",
-    "binned_error_profile": with_preds(_PROFILE) + f"select bin_val, n, {r6('share', 'share')}, {r6('median_error', 'median_error')} from profile",
+    "binned_error_profile": with_preds("source as (from preds)", _PROFILE) + f"select bin_val, n, {r6('share', 'share')}, {r6('median_error', 'median_error')} from profile",
     "error_regression": with_preds(
-        _PROFILE, "inner_bins as (select * from profile where bin_val > (select min(bin_val) from profile) and bin_val < (select max(bin_val) from profile))"
+        "source as (from preds)", _PROFILE, _INNER
     )
     + _regr("v", "dm", "entries", "binned")
     + " union all "
     + _regr("bin_val", "median_error", "bin_medians", "inner_bins"),
+    "regression_p_value": with_preds("source as (from preds)", _PROFILE, _INNER)
+    + _slope("v", "dm", "entries", "binned")
+    + " union all "
+    + _slope("bin_val", "median_error", "bin_medians", "inner_bins"),
+    "binned_error_profile_missing": with_preds(
+        'source as (select * replace (case when entry_id % 101 = 0 or entry_id % 103 = 0 then null else "values" end as "values") from preds)',
+        _PROFILE.replace('("values" >=', """(coalesce("values", 'inf'::double) >="""),
+    )
+    + f"select bin_val, n, {r6('share', 'share')}, {r6('median_error', 'median_error')} from profile",
     "model_error_summary": _summary_sql(),
     "group_sizes": with_preds(marked_ctes((5.0,), (1.5,)))
     + f"select {DS}, modified, cards_abs as group_no, count(*) as size from marked where cards_abs between 1 and 5 group by all",

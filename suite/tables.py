@@ -16,7 +16,7 @@ def csv_round_trip(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "event_type", "value")
     S.write_table(rows, path, fmt="csv")
     written(spark, path)
-    return S.read_table(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE").filter("value > 100")
+    return S.read_table(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE")
 
 
 def parquet_scan(spark, sf):
@@ -67,6 +67,13 @@ def stacked_datasets(spark, sf):
     return S.stack_datasets({(0.5, 1.0): rows, (2.5, 1.0): rows.withColumn("values", F.col("values") + 2.5)})
 
 
+def stacked_text_labels(spark, sf):
+    """Datasets told apart by names, as those of models and references are."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("entry_id"), F.col("o_totalprice").alias("values"))
+    half = rows.withColumn("values", F.col("values") / 2)
+    return S.stack_datasets({("noisy", 1): rows, ("base", 2): half}, ("ref_type", "part"))
+
+
 QUERIES = {
     "csv_round_trip": csv_round_trip,
     "parquet_scan": parquet_scan,
@@ -75,9 +82,10 @@ QUERIES = {
     "scaler_params_round_trip": scaler_params_round_trip,
     "row_mask": row_mask,
     "stacked_datasets": stacked_datasets,
+    "stacked_text_labels": stacked_text_labels,
 }
 SQL = {
-    "csv_round_trip": "select event_id, event_type, value from events where value > 100",
+    "csv_round_trip": "select event_id, event_type, value from events",
     "parquet_scan": "select event_type, count(*) as n, count(distinct user_id) as users from events group by event_type",
     "load_predictions": """with rows as (select *, event_type || '-' || user_id as smiles from events)
         select row_number() over (order by smiles, event_id) - 1 as entry_id, smiles, value + 1.5::double as "values",
@@ -89,4 +97,6 @@ SQL = {
     "row_mask": 'select o_orderkey as entry_id, o_totalprice as "values" from orders where o_totalprice > 200000',
     "stacked_datasets": """select 0.5::double as var_add, 1.0::double as modified_pct, o_orderkey as entry_id, o_totalprice as "values" from orders
         union all select 2.5::double, 1.0::double, o_orderkey, o_totalprice + 2.5::double from orders""",
+    "stacked_text_labels": """select 'noisy' as ref_type, 1.0::double as part, o_orderkey as entry_id, o_totalprice as "values" from orders
+        union all select 'base', 2.0::double, o_orderkey, o_totalprice / 2 from orders""",
 }

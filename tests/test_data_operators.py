@@ -207,20 +207,47 @@ def test_lookup_falls_back_to_a_shuffled_join(spark, monkeypatch):
 
 
 def test_staged_tables_go_to_the_named_folder_and_can_be_released(spark, monkeypatch):
-    monkeypatch.setattr(staging, "_staged", [])
+    monkeypatch.setattr(staging, "_staged", staging.Staged())
     df = staging.stage(spark.range(3))
     assert staging.checkpoint_dir(spark) in df.inputFiles()[0] and df.count() == 3
     assert staging.release(spark) == 1 and staging.release(spark) == 0
 
 
-def test_cluster_needs_a_shared_folder(monkeypatch):
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[3,2,1000]"])
+def test_cluster_needs_a_shared_folder(master):
     class Conf:
         def get(self, name, default):
             return default
 
     class Session:
         conf = Conf()
-        sparkContext = type("Context", (), {"master": "yarn"})
+        sparkContext = type("Context", (), {"master": master})
 
     with pytest.raises(RuntimeError):
         staging.checkpoint_dir(Session())
+
+
+def test_draws_with_repeated_ids_are_refused(spark):
+    df = spark.range(1000).select((F.col("id") % 10).alias("entry_id"), F.col("id").cast("double").alias("values"))
+    with pytest.raises(Exception, match="ids must be unique"):
+        J.sample_exact(df, 5.0).collect()
+    with pytest.raises(Exception, match="ids must be unique"):
+        J.kfold(df).collect()
+
+
+def test_stacked_labels_of_any_type(spark):
+    a = spark.range(2)
+    out = S.stack_datasets({("noisy", 1): a, ("base", 2): a}, ("kind", "part"))
+    assert dict(out.dtypes) == {"kind": "string", "part": "double", "id": "bigint"}
+    assert sorted({(r["kind"], r["part"]) for r in out.collect()}) == [("base", 2.0), ("noisy", 1.0)]
+    with pytest.raises(ValueError):
+        S.stack_datasets({("a", 1, 2): a}, ("kind", "part"))
+
+
+def test_first_row_of_keys_with_nulls(spark):
+    from outvote.operators import cleaning
+
+    rows = [("a", None, 3), ("a", None, 1), (None, "a", 2), (None, None, 5), (None, None, 4), ("b", "a", 6)]
+    df = spark.createDataFrame(rows, "k string, l string, i int").repartition(3)
+    assert sorted(r["i"] for r in cleaning.dedup_keep_first(df, ["k", "l"], "i").collect()) == [1, 2, 4, 6]
+    assert sorted(r["i"] for r in cleaning.dedup_keep_first(df, "k", ["l", "i"]).collect()) == [1, 4, 6]

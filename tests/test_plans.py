@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from outvote.plans.levels import count_passed
 from outvote.plans.quantiles import exact_quantiles
-from outvote.plans.ranks import at_or_before, distributed_rank, draw_bucket, draw_key, rank_cuts, running_total
+from outvote.plans.ranks import at_or_before, distributed_rank, draw_buckets, draw_key, rank_cuts, running_total
 
 
 def frame(spark, n=6000):
@@ -21,11 +21,15 @@ def frame(spark, n=6000):
     return data, spark.createDataFrame(data).repartition(5)
 
 
-@pytest.mark.parametrize("method", ["sort", "bracket"])
-def test_quantiles_equal_numpy_exactly(spark, method):
-    data, df = frame(spark)
+@pytest.mark.parametrize("split, cell", [(1024, 50_000), (1024, 100), (2, 5)])
+def test_quantiles_equal_numpy_exactly(spark, monkeypatch, split, cell):
+    from outvote.plans import quantiles
+
+    monkeypatch.setattr(quantiles, "SPLIT", split)
+    monkeypatch.setattr(quantiles, "CELL", cell)
+    data, df = frame(spark, 6000 if split > 2 else 700)
     qs = [0.0, 0.013, 0.05, 0.5, 0.95, 0.999, 1.0]
-    got = exact_quantiles(df, ["ds"], ["a", "b", "c"], qs, method=method).toPandas().set_index("ds")
+    got = exact_quantiles(df, ["ds"], ["a", "b", "c"], qs).toPandas().set_index("ds")
     assert len(got) == 3
     for ds, part in data.groupby("ds"):
         for c in "abc":
@@ -33,28 +37,54 @@ def test_quantiles_equal_numpy_exactly(spark, method):
         assert got.loc[ds, "n_rows"] == len(part)
 
 
-@pytest.mark.parametrize("method", ["sort", "bracket"])
-def test_quantiles_without_keys_and_with_missing(spark, method):
+def test_quantiles_without_keys_and_with_missing(spark):
     data, df = frame(spark)
-    df = df.withColumn("a", F.when(F.col("a") > 150, None).otherwise(F.col("a")))
-    kept = data["a"][data["a"] <= 150]
-    row = exact_quantiles(df, [], ["a", "c"], [0.25, 0.9], "skip", method).first()
+    df = df.withColumn("a", F.when(F.col("a") > 150, None).when(F.col("a") > 149, float("nan")).otherwise(F.col("a")))
+    kept = data["a"][data["a"] <= 149]
+    row = exact_quantiles(df, [], ["a", "c"], [0.25, 0.9], "skip").first()
     assert list(row["a"]) == list(np.quantile(kept, [0.25, 0.9]))
-    row = exact_quantiles(df, [], ["a", "c"], [0.25, 0.9], "poison", method).first()
+    row = exact_quantiles(df, [], ["a", "c"], [0.25, 0.9], "poison").first()
     assert row["a"] is None
     assert list(row["c"]) == list(np.quantile(data["c"], [0.25, 0.9]))
+    empty = df.filter("c < 0")
+    assert exact_quantiles(empty, [], ["a"], [0.5]).collect() == [(0, None)]
+    assert exact_quantiles(empty, ["ds"], ["a"], [0.5]).count() == 0
+    nothing = exact_quantiles(df.withColumn("a", F.lit(None).cast("double")), ["ds"], ["a", "c"], [0.5], "skip").first()
+    assert nothing["a"] is None and nothing["c"] is not None
 
 
-def test_coarse_sketch_still_gives_exact_quantiles(spark, monkeypatch):
-    from outvote.plans import quantiles
+def test_quantiles_at_extreme_values(spark):
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), 1.0, float(np.nextafter(1.0, 2)), 1.0, -1.0, 1e-300]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    qs = [i / (len(values) - 1) for i in range(len(values))]
+    got = exact_quantiles(df, [], ["x"], qs).first()["x"]
+    assert got == sorted(values)
 
-    data, df = frame(spark)
-    qs = [0.1, 0.5, 0.9]
-    got = quantiles._by_bracketing(df, ["ds"], ["a", "b"], qs, accuracy=4, margin=0.0001)
-    got = got.toPandas().set_index("ds")
-    for ds, part in data.groupby("ds"):
-        for c in "ab":
-            assert list(got.loc[ds, f"_q_{c}"]) == list(np.quantile(part[c], qs))
+
+def test_quantiles_next_to_infinity_are_infinite(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("inf"),)], "x double")
+    assert exact_quantiles(df, [], ["x"], [0.2, 0.4, 2 / 3, 0.9]).first()["x"] == [1.0 + 0.6 * 1, float("inf"), float("inf"), float("inf")]
+
+
+def test_rank_cuts_refuse_rows_of_equal_order(spark):
+    df = spark.range(1000).select((F.col("id") % 10).alias("id")).withColumn("h", draw_key("id", 42))
+    with pytest.raises(Exception, match="ids must be unique"):
+        rank_cuts(df, ["h", "id"], draw_buckets(F.col("h")), lambda n: [F.floor(n * 0.05)]).collect()
+
+
+def test_releasing_one_result_leaves_others_readable(spark):
+    from outvote.plans.staging import owned, stage
+
+    with owned() as first:
+        a = stage(spark.range(5))
+    with owned() as second:
+        b = stage(spark.range(7))
+        with owned() as inner:
+            c = stage(spark.range(9))
+    assert first.release(spark) == 1 and b.count() == 7
+    with pytest.raises(Exception):
+        spark.read.parquet(*a.inputFiles()).count()
+    assert second.release(spark) == 1 and c.count() == 9 and inner.release(spark) == 1
 
 
 def test_distributed_rank_and_running_total(spark):
@@ -70,7 +100,7 @@ def test_rank_cuts(spark):
     df = spark.range(5000).withColumn("h", draw_key("id", 42))
     order = sorted(((r.h, r.id) for r in df.collect()))
     ranks = [0, 1, 17, 2500, 5000]
-    cuts = rank_cuts(df, ["h", "id"], draw_bucket(F.col("h")), lambda n: [F.lit(r) for r in ranks]).first().cuts
+    cuts = rank_cuts(df, ["h", "id"], draw_buckets(F.col("h")), lambda n: [F.lit(r) for r in ranks]).first().cuts
     assert cuts[0] is None
     assert [(c.h, c.id) for c in cuts[1:]] == [order[r - 1] for r in ranks[1:]]
 

@@ -1,14 +1,13 @@
-"""Registered queries equal their SQL twins: a quick choice here, all of them in check_oracle.py."""
-
-import os
+"""Registered queries equal their SQL twins; those of the corpus folder are compared in its own tests."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as registry
+import suite
 from check_oracle import TABLES, compare
 
-QUICK = ("load_predictions", "signature_codes", "kfold", "cards_both_errors", "subset_metrics", "group_means")
+OWN = suite.all_queries()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +18,7 @@ def con(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", list(registry.queries()) if os.environ.get("ORACLE_ALL") else QUICK)
+@pytest.mark.parametrize("name", list(OWN))
 def test_query_equals_sql(spark, sf_dir, con, name):
     message, good = compare(registry.queries()[name](spark, sf_dir), con, registry.oracle_sql().get(name))
     assert good, message
@@ -27,7 +26,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 def test_names_agree():
     assert set(registry.oracle_sql()) <= set(registry.queries())
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"out_of_fold", "regression_p_value"}
+    assert set(OWN) == set(suite.all_sql())
 
 
 def test_entry(spark):
