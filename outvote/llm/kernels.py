@@ -8,7 +8,7 @@ text; what is kept of a text is eight bytes a word.
 import numpy as np
 import pyarrow as pa
 
-STRETCH = 1 << 19
+STRETCH = 1 << 17
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,8 +147,8 @@ def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(windows(hashes, min(width, len(hashes))))
 
 
-def slices(batch, text: str, most: int = 4 << 20):
-    """Parts of a record batch with about ``most`` bytes of text, one row at least."""
+def slices(batch, text: str, most: int = 2 << 20):
+    """Parts of a record batch with about ``most`` bytes of text, one row at least; memory that Arrow keeps is given back after each batch."""
     column = batch.column(batch.schema.get_field_index(text))
     _, at = utf8(column)
     lo, n = 0, len(column)
@@ -156,3 +156,4 @@ def slices(batch, text: str, most: int = 4 << 20):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
         yield batch.slice(lo, min(hi, n) - lo)
         lo = hi
+    pa.default_memory_pool().release_unused()
