@@ -19,7 +19,6 @@ bands of 4 slots: 5 in 10^11) or if its signatures agree in 0.18 less than the w
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,25 +158,54 @@ def _least_agreement(percent):
     return int(np.ceil((percent / 100 - MARGIN) * SLOTS))
 
 
-def _cross(pdf: pd.DataFrame, least: int):
-    """Yields for each row the other rows of this task it has to be compared with: rows of other
-    components that agree enough and share no earlier band; in a task of two blocks, only between them."""
-    keys = np.stack([np.frombuffer(k, np.int64) for k in pdf["keys"]])
-    sketch = np.stack([np.frombuffer(k, np.uint8) for k in pdf["sketch"]])
-    comp, block = pdf["comp"].to_numpy(), pdf["block"].to_numpy()
-    lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-    band = int(np.argmax((keys == pdf["key"].iloc[0]).all(axis=0)))
-    for i in range(len(pdf)):
-        if lo != hi and block[i] != lo:
+def _whole_groups(batches):
+    """Tables of rows sorted by ``key, lo, hi``, cut between groups: a group is never in two of them."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        others = np.flatnonzero((comp != comp[i]) & ((block == hi) if lo != hi else (np.arange(len(pdf)) > i)))
-        if not len(others):
-            continue
-        others = others[(sketch[others] == sketch[i]).sum(axis=1) >= least]
-        if band and len(others):
-            others = others[~(keys[others, :band] == keys[i, :band]).any(axis=1)]
-        if len(others):
-            yield i, others
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        new = np.zeros(len(table), bool)
+        for c in ("key", "lo", "hi"):
+            values = table.column(c).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut)
+    if held is not None:
+        yield held
+
+
+def _likely(table, least: int):
+    """Yields row numbers ``i, j`` of a table of whole groups that have to be compared: rows of a group in different
+    components that agree in ``least`` slots and share no earlier band; in a group of two blocks, one row of each."""
+    key, lo, hi, block, comp = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "comp"))
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)
+
+    def fit(i, j):
+        some = comp[i] != comp[j]
+        some &= (lo[i] == hi[i]) | (block[i] != block[j])
+        i, j = i[some], j[some]
+        some = (sketch[i] == sketch[j]).sum(axis=1) >= least
+        i, j = i[some], j[some]
+        first = (keys[i] == keys[j]).argmax(axis=1)
+        some = keys[i, first] == key[i]
+        return i[some], j[some]
+
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(key)))
+    twos = start[size == 2]  # by far the most
+    for at in range(0, len(twos), 8192):
+        yield fit(twos[at : at + 8192], twos[at : at + 8192] + 1)
+    for begin, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+        for i in range(begin, begin + n - 1):
+            others = np.arange(i + 1, begin + n)
+            yield fit(np.full(len(others), i), others)
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -198,35 +226,40 @@ def _rest_links(members, nodes, sets, comp, percent):
     rows = stage(rows.join(mixed, "key", "left_semi"))
     dealt = _blocks(rows.join(nodes.select("node", "keys", "sketch"), "node"))
 
-    def active(pdf):
-        hit = np.zeros(len(pdf), bool)
-        for i, others in _cross(pdf, least):
-            hit[i] = True
-            hit[others] = True
-        return pdf.loc[hit, ["key", "lo", "hi", "block", "node", "comp", "keys", "sketch"]]
-
-    schema = "key long, lo int, hi int, block int, node long, comp long, keys binary, sketch binary"
-    some = dealt.groupBy("key", "lo", "hi").applyInPandas(active, schema).join(sets, "node")
+    def active(batches):
+        for table in _whole_groups(batches):
+            hit = np.zeros(len(table), bool)
+            for i, j in _likely(table, least):
+                hit[i] = True
+                hit[j] = True
+            yield from table.filter(pa.array(hit)).to_batches()
 
-    def exact(pdf):
-        sets_of = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
-        up = {c: c for c in pdf["comp"]}
+    def exact(batches):
+        up: dict[int, int] = {}
 
         def root(x):
-            while up[x] != x:
-                x = up[x]
+            while (y := up.get(x, x)) != x:
+                x = y
             return x
 
-        links, node, comp = [], pdf["node"].to_numpy(), pdf["comp"].to_numpy()
-        for i, others in _cross(pdf, least):
-            for k in others:
-                p, q = root(comp[i]), root(comp[k])
-                if p != q and _similar(sets_of[i], sets_of[k], percent):
-                    up[max(p, q)] = min(p, q)
-                    links.append((node[i], node[k]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return some.groupBy("key", "lo", "hi").applyInPandas(exact, "a long, b long")
+        for table in _whole_groups(batches):
+            node, comp, found = table.column("node").to_numpy(), table.column("comp").to_numpy(), table.column("set")
+            links = []
+            for i, j in _likely(table, least):
+                for a, b in zip(i.tolist(), j.tolist()):
+                    p, q = root(int(comp[a])), root(int(comp[b]))
+                    if p != q and _similar(*(np.frombuffer(found[k].as_py(), np.uint64) for k in (a, b)), percent):
+                        up[max(p, q)] = min(p, q)
+                        links.append((int(node[a]), int(node[b])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def together(df):
+        return df.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    order = "key long, lo int, hi int, block int, node long, comp long, keys binary, sketch binary"
+    names = [c.split()[0] for c in order.split(", ")]
+    some = together(dealt.select(*names)).mapInArrow(active, order).join(sets, "node")
+    return together(some.select(*names, "set")).mapInArrow(exact, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:

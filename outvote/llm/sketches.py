@@ -16,18 +16,18 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, m: int =
     a lower rank, so a set is finished as soon as every slot has an offer: round j handles only the
     sets that still have an open slot. The permutation is drawn step by step (Fisher-Yates), by
     tracing swaps in the first rounds and by a table for the few elements left after them.
-    ``owner`` is the set of each element; an empty set keeps the highest value everywhere.
+    ``owner`` is the set of each element, ``m`` below 32768; an empty set keeps the highest value everywhere.
     """
     sig = np.full(n_sets * m, _EMPTY, np.uint64)
     swaps: list[np.ndarray] = []
     table = None
     for j in range(m):
         noise = draw(elements, 2 * j)
-        k = ((noise >> _LOW) * np.uint64(m - j) >> _LOW).astype(np.int64) + j
+        k = ((noise >> _LOW) * np.uint64(m - j) >> _LOW).astype(np.int16) + np.int16(j)
         if j < 8:
             slot = k
             for i in range(j - 1, -1, -1):
-                slot = np.where(slot == swaps[i], i, np.where(slot == i, swaps[i], slot))
+                slot = np.where(slot == swaps[i], np.int16(i), np.where(slot == i, swaps[i], slot))
             swaps.append(k)
         else:
             rows = np.arange(len(elements))
@@ -35,7 +35,7 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, m: int =
                 table = np.tile(np.arange(m, dtype=np.int16), (len(elements), 1))
                 for i, old in enumerate(swaps):
                     table[rows, i], table[rows, old] = table[rows, old], table[rows, i].copy()
-            slot = table[rows, k].astype(np.int64)
+            slot = table[rows, k]
             table[rows, k] = table[rows, j]
             table[rows, j] = slot
         offer = (draw(elements, 2 * j + 1) >> np.uint64(8)) | np.uint64(j << 56)
