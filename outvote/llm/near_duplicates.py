@@ -94,7 +94,7 @@ def _explode_keys(nodes: DataFrame) -> DataFrame:
 def _wanted_sets(docs, wanted: DataFrame, width) -> DataFrame:
     """``node, set`` of the rows whose doc_id is a wanted node.
 
-    A bit filter of fixed size keeps most other texts from being split into words; the join decides.
+    A bit filter of bounded size keeps most other texts from being split into words; the join decides.
     """
     sieve = BitFilter.of(wanted, "node")
 
@@ -129,12 +129,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _star_links(members, sizes, nodes, sets, percent):
+def _star_links(members, nodes, sets, percent):
     """Links between nodes and the best of their buckets' centres."""
-    counted = members.join(sizes, "key")
-    company = counted.groupBy("node").agg(F.sum("n").alias("company"))
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
     centre = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("c"))
-    pairs = members.join(centre, "key").select(F.col("node").alias("a"), F.col("c.node").alias("b")).filter("a <> b").distinct()
+    pairs = members.join(centre, "key").select(F.col("node").alias("a"), F.col("c.node").alias("b")).filter("a <> b")
     sketch = nodes.select("node", "sketch")
     pairs = pairs.join(sketch.withColumnRenamed("node", "a").withColumnRenamed("sketch", "ka"), "a")
     pairs = pairs.join(sketch.withColumnRenamed("node", "b").withColumnRenamed("sketch", "kb"), "b")
@@ -209,9 +208,8 @@ def _likely(table, least: int):
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Deals the rows of a bucket to tasks: one for each pair of blocks of about BLOCK rows."""
-    n = rows.groupBy("key").agg(F.count("*").alias("n"))
-    rows = rows.join(n, "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    """Deals the rows of a bucket of ``n`` rows to tasks: one for each pair of blocks of about BLOCK rows."""
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("other", other)
@@ -222,8 +220,8 @@ def _rest_links(members, nodes, sets, comp, percent):
     """All remaining links between components that share a bucket."""
     least = _least_agreement(percent)
     rows = members.join(comp.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    rows = stage(rows.join(mixed, "key", "left_semi"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
+    rows = stage(rows.join(mixed.select("key", "n"), "key"))
     dealt = _blocks(rows.join(nodes.select("node", "keys", "sketch"), "node"))
 
     def active(batches):
@@ -277,11 +275,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     classes = stage(classes.filter("node is not null"))
     node_of = classes.filter("copies > 1").select("d1", "d2", "node")
     first = classes.select("d1", "d2", F.col("node").alias("doc_id"))
-    nodes = rows.join(first, ["d1", "d2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "keys", "sketch").dropDuplicates(["node", "keys"])
+    nodes = rows.join(first, ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["d1", "d2", "doc_id"])
+    nodes = stage(nodes.select(F.col("doc_id").alias("node"), "keys", "sketch"))
 
     keyed = _explode_keys(nodes)
-    sizes = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = stage(keyed.join(sizes.select("key"), "key", "left_semi").distinct())
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stage(keyed.join(sizes, "key"))
     wanted = stage(members.select("node").distinct())
     nodes = stage(nodes.join(wanted, "node", "left_semi"))
     sets = _wanted_sets(docs, wanted, width)
@@ -293,7 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     repeated = repeated.filter("x <> y")
     same_id = repeated.select("x", "y").union(repeated.select("x", "doc_id"))
 
-    star = stage(_star_links(members, sizes, nodes, sets, percent))
+    star = stage(_star_links(members, nodes, sets, percent))
     rest = stage(_rest_links(members, nodes, sets, components(star), percent))
     roots = components(star.union(rest).union(same_id))
     out = row_node.join(roots, "node", "left").withColumn("component_id", F.coalesce("root", "node"))
