@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 INF = float("inf")
 
 
+def check_free(df, *names):
+    """Columns that a step adds for itself must not be there already; they would be overwritten."""
+    taken = sorted(set(names) & set(df.columns))
+    if taken:
+        raise ValueError(f"columns {taken} are reserved for helpers; rename them")
+
+
 def total(columns):
     return reduce(add, columns)
 
@@ -34,6 +41,7 @@ def with_row_stats(df, columns, median=None, mean=None, std=None):
     Shared parts are columns of their own, so that they are computed once per row however
     often they are used.
     """
+    check_free(df, "_n", "_sorted", "_mean")
     columns = [clean_number(c) for c in columns]
     width, n, kept = len(columns), F.col("_n"), df.columns
     df = df.withColumn("_n", row_count(columns))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..defaults import DATA_OFFSET, MODELS, THRESHOLD, VALUE
-from ..functions.expr import clean_number, ratio, total, with_row_stats
+from ..functions.expr import check_free, clean_number, ratio, total, with_row_stats
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import lookup, row_bytes, stage
@@ -31,6 +31,7 @@ def with_errors(df, models, value, offsets, kinds, carry):
     """
     names = [f"_abs_{m}" for m in models]
     relative = "rel" in kinds or "both" in kinds
+    check_free(df, "_y", "_centre")
     df = df.withColumn("_y", clean_number(value))
     if relative:
         df = with_row_stats(df, models, "_centre")

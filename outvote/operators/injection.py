@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..defaults import ENTRY_ID, SEED, VALUE
+from ..functions.expr import check_free
 from ..plans.ranks import at_or_before, distributed_rank, draw_buckets, draw_key, rank_cuts
 from ..plans.staging import stage
 
@@ -36,6 +37,7 @@ def draw_cuts(df: DataFrame, ranks, id_col=ENTRY_ID, seed=SEED):
     while the buckets that hold a wanted rank are counted.
     The one row of cuts is staged: results that are read again do not look for it again.
     """
+    check_free(df, "_draw", "_hit", "_cuts", "_hits", "_i")
     keyed = df.withColumn("_draw", draw_key(id_col, seed))
     cuts = rank_cuts(keyed, ["_draw", id_col], draw_buckets(F.col("_draw")), ranks)
     return keyed, stage(cuts).scalar()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..defaults import DATA_OFFSET, MODELS, REF_VALUE, THRESHOLD, TOL, VALUE
-from ..functions.expr import clean_number, ratio, with_row_stats
+from ..functions.expr import check_free, clean_number, ratio, with_row_stats
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import lookup, row_bytes, stage
@@ -32,6 +32,7 @@ def bin_values(df: DataFrame, column: str, edges, out="bin_val") -> DataFrame:
     A bin is named by its upper edge; below the first edge the lowest, from the last on the
     highest. A missing value, NULL or NaN, goes to the highest as well.
     """
+    check_free(df, "_x", "_edges", "_bin")
     edges = [float(e) for e in edges]
     inner = [round(edges[i], 3) for i in range(1, len(edges))]
     names = [round(min(edges), 3), *inner, round(max(edges), 3)]

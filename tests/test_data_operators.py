@@ -251,3 +251,13 @@ def test_first_row_of_keys_with_nulls(spark):
     df = spark.createDataFrame(rows, "k string, l string, i int").repartition(3)
     assert sorted(r["i"] for r in cleaning.dedup_keep_first(df, ["k", "l"], "i").collect()) == [1, 2, 4, 6]
     assert sorted(r["i"] for r in cleaning.dedup_keep_first(df, "k", ["l", "i"]).collect()) == [1, 4, 6]
+
+
+def test_reserved_columns_are_refused(spark):
+    from outvote.functions.expr import with_row_stats
+
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "entry_id int, _n double, _draw double")
+    with pytest.raises(ValueError, match="reserved"):
+        with_row_stats(df, ["entry_id"], "m")
+    with pytest.raises(ValueError, match="reserved"):
+        J.sample_exact(df, 50.0)
