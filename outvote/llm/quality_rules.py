@@ -4,7 +4,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import trees
 from .statistics import COUNTS, FEATURES, labelled, with_statistics
@@ -32,7 +31,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     return QualityModel(trees.fit(x, y, signs=signs))
 
 
-def judge(docs: DataFrame, model: QualityModel, keep=("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, model: QualityModel, keep=("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep``, then ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept``.
 
     Words are runs of anything but ASCII white space; a null text has none. The base rules reject
@@ -48,12 +47,12 @@ def judge(docs: DataFrame, model: QualityModel, keep=("doc_id",)) -> DataFrame:
         return {c: found[c] for c in COUNTS} | {"base_failed": failed, "score": score, "kept": ~failed & (score >= threshold)}
 
     schema = ", ".join([*(f"{c} long" for c in COUNTS), "base_failed boolean", "score double", "kept boolean"])
-    return with_statistics(docs, list(keep), extra, schema)
+    return with_statistics(docs, list(keep), extra, schema, text)
 
 
 def passing(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept."""
     model = fit(docs, labels, sample)
     own = [f"own_{i}" for i in range(len(docs.columns))]  # no clash with the statistics
-    renamed = docs.toDF(*own).withColumn("text", F.col(own[docs.columns.index("text")]))
-    return judge(renamed, model, keep=own).filter("kept").select(*own).toDF(*docs.columns)
+    text = own[docs.columns.index("text")]
+    return judge(docs.toDF(*own), model, own, text).filter("kept").select(*own).toDF(*docs.columns)

@@ -82,8 +82,8 @@ def statistics_of(column) -> dict[str, np.ndarray]:
     }
 
 
-def with_statistics(docs: DataFrame, keep, extra=None, schema: str = "") -> DataFrame:
-    """Columns ``keep`` of ``docs`` followed by all statistics, or by what ``extra`` makes of them.
+def with_statistics(docs: DataFrame, keep, extra=None, schema: str = "", text: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``docs`` followed by all statistics of the column ``text``, or by what ``extra`` makes of them.
 
     ``extra`` gets the statistics of a batch and returns the arrays of ``schema`` by name.
     """
@@ -92,13 +92,13 @@ def with_statistics(docs: DataFrame, keep, extra=None, schema: str = "") -> Data
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = statistics_of(part.column("text"))
+            for part in slices(batch, text):
+                found = statistics_of(part.column(text))
                 found = extra(found) if extra else found
                 yield pa.RecordBatch.from_pydict({c: part.column(c) for c in keep} | {k: pa.array(v) for k, v in found.items()})
 
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, {made}")
+    rows = docs.withColumn(text, F.col(text).cast("string"))
+    return rows.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{fields}, {made}")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int):
