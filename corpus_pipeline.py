@@ -29,7 +29,7 @@ def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup at a similarity of 0.8: the smallest doc_id of each group stays, and of its rows one.
+    """MinHash near-dedup at a similarity of 0.8: the smallest doc_id of each group stays, with all of its rows.
 
     A row without doc_id stays if it has no copy with one.
     """

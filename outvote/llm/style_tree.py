@@ -48,15 +48,15 @@ _SCOPES = set("table ul ol dl article main section div nav aside footer header f
 NOISE_TAGS = set("head nav footer aside form button select textarea dialog menu object canvas audio video title".split())
 NOISE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay menu navbar nav navigation breadcrumb breadcrumbs sidebar rail widget related recommended footer comments comment "
+    "alert popup modal overlay menu navbar nav navigation breadcrumb breadcrumbs sidebar rail widget related recommended footer comments comment commentlist "
     "respond replies reply disqus share sharing social newsletter subscribe signup login search pagination pager copyright legal disclaimer hidden "
-    "toolbar complementary contentinfo".split()
+    "toolbar complementary contentinfo dialog".split()
 )
 OUTSIDE_NOISE = set("header masthead banner topbar".split())
 _MAIN = {"article", "main"}
 
 _TAG = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_ATTR = re.compile(r"(class|id|role|style|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -68,8 +68,12 @@ def _label(tag: str, attributes: str) -> str:
             name = name.lower()
             if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 words.add("hidden")
-            elif name != "style":
-                words.update(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+            elif name in ("class", "id", "role"):
+                for part in value.strip("\"'").split():
+                    found = _WORD.findall(_CAMEL.sub(" ", part).lower())
+                    whole = "".join(found)  # side-bar is a sidebar
+                    words.update(found)
+                    words.update({whole} & (NOISE_WORDS | OUTSIDE_NOISE))
     return ".".join([tag, *sorted(words)])
 
 

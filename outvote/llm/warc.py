@@ -251,7 +251,7 @@ def write_archive(pages: DataFrame, least_bytes: int = 0) -> Archive:
 
     The payload is the html in UTF-8, null as empty. Of records with equal payloads of at least
     ``least_bytes`` the one with the largest page_id is a response, the others are revisits of it; see ``revisits``
-    for null and repeated ids. Repeated rows are records of their own. Other columns are ignored.
+    for null and repeated ids. Pages have no capture time, so WARC-Date is the epoch. Repeated rows are records of their own. Other columns are ignored.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _payload().alias("html"))

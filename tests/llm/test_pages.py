@@ -33,7 +33,7 @@ def page(i, body, extra=""):
         ("<article>x <!-- y --> z<!-- open", "x z"), ("<article><p>a &amp; b&nbsp;c &#233; &am</p></article>", "a & b c é &am"), ("a < b <3 c", "a < b <3 c"),
         ("<p>cut <a href='x", "cut"), ("<script>no</script>yes<SCRIPT>no", "yes"), ("<p title='>'>a</p>", "a"), ("<ul><li>a<li>b</ul>c", "a b c"), ("</div></p>a", "a"),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"), ("<p hidden>no</p><p style='display: none'>no</p><p>yes", "yes"), ("x" * 300_000, "x" * 300_000),
-        ("<div " * 2000, ""), ("<div>" * 3000 + "deep", "deep"), ("<p class=\"unclosed>text</p>", "text"),
+        ("<p title='hidden gem' data-class='ad' class=lead>a</p><p class='side-bar'>b</p><p Hidden>c</p>", "a"), ("<div " * 2000, ""), ("<div>" * 3000 + "deep", "deep"), ("<p class=\"unclosed>text</p>", "text"),
     ],
 )
 def test_blocks_of_one_page(html, text):
