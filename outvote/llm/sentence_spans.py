@@ -1,10 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A span is a run of consecutive sentences: it begins at any sentence and is the shortest run of at
-least two sentences and ``least_words`` words, or of one sentence with twice as many words. It depends on
-its own content only, so equal passages have equal spans wherever they stand. Spans meet by
-a 128-bit hash; of equal spans the first one, by doc_id and then by place, stays, and sentences covered by
-any other are removed.
+A run of consecutive sentences counts if it has at least two sentences and ``least_words`` words, or is one
+sentence with twice as many words. Of equal runs the first one, by doc_id and then by place, stays, and sentences
+covered by any other are removed. Hashed are the shortest runs from each start and the shortest ones to each end: these lie in
+a passage wherever it stands and cover all of it, so they tell the same as all runs. Spans meet by a 128-bit hash.
 """
 
 import re
@@ -40,7 +39,7 @@ def spans(pieces: list[bytes], least: int) -> tuple[list[bytes], list[int], list
     some = [i for i, w in enumerate(words) if w]
     keys = [b" ".join(words[i]) for i in some]
     size = [len(words[i]) for i in some]
-    digests, first, last = [], [], []
+    ends = []  # the shortest run from i holds keys[i : ends[i]]
     end, total = 0, 0  # the run holds keys[i:end]
     for i in range(len(some)):
         if end <= i:
@@ -50,10 +49,20 @@ def spans(pieces: list[bytes], least: int) -> tuple[list[bytes], list[int], list
             end += 1
         if not (total >= least and (end - i > 1 or total >= 2 * least)):
             break  # too little is left, also for later starts
-        digests.append(xxhash.xxh3_128_digest(b"\n".join(keys[i:end])))
+        ends.append(end)
+        total -= size[i]
+    digests, first, last = [], [], []
+    for i, end in enumerate(ends):
+        hashed = xxhash.xxh3_128(b"\n".join(keys[i:end]))
+        digests.append(hashed.digest())
         first.append(some[i])
         last.append(some[end - 1])
-        total -= size[i]
+        # Up to where the next start's run ends, the shortest runs to an end begin here too.
+        for k in range(end, ends[i + 1] - 1 if i + 1 < len(ends) else len(some)):
+            hashed.update(b"\n" + keys[k])
+            digests.append(hashed.digest())
+            first.append(some[i])
+            last.append(some[k])
     return digests, first, last
 
 

@@ -268,6 +268,44 @@ def test_a_planted_passage_stays_in_its_first_document_only(spark):
     assert all(x["n_removed"] >= 4 for d, x in got.items() if d) and got[0]["n_removed"] == 0
 
 
+def _without_repeated_runs(rows, least=25):
+    """As _without_repeated_spans, but every run of enough sentences and words counts."""
+
+    def runs(text):
+        pieces = [p.group() for p in re.finditer(r".+?(?:[.!?]+[ \t]+|\n+|$)", text, re.S)]
+        size = [len(words(p)) for p in pieces]
+        for a in range(len(pieces)):
+            for b in range(a + 1, len(pieces) + 1):
+                if sum(size[a:b]) >= least and (b - a > 1 or size[a] >= 2 * least):
+                    yield str([words(p) for p in pieces[a:b]]), range(a, b)
+
+    first: dict[str, tuple] = {}
+    for d, t in rows:
+        for key, own in runs(t):
+            first[key] = min(first.get(key, (d, own[0])), (d, own[0]))
+    out = {}
+    for d, t in rows:
+        bad = {i for key, own in runs(t) if first[key] != (d, own[0]) for i in own}
+        pieces = [p.group() for p in re.finditer(r".+?(?:[.!?]+[ \t]+|\n+|$)", t, re.S)]
+        out[d] = "".join(p for i, p in enumerate(pieces) if i not in bad)
+    return out
+
+
+def test_every_run_of_sentences_counts(spark):
+    r = random.Random(3)
+    sentence = lambda k: " ".join(f"v{r.randrange(10**5)}" for _ in range(k)) + ". "
+    short_end, long_start = [sentence(k) for k in (20, 10, 5)], [sentence(k) for k in (55, 40)]
+    rows = [(d, sentence(30) + "".join(short_end) + sentence(30) + "".join(long_start) + sentence(30)) for d in range(2)]
+    pool = [sentence(r.choice((1, 3, 8, 15, 30, 60))) for _ in range(40)]
+    for d in range(2, 40):
+        cuts = [(r.randrange(40), r.randrange(1, 9)) for _ in range(3)]
+        rows.append((d, "".join("".join(pool[a : a + n]) + sentence(r.choice((2, 9, 30))) for a, n in cuts)))
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA)
+    got = {x["doc_id"]: x["text"] for x in sentence_spans.dedup_spans(docs).collect()}
+    assert got[0] == rows[0][1] and not any(p in got[1] for p in short_end + long_start)
+    assert got == _without_repeated_runs(rows)
+
+
 # quality
 
 
