@@ -4,9 +4,10 @@ The DOMs of a host's pages are merged: equal paths of labels (tag, and words of
 A node with text has a content importance: one minus the mean entropy of its texts over the pages
 that hold it, so texts met on every page weigh nothing and texts of one page weigh all. An
 inner node has a presentation importance: the entropy of its child sequences, mixed with its
-children's. Hosts with few pages lean on the tree of all hosts. Priors bound a node's importance:
-labels of menus, notices, adverts and the like hold it at zero, plain blocks of an article at or above
-the threshold. Branches below the threshold are taken out of every page of the host.
+children's. Hosts with few pages lean on the tree of all hosts. Labels are priors: those of menus, notices, adverts
+and the like hold a node's importance at zero, but a name that only has such a word among others lowers it, and html, body
+and elements that hold most of a page's text have no such labels; plain blocks of an article are raised, the less
+the more pages show them. Branches below the threshold are taken out of every page of the host.
 
 Counting needs one row for each host, node and different text, combined before the shuffle; pages are not
 shuffled unless the table of removed paths, one row a host, is too large for Spark to broadcast.
@@ -44,6 +45,13 @@ _INLINE = set(
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = set("table ul ol dl article main section div nav aside footer header form body html".split())
 
+#: Factor of a name that has a word of noise among others, such as page-with-nav.
+COMPOUND = 0.6
+#: Least weight of the prior of an article's plain blocks, and the pages that it counts as.
+MAIN_LEAST, MAIN_PAGES = 0.2, 3
+#: Mean share of a page's text from which the labels of an element are no noise.
+MOST = 0.5
+
 #: Labels of parts that are no main text, and those that are noise only outside an article.
 NOISE_TAGS = set("head nav footer aside form button select textarea dialog menu object canvas audio video title".split())
 NOISE_WORDS = set(
@@ -53,7 +61,11 @@ NOISE_WORDS = set(
     "toolbar complementary contentinfo dialog".split()
 )
 OUTSIDE_NOISE = set("header masthead banner topbar".split())
+_NOISY = NOISE_WORDS | OUTSIDE_NOISE
 _MAIN = {"article", "main"}
+#: Tags that are no main text however much of the text they hold, and words that only say where or how a part is.
+_NEVER = set("head title nav button select textarea".split())
+_PLACES = set("area bar block body bottom box inner item items left links list outer posts right row top wrapper".split())
 
 _TAG = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -62,6 +74,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _label(tag: str, attributes: str) -> str:
+    """Tag and words; a word of noise has a ``~`` if other words in its name say that it is not the whole of it."""
     words = set()
     if attributes and not attributes.isspace():
         for name, value in _ATTR.findall(attributes):
@@ -72,8 +85,11 @@ def _label(tag: str, attributes: str) -> str:
                 for part in value.strip("\"'").split():
                     found = _WORD.findall(_CAMEL.sub(" ", part).lower())
                     whole = "".join(found)  # side-bar is a sidebar
-                    words.update(found)
-                    words.update({whole} & (NOISE_WORDS | OUTSIDE_NOISE))
+                    if whole in _NOISY or all(w in _NOISY or w in _PLACES for w in found):
+                        words.update(found)
+                        words.update({whole} & _NOISY)
+                    else:
+                        words.update("~" + w if w in _NOISY else w for w in found)
     return ".".join([tag, *sorted(words)])
 
 
@@ -146,7 +162,7 @@ def blocks_of(html: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
             if tag in _INLINE and (tag in _VOID or not attributes.strip()):
                 continue
             label = _label(tag, attributes)
-            if tag in _INLINE and not NOISE_WORDS.intersection(label.split(".")[1:]):
+            if tag in _INLINE and not NOISE_WORDS.intersection(w.lstrip("~") for w in label.split(".")[1:]):
                 continue
             flush()
             if tag in _VOID:
@@ -172,24 +188,45 @@ def blocks_of(html: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     return blocks, elements
 
 
-def _bounds(path: str) -> tuple[float, float]:
-    """Least and highest importance that the labels of a path allow."""
-    inside, plain = False, True
+def _bounds(path: str, wide=()) -> tuple[float, float]:
+    """Prior of an article's plain blocks (1, else 0), and the factor of the noise in the labels of a path; elements in ``wide`` hold most of the text."""
+    inside, plain, factor, at = False, True, 1.0, ""
     for label in path.strip("/").split("/"):
+        at += "/" + label
         tag, *words = label.split(".")
-        if tag in NOISE_TAGS or NOISE_WORDS.intersection(words):
-            return 0.0, 0.0
-        if not inside and (tag == "header" or OUTSIDE_NOISE.intersection(words)):
+        noise = NOISE_WORDS if inside else _NOISY
+        if tag in _NEVER:
             return 0.0, 0.0
+        if tag not in ("html", "body") and at not in wide:
+            if tag in NOISE_TAGS or tag == "header" and not inside or noise.intersection(words):
+                return 0.0, 0.0
+            if noise.intersection(w[1:] for w in words if w[0] == "~"):
+                factor *= COMPOUND
         if tag in _MAIN or "main" in words:
             inside, plain = True, True
         elif words and tag != "p" and not tag.startswith("h"):
             plain = False
-    return (THRESHOLD, 1.0) if inside and plain else (0.0, 1.0)
+    return float(inside and plain), factor
+
+
+def _shares(blocks: list[tuple[str, str]], paths) -> dict[str, float]:
+    """For each path, the share of the page's text that lies in it, menus and the like left out."""
+    chars = dict.fromkeys(paths, 0)
+    for path, text in blocks:
+        chars[path] += len(text)
+    for path in list(chars):
+        if chars[path] and not _NEVER.isdisjoint(x.partition(".")[0] for x in path.split("/")):
+            chars[path] = 0
+    total = sum(chars.values()) or 1
+    for path in sorted(chars, key=len, reverse=True):
+        if path:
+            up = path.rpartition("/")[0]
+            chars[up] = chars.get(up, 0) + chars[path]
+    return {path: n / total for path, n in chars.items()}
 
 
 def _counts(pages: DataFrame, host: str) -> DataFrame:
-    """``host, path, kind, feature, f, f_log, pages``: texts (t), child sequences (s) and page counts (p) of the nodes."""
+    """``host, path, kind, feature, f, f_log``: texts (t), child sequences (s) and page counts (p, with the text's shares as ``f_log``) of the nodes."""
 
     def run(batches):
         for batch in batches:
@@ -204,15 +241,17 @@ def _counts(pages: DataFrame, host: str) -> DataFrame:
                     for path, labels in elements:
                         key = (path, "s", xxhash.xxh3_64_intdigest(labels))
                         own[key] = own.get(key, 0) + 1
-                    for path in {k[0] for k in own}:
-                        own[(path, "p", 0)] = 1
-                    rows += [(name, *k, f) for k, f in own.items()]
-                columns = list(zip(*rows)) if rows else [()] * 5
+                    paths = {k[0] for k in own}
+                    shares = _shares(blocks, paths)
+                    rows += [(name, *k, f, 0.0) for k, f in own.items()]
+                    rows += [(name, path, "p", 0, 1, shares[path]) for path in paths]
+                columns = list(zip(*rows)) if rows else [()] * 6
                 f = np.array(columns[4], np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()),
-                        pa.array(np.array(columns[3], np.uint64).view(np.int64)), pa.array(f), pa.array(f * np.log(np.maximum(f, 1))),
+                        pa.array(np.array(columns[3], np.uint64).view(np.int64)), pa.array(f),
+                        pa.array(np.where(np.array(columns[2], object) == "p", np.array(columns[5], np.float64), f * np.log(np.maximum(f, 1)))),
                     ],
                     names=["host", "path", "kind", "feature", "f", "f_log"],
                 )
@@ -223,11 +262,12 @@ def _counts(pages: DataFrame, host: str) -> DataFrame:
 
 
 def _importance(counts: DataFrame, by) -> DataFrame:
-    """Per node: pages ``m``, content importance ``content`` (null without text), presentation ``style`` and number of styles ``styles``."""
+    """Per node: pages ``m``, content importance ``content`` (null without text), presentation ``style``, number of styles ``styles``, mean ``held`` of the shares of the pages' text."""
     counts = counts.groupBy(*by, "kind", "feature").agg(F.sum("f").alias("f"), F.sum("f_log").alias("f_log"))
     entropy = F.log("f") - F.col("f_log") / F.col("f")  # of a feature over the pages, in nats
     node = counts.groupBy(*by).agg(
         F.sum(F.when(F.col("kind") == "p", F.col("f"))).alias("m"),
+        F.sum(F.when(F.col("kind") == "p", F.col("f_log"))).alias("held"),
         F.avg(F.when(F.col("kind") == "t", entropy)).alias("text_entropy"),
         F.sum(F.when(F.col("kind") == "s", F.col("f"))).alias("shown"),
         F.sum(F.when(F.col("kind") == "s", F.col("f") * F.log("f"))).alias("shown_log"),
@@ -236,14 +276,14 @@ def _importance(counts: DataFrame, by) -> DataFrame:
     log_m = F.log("m")
     content = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("text_entropy") / log_m)).otherwise(1.0)
     style = F.when(F.col("m") > 1, F.least(F.lit(1.0), (F.log("shown") - F.col("shown_log") / F.col("shown")) / log_m)).otherwise(1.0)
-    return node.select(*by, "m", F.when(F.col("text_entropy").isNotNull(), content).alias("content"), F.coalesce(style, F.lit(0.0)).alias("style"), "styles")
+    return node.select(*by, "m", F.when(F.col("text_entropy").isNotNull(), content).alias("content"), F.coalesce(style, F.lit(0.0)).alias("style"), "styles", (F.col("held") / F.col("m")).alias("held"))
 
 
 def _low_paths(nodes: pd.DataFrame) -> list[str]:
     """Paths with text below the threshold, from one host's nodes (bounded by its templates, not by its pages)."""
     nodes = nodes.sort_values("path", ascending=False, key=lambda p: p.str.count("/"), kind="stable")
     below: dict[str, list] = {}
-    found = {}
+    found, wide = {}, set()
     for r in nodes.itertuples():
         share = r.m / (r.m + BACK_OFF)
         own = share * r.content + (1 - share) * r.all_content if r.content == r.content else None
@@ -254,14 +294,17 @@ def _low_paths(nodes: pd.DataFrame) -> list[str]:
         keep = GAMMA ** max(1, r.styles)
         composite = own if own is not None and not parts else (1 - keep) * style + keep * mean
         below.setdefault(r.path.rpartition("/")[0], []).append((composite, r.m))
-        found[r.path] = (own, composite)
+        found[r.path] = (own, composite, r.all_m)
+        if share * r.held + (1 - share) * r.all_held > MOST:
+            wide.add(r.path)
     low = []
-    for path, (own, composite) in found.items():
+    for path, (own, composite, pages) in found.items():
         if own is None:
             continue
-        parent = found.get(path.rpartition("/")[0], (None, composite))[1]
-        least, most = _bounds(path)
-        if min(max(0.75 * own + 0.25 * parent, least), most) < THRESHOLD:
+        parent = found.get(path.rpartition("/")[0], (None, composite, 0))[1]
+        main, factor = _bounds(path, wide)
+        weight = main * max(MAIN_LEAST, MAIN_PAGES / (pages + MAIN_PAGES))
+        if factor * (weight + (1 - weight) * (0.75 * own + 0.25 * parent)) < THRESHOLD:
             low.append(path)
     return sorted(low)
 
@@ -269,7 +312,7 @@ def _low_paths(nodes: pd.DataFrame) -> list[str]:
 def low_branches(pages: DataFrame, host: str) -> DataFrame:
     """``host, paths``: what to take out of each host's pages."""
     counts = stage(_counts(pages, host))
-    everywhere = _importance(counts, ["path"]).select("path", F.col("content").alias("all_content"), F.col("style").alias("all_style"))
+    everywhere = _importance(counts, ["path"]).select("path", F.col("content").alias("all_content"), F.col("style").alias("all_style"), F.col("m").alias("all_m"), F.col("held").alias("all_held"))
     nodes = _importance(counts, ["host", "path"]).join(everywhere, "path")
 
     def decide(pdf):

@@ -61,6 +61,24 @@ def test_main_text_of_pages_with_every_kind_of_noise(spark):
         assert out[i]["text"].startswith(expected[i]) and "Home" not in out[i]["text"] and "cookies" not in out[i]["text"]
 
 
+def test_entropy_decides_over_labels(spark):
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(6)) for _ in range(n))
+    rows, kept, gone = [], {}, ["Read our terms first", "Start", "Contact", "Buy now", "Popular"]
+    for i in range(40):
+        a, b, c = prose(40), prose(10), prose(60)
+        menu = "<nav>Start</nav><div class='sidebar'>Popular</div>"
+        body = f"<article class='post comments-open'><p>{a}</p><div class='text-and-related'>{b}</div></article>"
+        rows.append((3 * i, f"http://layout.org/{i}", f"<html><body class='has-sidebar no-menu'>{menu}<div class='page-with-nav'>{body}</div></body></html>"))
+        rows.append((3 * i + 1, f"http://form.org/{i}", f"<html><body><form>{menu}<div>{c}</div><p class='ads'>Buy now</p></form></body></html>"))
+        notice = "<div>Read our terms first</div><ul><li>Start</li><li>Contact</li></ul>"
+        rows.append((3 * i + 2, f"http://notice.org/{i}", f"<html><body><main>{notice}<p>{a}</p></main></body></html>"))
+        kept |= {3 * i: f"{a} {b}", 3 * i + 1: c, 3 * i + 2: a}
+    out = {x["page_id"]: x["text"] for x in style_tree.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert not [t for t in out.values() if any(g in t for g in gone)]
+    assert out == kept
+
+
 def test_main_text_of_odd_tables(spark):
     assert style_tree.extract_main_text(spark.createDataFrame([], PAGES)).count() == 0
     rows = [(1, None, None), (1, None, None), (None, "x", ""), (2, "http://a.b/c", "<article><p>only page</article>"), (2, "http://a.b/c", "<article><p>only page</article>")]
