@@ -5,7 +5,8 @@ n-grams that chance would hardly put into the corpus: the product of the corpus
 words is at most ``RARE``; an item with fewer than ``SEEDS`` such n-grams takes its rarest ones.
 Frequencies of single words say so whatever the number of copies, so an item that was copied
 into a third of all documents keeps its seeds. Texts are looked through for seeds in one map; where one
-is found, the words around it are aligned with the whole item. The benchmark is the
+is found, the words around it are aligned with the whole item. Long items have seeds in each of their stretches, as
+a part of them may stand alone; very short items are looked for word by word. The benchmark is the
 stated query set: it goes to the tasks in blocks of bounded size, one map over the texts each, so
 nothing is shuffled but word counts and matches.
 """
@@ -21,6 +22,9 @@ from .kernels import CONTINUED, SPACE, Words, slices, utf8, windows
 
 WIDTH, SEEDS, RARE = 3, 12, 1e-8
 LEAST_WORDS = 5
+#: An alignment worth so many equal words is a match however long the item, and seeds of each stretch of so many n-grams that any such part holds a whole one.
+LONG_WORDS = 30
+STRETCH, STRETCH_SEEDS = (LONG_WORDS - WIDTH + 2) // 2, 3
 BLOCK_BYTES = 4 << 20
 _BREAKS = SPACE.copy()
 _BREAKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -28,7 +32,7 @@ _BREAKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 @dataclass
 class Block:
-    """Part of the benchmark: item words, and seeds sorted by hash with their item and place."""
+    """Part of the benchmark: item words, seeds sorted by hash with their item and place, and for each length of short items their sorted hashes and items."""
 
     ids: list
     words: np.ndarray
@@ -36,6 +40,7 @@ class Block:
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    short: dict
 
     def of(self, i):
         return self.words[self.at[i] : self.at[i + 1]]
@@ -77,22 +82,35 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> list[Block]:
         vocabulary, code = np.unique(made.hashes, return_inverse=True)
         counts, total = _word_counts(docs, vocabulary)
         rarity = np.log((counts + 0.5) / (total + 1))[code]
-        hashes, item, place = [], [], []
+        hashes, item, place, short = [], [], [], {}
         for i in range(len(rows)):
             own = made.hashes[made.at[i] : made.at[i + 1]]
             if len(own) < LEAST_WORDS:
+                if len(own):
+                    short.setdefault(len(own), []).append((int(windows(own, len(own))[0]), i))
                 continue
             grams = windows(own, WIDTH)
             score = np.convolve(rarity[made.at[i] : made.at[i + 1]], np.ones(WIDTH), "valid")
             chosen = np.argsort(score, kind="stable")
             chosen = chosen[: max(SEEDS, int((score <= np.log(RARE)).sum()))]
+            if len(own) > 2 * LONG_WORDS:
+                parts = [k + np.argsort(score[k : k + STRETCH], kind="stable")[:STRETCH_SEEDS] for k in range(0, len(score), STRETCH)]
+                chosen = np.union1d(chosen, np.concatenate(parts))
             hashes.append(grams[chosen])
             item.append(np.full(len(chosen), i))
             place.append(chosen)
-        if hashes:
-            hashes, item, place = (np.concatenate(x) for x in (hashes, item, place))
+        if hashes or short:
+            hashes, item, place = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.uint64, hashes), (np.int64, item), (np.int64, place)))
             order = np.argsort(hashes, kind="stable")
-            out.append(Block([r["item_id"] for r in rows], made.hashes, made.at, hashes[order], item[order], place[order]))
+            out.append(Block([r["item_id"] for r in rows], made.hashes, made.at, hashes[order], item[order], place[order], _sorted(short)))
+    return out
+
+
+def _sorted(short: dict) -> dict:
+    out = {}
+    for n, found in short.items():
+        found.sort()
+        out[n] = np.array([h for h, _ in found], np.uint64), [i for _, i in found]
     return out
 
 
@@ -112,26 +130,49 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 def _found(item: np.ndarray, text: np.ndarray, low: int, high: int, least: float):
-    """Yields ``score, begin, end`` of disjoint alignments in ``text[low:high]`` that reach ``least`` of a full match."""
+    """Yields ``score, begin, end`` of disjoint alignments in ``text[low:high]`` that reach ``least`` of a full match or LONG_WORDS equal words, net of edits."""
+    need = min(least * len(item), LONG_WORDS)
     todo = [(low, high)]
     while todo:
         a, b = todo.pop()
         part = text[a:b]
-        if np.isin(part, item).sum() < least * len(item):  # a full score takes that many equal words
+        if np.isin(part, item).sum() < need:  # the score takes that many equal words
             continue
         score, end = align(item, part)
-        if score < least * 2 * len(item):
+        if score < 2 * need:
             continue
         _, back = align(item[::-1], part[:end][::-1])
         yield score / (2 * len(item)), a + end - back, a + end
         todo += [(a, a + end - back), (a + end, b)]
 
 
+def _short_matches(words: Words, block: Block):
+    """As _matches, of the items of fewer than LEAST_WORDS words: where the text has just their words, one after the other."""
+    hashes, at = words.hashes, words.at
+    for n, (wanted, items) in block.short.items():
+        grams = windows(hashes, n)
+        if not len(grams):
+            continue
+        first = np.searchsorted(wanted, grams, "left")
+        hits = np.flatnonzero(wanted[np.minimum(first, len(wanted) - 1)] == grams)
+        owner = np.searchsorted(at, hits, "right") - 1
+        last = np.searchsorted(wanted, grams[hits], "right")
+        free: dict[tuple, int] = {}  # passages of an item are disjoint
+        for pos, own, x, y in zip(hits.tolist(), owner.tolist(), first[hits].tolist(), last.tolist()):
+            if pos + n > at[own + 1]:
+                continue
+            for i in items[x:y]:
+                if pos >= free.get((own, i), 0) and np.array_equal(block.of(i), hashes[pos : pos + n]):
+                    free[(own, i)] = pos + n
+                    yield own, i, 1.0, pos, pos + n
+
+
 def _matches(words: Words, block: Block, least: float):
     """``text number, item number, score, begin, end`` (words of the text) of all matches in a batch."""
     hashes, at = words.hashes, words.at
+    yield from _short_matches(words, block)
     grams = windows(hashes, WIDTH)
-    if not len(grams):
+    if not len(grams) or not len(block.seeds):
         return
     spot = np.minimum(np.searchsorted(block.seeds, grams), len(block.seeds) - 1)
     hits = np.flatnonzero(block.seeds[spot] == grams)
@@ -163,11 +204,12 @@ def _matches(words: Words, block: Block, least: float):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
-    """``doc_id, item_id, score, begin, end``: each passage of ``docs`` that aligns with a whole item.
+    """``doc_id, item_id, score, begin, end``: each passage of ``docs`` that aligns with an item.
 
     ``score`` is the alignment's share of a full match, ``least`` at least (0.5: three words in four equal, others
-    replaced one by one: 0.625); ``begin`` and ``end`` are code points of the text. All columns are numbers. Null and
-    empty texts have none; items of fewer than 5 words are not looked for; equal items and repeated
+    replaced one by one: 0.625), or less for 30 equal words, net of edits, of a longer item; ``begin`` and ``end`` are code points of the text. All columns are numbers. Null and
+    empty texts have none; items of fewer than 5 words match where the text has exactly their words in
+    a row, so an item of one common word matches wherever it stands; equal items and repeated
     rows count once each, with their ids, null included.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -497,6 +497,22 @@ def test_planted_passages_are_found_and_clean_documents_left(spark, messy, nothi
     assert dc.clean(nothing, bench).count() == 0 and dc.clean(df, bench.limit(0)).count() == 300
 
 
+def test_parts_of_long_items_and_short_items_are_found(spark):
+    r = random.Random(12)
+    make = lambda k: [f"v{r.randrange(10**5)}" for _ in range(k)]
+    long = make(400)
+    common = long[:40] + ["the", "of"] * 180  # rare words at its start, a common rest
+    items = [(0, " ".join(long)), (1, "Only Three, words"), (2, "短い文章"), (3, " ".join(common)), (4, "!")]
+    plain = lambda w: " ".join(make(50) + w + make(50))
+    rows = [plain(long[150:340]), plain(long[200:232]), plain(long[200:225]), plain(["only", "three", "WORDS."]), plain(["only", "three", "more", "words"]), "短い文章。", "a 短い文章 b", plain(common[5:37])]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in enumerate(rows)], SCHEMA)
+    found = dc.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).toPandas()
+    assert {(0, 0), (1, 0), (3, 1), (6, 2)} <= set(zip(found["doc_id"], found["item_id"])) <= {(0, 0), (1, 0), (3, 1), (6, 2), (7, 3), (7, 0)}
+    best = found[(found["doc_id"] == 0) & (found["item_id"] == 0)]
+    assert best["score"].tolist() == [0.475] and found.loc[found["doc_id"] == 3, "score"].tolist() == [1.0]
+    assert {x["doc_id"] for x in dc.clean(docs, spark.createDataFrame(items, "item_id long, text string")).collect()} == {2, 4, 5}
+
+
 def test_benchmark_in_several_blocks_gives_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     once = sorted(map(tuple, dc.contaminated(docs, bench).collect()))
