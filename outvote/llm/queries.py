@@ -6,7 +6,7 @@ from . import decontamination
 from . import line_dedup as lines
 from . import mixing
 from . import near_duplicates as nd
-from . import quality_rules, rule_ensemble, sentence_spans, style_tree
+from . import quality_rules, rule_ensemble, sentence_spans, style_tree, whitening
 from . import url_cascade as urls
 from . import warc
 from .common import LOWER, UPPER, WORDS, ship
@@ -178,3 +178,10 @@ def op3_capture_index(spark, sf_dir):
 
 
 QUERIES |= {"op1_site_style_tree": op1_site_style_tree, "op3_capture_index": op3_capture_index}
+
+
+def op11_block_whitening(spark, sf_dir):
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"), id_col="vec_id", vector="embedding", most=32)
+
+
+QUERIES["op11_block_whitening"] = op11_block_whitening
