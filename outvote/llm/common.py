@@ -59,3 +59,18 @@ def ship(spark: SparkSession) -> None:
                     made.write(file, os.path.relpath(file, os.path.dirname(top)))
     context.addPyFile(archive)
     context._outvote_shipped = True
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, n: str, hot_keys: int = 100_000) -> DataFrame:
+    """Inner join of rows with the facts of their key; hot keys go by broadcast, so that no task gets all of one.
+
+    ``facts`` must be staged, with one row a key and in ``n`` its number of rows. Keys with more than a
+    ``hot_keys``-th of all rows (10 000 at least) are hot, so there are at most ``hot_keys`` of them.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(10_000, total // hot_keys)
+    if not facts.filter(hot).limit(1).count():
+        return rows.join(facts, key)
+    found, rest = F.broadcast(facts.filter(hot)), facts.filter(~hot)
+    cold = rows.join(F.broadcast(facts.filter(hot).select(key)), key, "left_anti")
+    return rows.join(found, key).unionByName(cold.join(rest, key))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontamination
+from . import conversation_trie, decontamination
 from . import line_dedup as lines
 from . import mixing
 from . import near_duplicates as nd
@@ -185,3 +185,41 @@ def op11_block_whitening(spark, sf_dir):
 
 
 QUERIES["op11_block_whitening"] = op11_block_whitening
+
+
+def op13_conversation_trie(spark, sf_dir):
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"), stride=20, heads=4)
+
+
+OP13_SQL = rf"""
+with recursive turns as (
+  select conv_id, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') t,
+    len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) n
+  from conversations where conv_id is not null),
+own as (select conv_id, list(t order by turn nulls first, sha256(t)) s, list(n order by turn nulls first, sha256(t)) w from turns group by conv_id),
+steps as (
+  select conv_id, cast(conv_id as varchar) c, 0 i, cast(4294967295 as bigint) x from own
+  union all
+  select conv_id, c, i + 1, case when i % 9 = 0 then xor(x, cast(ascii(substr(c, i // 9 + 1, 1)) as bigint))
+    else xor(x >> 1, case when x % 2 = 1 then cast(3988292384 as bigint) else cast(0 as bigint) end) end
+  from steps where i < 9 * length(c)),
+heads as (select conv_id, cast(xor(x, cast(4294967295 as bigint)) % 4 as bigint) h from steps where i = 9 * length(c)),
+rebuilt as (
+  select o.conv_id, list_concat(coalesce(b.s, [])[1:h], o.s[h + 1:]) s, list_concat(coalesce(b.w, [])[1:h], o.w[h + 1:]) w
+  from own o join heads using (conv_id) left join own b on b.conv_id = o.conv_id - o.conv_id % 20),
+prefixes as (select conv_id, len(s) n, s, w, unnest(range(0, len(s) + 1)) d from rebuilt),
+nodes as (
+  select s[1:d] p, d, min(conv_id) id, count(*) n_convs, max(case when d > 0 then w[d] else 0 end) words,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (n = d), '')) ends
+  from prefixes group by s[1:d], d),
+kids as (select p[1:d - 1] p, d - 1 d, count(*) n_children from nodes where d > 0 group by p[1:d - 1], d - 1),
+known as (select n.*, coalesce(k.n_children, 0) n_children from nodes n left join kids k on n.d = k.d and n.p = k.p),
+shared as (select *, unnest(range(0, d + 1)) k from known),
+sums as (select p[1:k] p, k d, sum((n_convs - 1) * words) saved, count(*) filter (n_children = 0) leaves from shared group by p[1:k], k)
+select n.id conv_id, n.d as depth, u.id parent_conv_id, n.n_convs, n.n_children, cast(s.leaves as bigint) n_leaves,
+  cast(s.saved as bigint) saved_tokens, n.ends ends_sha256
+from known n join sums s on s.d = n.d and s.p = n.p left join nodes u on n.d > 0 and u.d = n.d - 1 and u.p = n.p[1:n.d - 1]
+"""
+
+QUERIES["op13_conversation_trie"] = op13_conversation_trie
+SQL["op13_conversation_trie"] = OP13_SQL
