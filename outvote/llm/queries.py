@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from . import conversation_trie, decontamination
 from . import line_dedup as lines
 from . import mixing
+from . import ngram_trie
 from . import near_duplicates as nd
 from . import quality_rules, rule_ensemble, sentence_spans, style_tree, whitening
 from . import url_cascade as urls
@@ -223,3 +224,29 @@ from known n join sums s on s.d = n.d and s.p = n.p left join nodes u on n.d > 0
 
 QUERIES["op13_conversation_trie"] = op13_conversation_trie
 SQL["op13_conversation_trie"] = OP13_SQL
+
+
+def op12_ngram_trie_join(spark, sf_dir):
+    return ngram_trie.jaccard_components(table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
+OP12_SQL = rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}') w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i+2], ' ') for i in range(1, len(w) - 1)]) end s from words),
+classes as (select list_sort(s) s, min(doc_id) node, len(s) n from sets where len(s) > 0 group by list_sort(s), len(s)),
+items as (select node, n, unnest(s) x from classes),
+shared as (select a.node a, b.node b, any_value(a.n) na, any_value(b.n) nb, count(*) c
+  from items a join items b on a.x = b.x and a.node < b.node group by a.node, b.node),
+links as (select a, b from shared where 100 * c >= 90 * (na + nb - c)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select node a, node b from classes union select r.a, e.b from reach r join edges e on r.b = e.a),
+roots as (select a node, min(b) root from reach group by a)
+select s.doc_id, cast(len(s.s) as bigint) n_shingles, coalesce(r.root, s.doc_id) component_id
+from sets s left join classes c on len(s.s) > 0 and list_sort(s.s) = c.s left join roots r on r.node = c.node
+"""
+
+QUERIES["op12_ngram_trie_join"] = op12_ngram_trie_join
+SQL["op12_ngram_trie_join"] = OP12_SQL
