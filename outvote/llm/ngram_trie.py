@@ -10,15 +10,19 @@ that, the sets agree in a whole segment. Sizes are cut into classes, each with i
 has one key for each segment: in its own class, where it may be the smaller set of a pair, and in the classes
 below whose sets may be its smaller partners. So linked sets share a key, always.
 
+A set also has a vector for each of its classes: ``FINE`` times as many segments, and a byte of the digest of each. Sets of
+a pair differ in no more bytes than they may differ in n-grams, so most sets that only share a key are told apart by
+vectors, without their n-grams.
+
 Steps, each a Spark job over staged tables:
 
 1. One pass over the texts: size, 128-bit digest and keys of each set. Equal sets become one node.
-2. Keys of one node only are dropped; the full sets of the nodes left are made and staged.
-3. Star rounds. In each bucket of a key the smallest node is the centre; first each node is compared with the centre it
-   shares most keys with, then, in buckets that still hold several components, every node with every centre of
-   its buckets, once for each such pair, and then with the next smallest node as centre. The nodes of a centre are stored in
-   prefix trees of about ``TREE_BYTES``, which the centre probes.
-4. Buckets in which nodes of several components are left after that go into trees as a whole, and their nodes probe them.
+2. Keys of one node only are dropped; vectors and full sets of the nodes left are made and staged.
+3. Star rounds. In the bucket of a key the smallest node is the centre; each node is compared with the centre it
+   shares most keys with, then with the centres of its other buckets that are in another component, first by vectors. The
+   nodes of a centre are stored in prefix trees of about ``TREE_BYTES``, which the centre probes.
+4. Buckets that still hold several components: nodes whose vectors are near that of a node of another component in
+   their bucket go into trees, and probe them.
 
 Nothing is approximate but the hashes: 64 bits for an n-gram, 128 for a set.
 """
@@ -28,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import lookup, row_bytes, stage
 from .common import spread_join
 from .components import components
 from .filters import BitFilter
 from .kernels import Words, draw, mix, shingle_set, slices
 
 GROWTH = 1.25  # of the sizes of a class
+FINE = 8
 TREE_BYTES = 8 << 20
-CENTRES = 3  # rounds after the first
+_CLASS_BITS = 7  # a key ends with the number of its class
 
 
 def _sets(column, width):
@@ -47,7 +52,7 @@ def _sets(column, width):
 class SizeClasses:
     """Sizes ``[start[j], start[j + 1])`` form class j; ``segments[j]`` is 1 more than sets of a pair can differ in if the smaller is of class j."""
 
-    def __init__(self, percent: int, most: int = 1 << 40):
+    def __init__(self, percent: int, most: int = 1 << 33):
         start = [1]
         while start[-1] <= most:
             start.append(max(start[-1] + 1, int(start[-1] * GROWTH)))
@@ -64,33 +69,53 @@ class SizeClasses:
         return (classes >= 0) & (100 * last >= self.percent * sizes)
 
 
-def segment_keys(sets: list[np.ndarray], classes: SizeClasses) -> list[bytes]:
-    """All keys of each set, eight bytes each."""
+def _segments(sets: list[np.ndarray], classes: SizeClasses, fine: int):
+    """Yields, for a set's own class and then each lower one that it reaches: the sets' classes, segment numbers, their bounds and digests.
+
+    Entries of set i are ``at[i]:at[i + 1]``; there are none for sets out of reach and for classes whose pairs cannot differ.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     elements = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     place, value = draw(elements, 7), draw(elements, 31)
     own = classes.of(np.maximum(sizes, 1))
-    found = [b""] * len(sets)
-    for back in range(len(classes.start)):
+    for back in range(len(classes.segments)):
         cls = own - back
         fits = (sizes > 0) & classes.reach(cls, sizes)
         if not fits.any():
-            break
+            return
         m = np.where(fits, classes.segments[np.maximum(cls, 0)], 0)
-        m[m == 1] = 0  # sets of such a pair cannot differ
+        m = np.where(m > 1, m * fine, 0)
         at = np.concatenate([[0], np.cumsum(m)])
         use = m[owner] > 0
         total = np.zeros(at[-1], np.uint64)
         np.add.at(total, at[owner[use]] + (place[use] % m[owner[use]].astype(np.uint64)).astype(np.int64), value[use])
-        doc = np.repeat(np.arange(len(sets)), m)
-        label = (cls[doc].astype(np.uint64) << np.uint64(48)) + (np.arange(at[-1]) - at[doc]).astype(np.uint64)
-        keys = mix(total ^ mix(label + np.uint64(1)))
-        for i in np.flatnonzero(m):
+        number = np.arange(at[-1]) - np.repeat(at[:-1], m)
+        yield cls, number.astype(np.uint64), at, total
+
+
+def segment_keys(sets: list[np.ndarray], classes: SizeClasses) -> list[bytes]:
+    """All keys of each set, eight bytes each."""
+    found = [b""] * len(sets)
+    for cls, number, at, total in _segments(sets, classes, 1):
+        label = np.repeat(cls.clip(0).astype(np.uint64), np.diff(at))
+        keys = mix(total ^ mix((label << np.uint64(48)) + number + np.uint64(1)))
+        keys = (keys >> np.uint64(_CLASS_BITS) << np.uint64(_CLASS_BITS)) | label
+        for i in np.flatnonzero(np.diff(at)):
             found[i] += keys[at[i] : at[i + 1]].tobytes()
     return found
 
 
+def vectors(sets: list[np.ndarray], classes: SizeClasses) -> list[list[tuple[int, bytes]]]:
+    """``(class, vector)`` of each set, its own class first."""
+    found: list[list[tuple[int, bytes]]] = [[] for _ in sets]
+    for cls, _, at, total in _segments(sets, classes, FINE):
+        data = (mix(total) & np.uint64(255)).astype(np.uint8)
+        for i in np.flatnonzero(np.diff(at)):
+            found[i].append((int(cls[i]), data[at[i] : at[i + 1]].tobytes()))
+    return found
+
+
 def _digests(sets):
     """Two sums over the elements of each set, which need no order."""
     elements = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -134,21 +159,45 @@ def _exploded(nodes: DataFrame, sieve: BitFilter | None = None) -> DataFrame:
     return nodes.select("node", "keys").mapInArrow(run, "key long, node long")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node, size, set`` of the rows whose doc_id is a wanted node (one row a doc_id and set)."""
-    sieve = BitFilter.of(wanted, "node")
+def _made_sets(docs: DataFrame, wanted: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors ``node, size, own, cls, vector`` and full sets ``node, d1, d2, size, set`` of the wanted ``node, d1, d2``.
+
+    Vectors have one row a node and class. Among the sets are some that are not wanted, and those of repeated rows more
+    than once; ``_sets_of`` settles that for those it takes.
+    """
+    sieve, classes = BitFilter.of(wanted, "node"), SizeClasses(percent)
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             hit = sieve.holds(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
             for part in slices(batch.filter(pa.array(hit)), "text"):
-                sets = _sets(part.column("text"), width)
-                found = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *_digests(sets)]
-                yield pa.RecordBatch.from_arrays(found, names=["node", "size", "set", "d1", "d2"])
+                sets, ids = _sets(part.column("text"), width), part.column("doc_id").to_pylist()
+                d1, d2 = (d.to_pylist() for d in _digests(sets))
+                rows = []
+                for i, found in enumerate(vectors(sets, classes)):
+                    for k, (cls, vector) in enumerate(found):
+                        rows.append((ids[i], d1[i], d2[i], len(sets[i]), None if k else sets[i].tobytes(), found[0][0], cls, vector))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+                columns = list(zip(*rows)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["node", "d1", "d2", "size", "set", "own", "cls", "vector"])
 
-    found = docs.mapInArrow(run, "node long, size long, set binary, d1 long, d2 long")
-    return stage(found.join(wanted, ["node", "d1", "d2"], "left_semi").dropDuplicates(["node"]).select("node", "size", "set"))
+    made = stage(docs.mapInArrow(run, "node long, d1 long, d2 long, size long, set binary, own long, cls long, vector binary"))
+    near = made.select("node", "d1", "d2", "size", "own", "cls", "vector").join(wanted, ["node", "d1", "d2"], "left_semi")
+    near = stage(near.dropDuplicates(["node", "cls"]).select("node", "size", "own", "cls", "vector"))
+    return near, made.filter("set is not null").select("node", "d1", "d2", "size", "set")
+
+
+def _sets_of(sets: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, size, set`` of some nodes, one row each."""
+    some = stage(wanted.join(nodes.select("node").distinct(), "node", "left_semi"))
+    found = lookup(sets, some.select("node", "d1", "d2"), ["node", "d1", "d2"], "inner", row_bytes(3))
+    return stage(found.select("node", "size", "set").dropDuplicates(["node"]))
+
+
+def _most_apart(a, b, percent: int):
+    """In how many elements linked sets of these sizes can differ."""
+    return (a + b) * (100 - percent) // (100 + percent)
 
 
 class PrefixTree:
@@ -245,8 +294,27 @@ def _parts(size):
     return F.ceil(size * 8 / TREE_BYTES).cast("int")
 
 
-def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``node, centre`` whose vectors allow a link."""
+    names = ("size", "own", "vector")
+    rows = pairs.join(near.withColumnsRenamed({c: f"{c}_a" for c in names}), "node")
+    rows = rows.join(near.withColumnsRenamed({"node": "centre"} | {c: f"{c}_b" for c in names}), ["centre", "cls"])
+    rows = rows.filter(F.col("cls") == F.least("own_a", "own_b"))  # the class of the smaller set
+
+    def run(batches):
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("vector_a", "vector_b"))
+            most = _most_apart(*(batch.column(c).to_numpy() for c in ("size_a", "size_b")), percent)
+            apart = np.array([np.count_nonzero(np.frombuffer(p, np.uint8) != np.frombuffer(q, np.uint8)) for p, q in zip(x, y)], np.int64)
+            yield batch.select(["node", "centre"]).filter(pa.array(apart <= most))
+
+    return rows.select("node", "centre", "size_a", "size_b", "vector_a", "vector_b").mapInArrow(run, "node long, centre long")
+
+
+def _star_links(pairs: DataFrame, near: DataFrame, sets_of, percent: int) -> DataFrame:
     """Links among pairs ``node, centre``: the sets of a centre's nodes are stored in trees, which the centre probes."""
+    pairs = stage(_near(pairs, near, percent))
+    sets = sets_of(pairs.select("node").union(pairs.select("centre")))
     stored = stage(pairs.join(sets.select("node", "size"), "node"))
     parts = stage(stored.groupBy("centre").agg(_parts(F.sum("size")).alias("parts"), F.count("*").alias("n")))
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
@@ -266,18 +334,49 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return together.mapInArrow(run, "a long, b long")
 
 
+def _dealt(rows: DataFrame, size: str) -> DataFrame:
+    """Deals the rows of a bucket ``key`` to tasks, one for each pair of blocks: adds ``own`` block and ``lo, hi`` of the pair."""
+    rows = stage(rows)
+    parts = stage(rows.groupBy("key").agg(_parts(F.sum(size)).alias("parts"), F.count("*").alias("n")))
+    rows = spread_join(rows, parts, "key", "n").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("parts", "n", "other", size)
+
+
+_PAIR_OF_BLOCKS = ["key", "lo", "hi"]
+
+
+def _together(rows: DataFrame, *columns) -> DataFrame:
+    return rows.select(*_PAIR_OF_BLOCKS, *columns).repartition(*_PAIR_OF_BLOCKS).sortWithinPartitions(*_PAIR_OF_BLOCKS)
+
+
+def _likely(rows: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """The rows ``key, node, comp`` with a node of another component near them in their bucket."""
+    rows = rows.withColumn("cls", F.col("key").bitwiseAND((1 << _CLASS_BITS) - 1)).join(near.drop("own").withColumnRenamed("size", "n_shingles"), ["node", "cls"])
+    dealt = _dealt(rows.select("key", "node", "comp", "n_shingles", "vector", (F.length("vector") / 8).alias("size")), "size")
+
+    def run(batches):
+        for table in _groups(batches, _PAIR_OF_BLOCKS):
+            data = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint8).reshape(len(table), -1)
+            comp, own, sizes = (table.column(c).to_numpy() for c in ("comp", "own", "n_shingles"))
+            across = table.column("lo")[0] != table.column("hi")[0]
+            hit = np.zeros(len(table), bool)
+            for i in range(len(table) - 1):
+                others = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (~across | (own[i + 1 :] != own[i])))
+                others = others[(data[others] != data[i]).sum(axis=1) <= _most_apart(sizes[others], sizes[i], percent)]
+                hit[others] = True
+                hit[i] |= len(others) > 0
+            yield from table.select(["key", "node", "comp"]).filter(pa.array(hit)).to_batches()
+
+    return _together(dealt, "own", "node", "comp", "n_shingles", "vector").mapInArrow(run, "key long, node long, comp long").distinct()
+
+
 def _bucket_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside the buckets of ``key, node, comp``: a spanning set of them for each task."""
-    rows = stage(rows.join(sets.select("node", "size"), "node"))
-    parts = stage(rows.groupBy("key").agg(_parts(F.sum("size")).alias("parts"), F.count("*").alias("n")))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
-    rows = spread_join(rows, parts, "key", "n").withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))  # each pair of blocks in a task
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp").join(sets.select("node", "set"), "node")
-    by = ["key", "lo", "hi"]
+    dealt = _dealt(rows.join(sets.select("node", "size"), "node"), "size").join(sets.select("node", "set"), "node")
 
     def run(batches):
-        for table in _groups(batches, by):
+        for table in _groups(batches, _PAIR_OF_BLOCKS):
             node, comp, own = (table.column(c).to_pylist() for c in ("node", "comp", "own"))
             up: dict[int, int] = {}
 
@@ -287,10 +386,7 @@ def _bucket_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 return x
 
             sets_, links = _as_sets(table.column("set")), []
-            if table.column("lo")[0] == table.column("hi")[0]:
-                stored, probes = list(range(len(node))), list(range(len(node)))
-            else:
-                stored, probes = ([i for i in range(len(node)) if own[i] == table.column(c)[0].as_py()] for c in ("lo", "hi"))
+            stored, probes = ([i for i in range(len(node)) if own[i] == table.column(c)[0].as_py()] for c in ("lo", "hi"))
             tree = PrefixTree([sets_[i] for i in stored])
             for i in probes:
                 for j in tree.similar(sets_[i], percent):
@@ -300,38 +396,31 @@ def _bucket_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         links.append((node[i], node[stored[j]]))
             yield _links(links)
 
-    together = rows.select(*by, "own", "node", "comp", "set").repartition(*by).sortWithinPartitions(*by)
-    return together.mapInArrow(run, "a long, b long")
+    return _together(dealt, "own", "node", "comp", "set").mapInArrow(run, "a long, b long")
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows ``key, node, comp, centre`` of the buckets that hold several components; the centre is the smallest node."""
-    rows = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    rows = stage(rows)
-    keys = rows.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    keys = stage(keys.filter("x <> y").drop("x", "y"))
-    return stage(spread_join(rows, keys, "key", "n").select("key", "node", "comp", "centre"))
+    """Rows ``key, node, comp`` of the buckets that hold several components; of buckets with the same nodes one."""
+    rows = stage(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp")))
+    nodes = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in (1, 2)]
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), *nodes)
+    keys = stage(keys.filter("x <> y").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n"))
+    return spread_join(rows, keys, "key", "n").select("key", "node", "comp")
 
 
-def _all_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _all_links(members: DataFrame, near: DataFrame, sets_of, percent: int) -> DataFrame:
     shared = members.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("c"))
     best = shared.groupBy("node").agg(F.max(F.struct("c", "centre")).alias("m")).select("node", F.col("m.centre").alias("centre"))
-    tested = stage(best)
-    links = stage(_star_links(tested, sets, percent))
-    rest = members.select("key", "node")
-    for _ in range(CENTRES):
-        rows = _mixed(rest, components(links))
-        if rows.isEmpty():
-            return links
-        comps = rows.select(F.col("node").alias("centre"), F.col("comp").alias("of_centre")).distinct()
-        pairs = rows.filter("node <> centre").select("node", "comp", "centre").distinct().join(comps, "centre")
-        pairs = pairs.filter("comp <> of_centre").select("node", "centre").join(tested, ["node", "centre"], "left_anti")
-        pairs = stage(pairs)
-        links = stage(links.union(_star_links(pairs, sets, percent)))
-        tested = stage(tested.union(pairs))
-        rest = rows.filter("node <> centre").select("key", "node")
-    rows = _mixed(rest, components(links))
-    return links if rows.isEmpty() else stage(links.union(_bucket_links(rows.drop("centre"), sets, percent)))
+    links = stage(_star_links(best, near, sets_of, percent))
+
+    roots = components(links)
+    others = members.filter("node <> centre").select("node", "centre").distinct().join(roots.select("node", F.col("root").alias("x")), "node", "left")
+    others = others.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("y")), "centre", "left")
+    others = others.filter(F.coalesce("x", "node") != F.coalesce("y", "centre")).select("node", "centre")
+    links = stage(links.union(_star_links(others, near, sets_of, percent)))
+
+    likely = stage(_likely(_mixed(members, components(links)), near, percent))
+    return links if likely.isEmpty() else stage(links.union(_bucket_links(likely, sets_of(likely), percent)))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
@@ -348,14 +437,15 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3) -> Da
     classes = rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = stage(classes.filter("node is not null"))
     first = classes.select("d1", "d2", F.col("node").alias("doc_id"))
-    nodes = rows.join(first, ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["d1", "d2", "doc_id"])
+    nodes = rows.filter(F.length("keys") > 0).join(first, ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["d1", "d2", "doc_id"])
     nodes = stage(nodes.select(F.col("doc_id").alias("node"), "d1", "d2", "keys"))
 
     repeated = _exploded(nodes).groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
     repeated = stage(repeated)
     members = stage(spread_join(_exploded(nodes, BitFilter.of(repeated, "key")), repeated, "key", "n").select("key", "node", "centre"))
-    wanted = stage(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "d1", "d2"))
-    links = _all_links(members, _full_sets(docs, wanted, width), percent)
+    wanted = stage(nodes.select("node", "d1", "d2").join(members.select("node").distinct(), "node", "left_semi"))
+    near, sets = _made_sets(docs, wanted, percent, width)
+    links = _all_links(members, near, lambda nodes: _sets_of(sets, wanted, nodes), percent)
 
     node_of = classes.filter("copies > 1").select("d1", "d2", "node")
     rows = rows.select("doc_id", "n_shingles", "d1", "d2").join(node_of, ["d1", "d2"], "left")
