@@ -45,9 +45,17 @@ def with_errors(df, models, value, offsets, kinds, carry):
 
 
 def _cut_arrays(errors, keys, names, thresholds, null_policy):
-    qs = [(100 - t) / 100.0 for t in thresholds]
-    cuts = exact_quantiles(errors, keys, names, qs, null_policy)
-    return stage(cuts.select(*keys, *[_ascending(F.col(n)).alias(f"_cut{n}") for n in names]))
+    return stage(cut_arrays(exact_quantiles(errors, keys, names, card_quantiles(thresholds), null_policy), keys, names))
+
+
+def card_quantiles(thresholds):
+    """The quantiles that marks at these thresholds start at."""
+    return [(100 - t) / 100.0 for t in thresholds]
+
+
+def cut_arrays(quantiles: DataFrame, keys, names) -> DataFrame:
+    """``_cut<name>`` of each column of exact quantiles."""
+    return quantiles.select(*keys, *[_ascending(F.col(n)).alias(f"_cut{n}") for n in names])
 
 
 def _ascending(cuts):
@@ -90,18 +98,19 @@ def cutoffs(
 
 
 def card_levels(
-    df: DataFrame, models, thresholds, offsets, kinds, value=VALUE, keys=(), null_policy="poison", carry=None,
+    df: DataFrame, models, thresholds, offsets, kinds, value=VALUE, keys=(), null_policy="poison", carry=None, cuts=None,
 ) -> DataFrame:
     """Adds, per kind and model, how many of the thresholds the model marks the row at.
 
     A model that marks a row at a strict threshold marks it at every looser one, so one small
     number says it all: row marked at the i-th loosest threshold <=> level > i. Columns are
     ``_k_<kind>_<model>``. If relative errors take part there is one row per offset, numbered
-    ``_j``; else ``_j`` is 0. ``carry`` names the columns to keep (default: all).
+    ``_j``; else ``_j`` is 0. ``carry`` names the columns to keep (default: all). ``cuts`` are the
+    cutoffs as ``cut_arrays`` gives them, where they are known already.
     """
     keys, carry = list(keys), df.columns if carry is None else list(carry)
     errors, columns = with_errors(df, models, value, offsets, kinds, carry)
-    cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy)
+    cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy) if cuts is None else cuts
     absolute = [f"_abs_{m}" for m in models if f"_abs_{m}" in columns]
 
     def by_offset(prefix):

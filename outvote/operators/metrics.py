@@ -7,25 +7,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..defaults import DATA_OFFSET, DATA_OFFSETS, MODELS, REF_VALUE, THRESHOLD, THRESHOLDS, TOL, VALUE
+from ..defaults import DATA_OFFSET, DATA_OFFSETS, ENTRY_ID, MODELS, REF_VALUE, THRESHOLD, THRESHOLDS, TOL, VALUE
 from ..functions.expr import INF, f1_columns, total
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import lookup, row_bytes, stage
-from .cards import as_list, card_levels, falling, level_columns
+from .cards import as_list, card_levels, card_quantiles, cut_arrays, falling, level_columns, with_errors
 from .errors import align_reference, basic_stats, dataset_keys, is_modified
 
 # The names of the metrics.
 METRICS = ("group_len", "group_pos", "group_ratio", "group_pos_ratio", "precision", "recall", "f1")
 
 
-def _with_truth(df, reference, value, keys):
+def _with_truth(df, reference, value, keys, models=None):
     """Rows that belong to a dataset, with the flag of known errors.
 
-    ``reference`` is the name of an aligned column or a frame with (id, value).
+    ``reference`` is the name of an aligned column or a frame with (id, value). The join with a frame is done
+    once and staged, with no more columns than ``models`` and the others that metrics need.
     """
     if isinstance(reference, DataFrame):
-        df, reference = align_reference(df, reference, value), REF_VALUE
+        needed = df.columns if models is None else dict.fromkeys([ENTRY_ID, value, *keys, *models])
+        df, reference = stage(align_reference(df.select(*needed), reference, value)), REF_VALUE
     df = df.withColumn("_mod", is_modified(value, reference))
     return df.dropna(subset=keys) if keys else df
 
@@ -79,7 +81,7 @@ def classification_metrics(
     keys, offsets, given = dataset_keys(df, keys), as_list(data_offsets), as_list(thresholds)
     steps, models = falling(given), list(models)
     kind = group_stat if group_stat in ("abs", "rel", "both", "norm") else "abs"
-    rows = _with_truth(df, reference, value, keys)
+    rows = _with_truth(df, reference, value, keys, models)
     n_models = len(models)
     if kind == "norm":
         rows, levels = rows.withColumn("_j", F.lit(0)), [F.lit(0)] * n_models
@@ -290,10 +292,13 @@ def quantile_baseline(
     """
     keys = dataset_keys(df, keys)
     steps = quantile_thresholds() if thresholds is None else sorted(set(as_list(thresholds)))
-    rows = _with_truth(df, reference, value, keys)
+    rows = _with_truth(df, reference, value, keys, models)
     rows = basic_stats(rows, models, None, value, data_offset).select(*keys, "_mod", "d_median_a")
     cuts = exact_quantiles(rows, keys, ["d_median_a"], [t / 100 for t in steps], "skip")
-    cuts = stage(cuts.select(*keys, F.col("d_median_a").alias("_cuts")))
+    return _plain_metrics(rows, stage(cuts.select(*keys, F.col("d_median_a").alias("_cuts"))), keys, steps)
+
+
+def _plain_metrics(rows, cuts, keys, steps):
     rows = count_passed(lookup(rows, cuts, keys, "left", row_bytes(len(steps))), {"_level": ("d_median_a", "_cuts")}, len(steps), strict=True)
     levels = rows.groupBy(*keys, "_mod", "_level").agg(F.count("*").alias("cnt"))
     by_threshold = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(t).alias("threshold")) for i, t in enumerate(steps)])
@@ -319,13 +324,24 @@ def compare_threshold_methods(
     """Quantile cuts and top card groups side by side, sorted.
 
     The thresholds run opposite ways: ``Quantile`` keeps the top 100 - t %, ``Cards`` the top t %.
+    Both methods' cutoffs come from one request for quantiles.
     """
-    keys = dataset_keys(df, keys)
-    plain = quantile_baseline(df, reference, models, quantile_thresholds(num_points), data_offset, value, keys)
-    marked = classification_metrics(
-        df, reference, models, geomspace(0.0001, 100, num_points), data_offset, "abs", value, keys, True, null_policy
-    )
-    top = group_slice(marked, len(list(models))).withColumnRenamed("threshold_pct", "threshold")
+    keys, models, offsets = dataset_keys(df, keys), list(models), as_list(data_offset)
+    rows = _with_truth(df, reference, value, keys, models)
+    plain_steps, steps = quantile_thresholds(num_points), falling(geomspace(0.0001, 100, num_points))
+    errors, names = with_errors(basic_stats(rows, models, None, value, data_offset), models, value, offsets, ("abs",), [*keys, "d_median_a"])
+    found = exact_quantiles(
+        errors, keys, [*names, "d_median_a"], {n: card_quantiles(steps) for n in names} | {"d_median_a": [t / 100 for t in plain_steps]},
+        {n: null_policy for n in names} | {"d_median_a": "skip"},
+    )
+    found = stage(found)
+
+    plain_rows = basic_stats(rows, models, None, value, data_offset).select(*keys, "_mod", "d_median_a")
+    plain = _plain_metrics(plain_rows, found.select(*keys, F.col("d_median_a").alias("_cuts")), keys, plain_steps)
+    levels = card_levels(rows, models, steps, offsets, ("abs",), value, keys, null_policy, [*keys, "_mod"], cut_arrays(found, keys, names))
+    marks = _at_least_counts(levels, keys, level_columns(models, "abs"))
+    marked = _metrics_from_marks(marks, keys, steps, offsets, len(models), True, True)
+    top = group_slice(marked, len(models)).withColumnRenamed("threshold_pct", "threshold")
     shape = ["threshold", *keys, "precision", "recall", "f1"]
     both = plain.select(*shape, F.lit("Quantile").alias("method")).unionByName(top.select(*shape, F.lit("Cards").alias("method")))
     return both.na.fill(0).orderBy("threshold", *keys, "method")
