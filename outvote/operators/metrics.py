@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..defaults import DATA_OFFSET, DATA_OFFSETS, ENTRY_ID, MODELS, REF_VALUE, THRESHOLD, THRESHOLDS, TOL, VALUE
-from ..functions.expr import INF, f1_columns, total
+from ..functions.expr import INF, clean_number, f1_columns, ratio, total
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import lookup, row_bytes, stage
@@ -200,17 +200,64 @@ def _subset_counts(rows, keys, models, offset, least=1):
     )
 
 
+def _subset_levels(rows, keys, models, chosen, steps, offset, kind, value, null_policy):
+    """Counted rows ``keys, n_models, model_combo, combo_no, _mod, _level``: at how many thresholds all models of a subset mark them.
+
+    Relative errors are taken from the median of the subset's own predictions; all medians come from one sorted array a row, and
+    the cutoffs of all subsets, as datasets of their own, from one request. Absolute errors do not depend on the subset.
+    """
+    marks = [f"_k_abs_{m}" for m in models] if kind == "both" else []
+    if marks:
+        rows = card_levels(rows, models, steps, [float(offset)], ("abs",), value, keys, null_policy, [*keys, "_mod", value, *models])
+    rows = rows.select(*keys, "_mod", *marks, clean_number(value).alias("_y"), *[clean_number(m).alias(f"_m{i}") for i, m in enumerate(models)])
+    sizes = {f"_a{i}": F.abs(F.col(f"_m{i}") - F.col("_y")) for i in range(len(models))}
+    seen = F.filter(F.array_sort(F.array(*[F.struct(F.col(f"_m{i}").alias("v"), F.lit(1 << i).alias("bit")) for i in range(len(models))])), lambda e: e["v"].isNotNull())
+    own = F.transform(F.array(*[F.lit(bits) for bits, _, _ in chosen]), lambda bits: F.filter("_seen", lambda e: e["bit"].bitwiseAND(bits) != 0))
+    middle = lambda o: (F.get(o, F.shiftright(F.size(o) - 1, 1))["v"] + F.get(o, F.shiftright(F.size(o), 1))["v"]) / 2 + F.lit(float(offset))
+    rows = rows.withColumns(sizes | {"_seen": seen}).select(*keys, "_mod", *marks, *sizes, F.posexplode(F.transform(own, middle)).alias("_j", "_centre"))
+    rows = rows.withColumn("_bits", F.get(F.array(*[F.lit(bits) for bits, _, _ in chosen]), F.col("_j")))
+    member = [F.col("_bits").bitwiseAND(1 << i) != 0 for i in range(len(models))]
+    # Models outside of the subset have no errors; a constant keeps them from counting as missing.
+    shares = {f"_r{i}": F.when(member[i], ratio(F.col(f"_a{i}"), F.col("_centre"))).otherwise(0.0) for i in range(len(models))}
+    errors = rows.select(*keys, "_mod", *marks, "_j", "_bits", *[c.alias(n) for n, c in shares.items()])
+    ids, names = [*keys, "_j"], list(shares)
+    cuts = stage(cut_arrays(exact_quantiles(errors, ids, names, card_quantiles(steps), null_policy), ids, names))
+    marked = lookup(errors, cuts, ids, "left", row_bytes(len(steps) * len(names)))
+    marked = count_passed(marked, {f"_k{n}": (n, f"_cut{n}") for n in names}, len(steps))
+    levels = [F.when(member[i], F.least(f"_k_r{i}", marks[i]) if marks else F.col(f"_k_r{i}")).otherwise(len(steps)) for i in range(len(models))]
+    level = F.least(*levels) if len(levels) > 1 else levels[0]
+    counted = marked.groupBy(*keys, "_j", "_mod", level.alias("_level")).agg(F.count("*").alias("cnt"))
+    labels = F.array(*[F.struct(F.lit(n).alias("n_models"), F.lit(c).alias("model_combo"), F.lit(j).alias("combo_no")) for j, (_, n, c) in enumerate(chosen)])
+    return counted.withColumn("_label", F.get(labels, F.col("_j"))).select(*keys, "_label.*", "_mod", "_level", "cnt")
+
+
+def _counted_subsets(marks, keys, hit, extra=()):
+    return marks.groupBy("n_models", "model_combo", *extra, *keys).agg(
+        F.sum(hit).alias("group_len"), F.sum(F.when(F.col("_mod"), hit).otherwise(0)).alias("group_pos"), _pos().alias("ds_pos"), F.sum("cnt").alias("ds_len")
+    )
+
+
 def multi_model_stats(
     df: DataFrame, reference=REF_VALUE, models=MODELS, threshold=THRESHOLD, data_offset=DATA_OFFSET,
-    value=VALUE, keys=None, null_policy="poison",
+    value=VALUE, keys=None, null_policy="poison", group_stat="abs",
 ) -> DataFrame:
-    """Top-group metrics of every subset of the models at one threshold (absolute errors)."""
+    """Top-group metrics of every subset of the models at one threshold, by absolute, relative (``rel``) or both errors."""
     keys, models = dataset_keys(df, keys), list(models)
-    rows = _with_truth(df, reference, value, keys)
+    rows = _with_truth(df, reference, value, keys, models)
+    if group_stat in ("rel", "both"):
+        levels = _subset_levels(rows, keys, models, subsets(models), [float(threshold)], data_offset, group_stat, value, null_policy)
+        hit = F.when(F.col("_level") > 0, F.col("cnt")).otherwise(0)
+        counts = _counted_subsets(levels, keys, hit, ["combo_no"]).withColumns({"data_offset": F.lit(float(data_offset)), "threshold_pct": F.lit(float(threshold))})
+        return _zeroed(_metric_frame(counts, ["n_models", "model_combo", "threshold_pct", *keys, "data_offset", "combo_no"]))
     rows = card_levels(rows, models, [float(threshold)], [float(data_offset)], ("abs",), value, keys, null_policy, [*keys, "_mod"])
     return _subset_metrics(_level_patterns(rows, keys, models), keys, models, threshold, data_offset)
 
 
+def _zeroed(metrics):
+    """A subset without any top-group entry has only zeros."""
+    return metrics.withColumns({n: F.when(F.col("group_len") > 0, F.col(n)).otherwise(0) for n in METRICS})
+
+
 def _subset_metrics(patterns, keys, models, threshold, data_offset, least=1):
     counts = _subset_counts(patterns, keys, models, data_offset, least).withColumn("threshold_pct", F.lit(float(threshold)))
     names = ["n_models", "model_combo", "threshold_pct", *keys, "data_offset"]
@@ -237,16 +284,25 @@ def best_combo(stats: DataFrame, criterion="max", keys=None) -> DataFrame:
 
 def multi_model_curve(
     df: DataFrame, reference=REF_VALUE, models=MODELS, thresholds=THRESHOLDS, data_offset=DATA_OFFSET,
-    criterion="max", value=VALUE, keys=None, null_policy="poison", threshold=THRESHOLD,
+    criterion="max", value=VALUE, keys=None, null_policy="poison", threshold=THRESHOLD, group_stat="abs",
 ) -> DataFrame:
-    """Top-group metrics over all thresholds for the best subset of each size, chosen at ``threshold``.
+    """Top-group metrics over all thresholds for the best subset of each size, chosen at ``threshold``, by the errors of ``group_stat``.
 
     One level pass over all thresholds; what follows works on the counted level patterns, so rows
     are never multiplied by subsets.
     """
     keys, models, asked = dataset_keys(df, keys), list(models), falling(thresholds)
     steps = falling([*asked, float(threshold)])
-    rows = _with_truth(df, reference, value, keys)
+    if group_stat in ("rel", "both"):
+        stats = multi_model_stats(df, reference, models, threshold, data_offset, value, keys, null_policy, group_stat)
+        labels = {r["model_combo"] for r in best_combo(stats, criterion, keys).collect()}  # one a size
+        chosen = [s for s in subsets(models) if s[2] in labels]
+        levels = _subset_levels(_with_truth(df, reference, value, keys, models), keys, models, chosen, asked, data_offset, group_stat, value, null_policy)
+        by_threshold = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(t).alias("threshold_pct")) for i, t in enumerate(asked)])
+        hit = F.when(F.col("_level") > F.col("_i"), F.col("cnt")).otherwise(0)
+        counts = _counted_subsets(levels.select("*", F.inline(by_threshold)), keys, hit, ["threshold_pct"]).withColumn("data_offset", F.lit(float(data_offset)))
+        return _zeroed(_metric_frame(counts, ["n_models", "model_combo", "threshold_pct", *keys, "data_offset"]))
+    rows = _with_truth(df, reference, value, keys, models)
     rows = card_levels(rows, models, steps, [float(data_offset)], ("abs",), value, keys, null_policy, [*keys, "_mod"])
     patterns = stage(_level_patterns(rows, keys, models))
     stats = _subset_metrics(patterns, keys, models, threshold, data_offset, steps.index(float(threshold)) + 1)

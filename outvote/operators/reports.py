@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..defaults import DATA_OFFSET, MODELS, REF_VALUE, THRESHOLD, TOL, VALUE
-from ..functions.expr import check_free, clean_number, ratio, with_row_stats
+from ..defaults import DATA_OFFSET, MODELS, REF_VALUE, THRESHOLD, THRESHOLDS, TOL, VALUE
+from ..functions.expr import between_ranks, check_free, clean_number, ratio, with_row_stats
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import lookup, row_bytes, stage
-from .cards import cards
+from .cards import card_levels, cards, falling, level_columns
 from .errors import basic_stats, dataset_keys, is_modified, value_diffs
 from .features import histogram
 
 STATS = ("p_median", "p_mean", "p_std", "d_mean_a", "d_mean_r", "d_median_a", "d_median_r")
+CELLS = 1024  # of values, where medians of many groups are looked for at once
 EIGHTHS = (0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0)
 
 
@@ -223,6 +224,68 @@ def group_aggregates(stats: DataFrame, columns=STATS, keys=None, split_modified=
     return _mean_and_median(rows, ids, cells, ("stat",))
 
 
+def group_aggregates_grid(
+    df: DataFrame, ref=None, models=MODELS, thresholds=THRESHOLDS, data_offset=DATA_OFFSET, group_stat="abs",
+    columns=STATS, value=VALUE, keys=None, split_modified=False, null_policy="poison",
+) -> DataFrame:
+    """``group_aggregates`` of ``group_statistics`` over many thresholds, without a row for each threshold.
+
+    A row is in group g at the thresholds between its (g + 1)-th and its g-th largest level: one stretch a group, most of them
+    empty. Rows are counted and summed up by stretch and cell of values, the cells cut by a sketch; only these counts
+    meet the thresholds. They give all means, and the cell that holds each median. Rows of those cells are then counted by
+    value. A cell has about a ``CELLS``-th of a dataset's rows, and its distinct values meet in one task.
+    """
+    keys, steps = dataset_keys(df, keys), falling(thresholds)
+    kind = group_stat if group_stat in ("abs", "rel", "both") else "abs"
+    ids, columns = [*keys, *(["modified"] if split_modified else [])], list(columns)
+    rows = basic_stats(df, models, value if ref is None else ref, value, data_offset)
+    rows = rows.withColumn("modified", is_modified(value, ref)) if split_modified else rows
+    rows = card_levels(rows, models, steps, [float(data_offset)], (kind,), value, keys, null_policy, [*ids, *columns])
+    levels = [F.lit(len(steps)), F.sort_array(F.array(*level_columns(models, kind)), asc=False), F.lit(0)]
+    rows = rows.select(*ids, F.concat(F.array(levels[0]), levels[1], F.array(levels[2])).alias("_s"), *[clean_number(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    rows = stage(rows.dropna(subset=keys) if keys else rows)
+
+    shares = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
+    sketches = rows.groupBy(*keys).agg(*[F.kll_sketch_agg_double(f"_v{i}", F.lit(4096)).alias(f"_v{i}") for i in range(len(columns))])
+    edges = [F.struct(F.lit(i).alias("_c"), F.array_distinct(F.kll_sketch_get_quantile_double(f"_v{i}", shares)).alias("_edges")) for i in range(len(columns))]
+    edges = stage(sketches.select(*keys, F.inline(F.array(*edges))))
+    long = rows.select(*ids, "_s", F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_v{i}").alias("_x")) for i in range(len(columns))])))
+    long = count_passed(lookup(long, edges, [*keys, "_c"], "left", row_bytes(CELLS)), {"_cell": ("_x", "_edges")}, CELLS)
+    stretch = lambda g: F.struct(F.lit(g).alias("_g"), F.get("_s", g + 1).alias("_lo"), F.get("_s", g).alias("_hi"))
+    stretches = F.filter(F.array(*[stretch(g) for g in range(len(models) + 1)]), lambda e: e["_lo"] < e["_hi"])
+    long = long.select(*ids, "_c", "_x", "_cell", F.inline(stretches))
+
+    by, one = [*ids, "_c"], [*ids, "_c", "_i", "_g"]
+    counts = stage(long.groupBy(*by, "_g", "_lo", "_hi", "_cell").agg(F.count("_x").alias("_n"), F.sum("_x").alias("_sum")))
+    counts = counts.withColumn("_i", F.explode(F.sequence("_lo", F.col("_hi") - 1))).groupBy(*one, "_cell").agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"))
+    over = Window.partitionBy(*one)
+    counts = counts.withColumns(
+        {
+            "_size": F.sum("_n").over(over), "_mean": F.sum("_sum").over(over) / F.nullif(F.sum("_n").over(over), F.lit(0)),
+            "_upto": F.sum("_n").over(over.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
+    counts = stage(counts)
+    means = counts.groupBy(*one).agg(F.first("_mean").alias("_mean"), F.first("_size").alias("_size"))
+    low, high = F.floor((F.col("_size") - 1) / 2), F.floor(F.col("_size") / 2)
+    wanted = counts.withColumn("_from", F.col("_upto") - F.col("_n")).filter((F.col("_from") <= high) & (F.col("_upto") > low) & (F.col("_n") > 0))
+    wanted = stage(wanted.select(*one, "_cell", "_from", low.alias("_low"), high.alias("_high")))
+
+    cells = stage(wanted.select(*by, "_cell").distinct())
+    fine = lookup(long.filter(F.col("_x").isNotNull()), cells, [*by, "_cell"], "inner").groupBy(*by, "_g", "_lo", "_hi", "_cell", "_x").agg(F.count("*").alias("_n"))
+    fine = fine.join(wanted, [*by, "_g", "_cell"]).filter((F.col("_i") >= F.col("_lo")) & (F.col("_i") < F.col("_hi")))
+    fine = fine.groupBy(*one, "_cell", "_x").agg(F.sum("_n").alias("_n"), *[F.first(c).alias(c) for c in ("_from", "_low", "_high")])
+    upto = F.sum("_n").over(Window.partitionBy(*one, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_from")
+    fine = fine.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
+    holds = lambda rank: F.max(F.when((F.col("_before") <= F.col(rank)) & (F.col("_upto") > F.col(rank)), F.col("_x")))
+    medians = fine.groupBy(*one).agg(holds("_low").alias("_a"), holds("_high").alias("_b"))
+    weight = F.when(F.col("_size") % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.0))
+    both = means.join(medians, one, "left").withColumn("_median", between_ranks(F.col("_a"), F.col("_b"), weight))
+    label = lambda values, at: F.get(F.array(*map(F.lit, values)), F.col(at))
+    out = F.array(*[F.struct(F.lit(a).alias("agg"), F.col(f"_{a}").alias("value")) for a in ("mean", "median")])
+    return both.select(*ids, label(steps, "_i").alias("threshold_pct"), F.col("_g").alias("group_no"), label(columns, "_c").alias("stat"), F.inline(out))
+
+
 def clipped_density(stats: DataFrame, stat: str, group="group_no", bins=50, upper=0.99) -> DataFrame:
     """Density of a statistic per group on equal bins from 0 to its overall ``upper`` quantile.
 

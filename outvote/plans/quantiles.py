@@ -105,21 +105,27 @@ def _sketched(rows, keys, qs):
         *[F.kll_sketch_agg_double(f"_v{i}", F.lit(size)).alias(f"_s{i}") for i, size in enumerate(sizes)],
     )
 
-    def fact(i):
-        n, sketch, given = F.col(f"_n{i}"), F.col(f"_s{i}"), _numbers(qs[i])
+    def facts_for(wanted, size):
+        n, sketch, given = F.col("_v"), F.col("_sketch"), _numbers(wanted)
         places = ("low", "high", "weight"), ("long", "long", "double")
         slots = F.transform(given, lambda q: F.struct(*[v.cast(t).alias(k) for k, t, v in zip(*places, _place(q, n))]))
-        error = _rank_error(sizes[i])
+        error = _rank_error(size)
         reach = (ERRORS + 0.5) * error  # half an error for the wanted ranks' distance of 1 / n from the quantile
-        below, above = (F.kll_sketch_get_quantile_double(sketch, _numbers(min(max(q + side, 0.0), 1.0) for q in qs[i])) for side in (-reach, reach))
+        below, above = (F.kll_sketch_get_quantile_double(sketch, _numbers(min(max(q + side, 0.0), 1.0) for q in wanted)) for side in (-reach, reach))
         few = n < 4 / error
         low = lambda q, k: F.when(few | (q <= reach), -INF).otherwise(F.get(below, k))
         high = lambda q, k: F.when(few | (q >= 1 - reach), INF).otherwise(F.get(above, k))
         brackets = F.transform(given, lambda q, k: F.struct(low(q, k).alias("a"), high(q, k).alias("b")))
-        some = n > 0
-        return F.struct(F.lit(i).alias("_c"), n.alias("_v"), F.when(some, slots).alias("_slots"), F.when(some, brackets).alias("_brackets"))
-
-    facts = sketches.select(*keys, "n_rows", F.inline(F.array(*[fact(i) for i in range(len(qs))])))
+        return F.struct(slots.alias("_slots"), brackets.alias("_brackets"))
+
+    each = [F.struct(F.lit(i).alias("_c"), F.col(f"_n{i}").alias("_v"), F.col(f"_s{i}").alias("_sketch")) for i in range(len(qs))]
+    facts = sketches.select(*keys, "n_rows", F.inline(F.array(*each)))
+    found = None
+    for wanted in dict.fromkeys(map(tuple, qs)):
+        own = F.col("_c").isin([i for i, q in enumerate(qs) if tuple(q) == wanted]) & (F.col("_v") > 0)
+        made = facts_for(wanted, _sketch_size(len(wanted)))
+        found = F.when(own, made) if found is None else found.when(own, made)
+    facts = facts.withColumn("_found", found).select(*keys, "n_rows", "_c", "_v", "_found._slots", "_found._brackets")
     facts = stage(facts)  # what follows is arithmetic on its few rows
     edges = F.array_sort(F.array_distinct(F.concat("_brackets.a", "_brackets.b")))
     ranks = F.array_sort(F.array_distinct(F.concat("_slots.low", "_slots.high")))

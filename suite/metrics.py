@@ -10,7 +10,7 @@ from outvote.functions.expr import clean_round
 from outvote.operators import metrics as M
 
 from .fixtures import predictions, table
-from .sqltext import DS, F1, P, R, errors_cte, marked_ctes, metrics_ctes, num, q_list, r6, rounded, values_table, with_preds
+from .sqltext import DS, F1, P, R, errors_cte, marked_ctes, median_of, metrics_ctes, num, q_list, r6, rounded, values_table, with_preds
 
 RATIOS = ("group_ratio", "group_pos_ratio", "precision", "recall", "f1")
 
@@ -54,6 +54,10 @@ def subset_metrics(spark, sf):
     return tidy(M.multi_model_stats(predictions(spark, sf))).drop("combo_no")
 
 
+def _subset_errors(kind):
+    return lambda spark, sf: tidy(M.multi_model_stats(predictions(spark, sf), group_stat=kind)).drop("combo_no")
+
+
 def _best(criterion):
     def run(spark, sf):
         return tidy(M.best_combo(M.multi_model_stats(predictions(spark, sf)), criterion))
@@ -102,6 +106,8 @@ QUERIES = {
     "metrics_top_group": metrics_top_group,
     "metrics_joined_reference": metrics_joined_reference,
     "subset_metrics": subset_metrics,
+    "subset_metrics_relative": _subset_errors("rel"),
+    "subset_metrics_both": _subset_errors("both"),
     "subset_best_max": _best("max"),
     "subset_best_median": _best("median"),
     "subset_curve": subset_curve,
@@ -139,6 +145,32 @@ def _subset_ctes():
     )
 
 
+def _subset_errors_sql(kind):
+    """The same by errors relative to the median of each subset's own predictions."""
+    own = [(j, c, median_of([MODELS[i] for i in c])) for j, c in enumerate(_SUBSETS)]
+    shares = ", ".join(f'abs({MODELS[i]} - "values") / ({med} + 1.5::double) as r{j}_{i}' for j, c, med in own for i in c)
+    sizes = ", ".join(f'abs({m} - "values") as a{i}' for i, m in enumerate(MODELS))
+    names = [f"r{j}_{i}" for j, c, _ in own for i in c] + [f"a{i}" for i in _N]
+    cut = ", ".join(f"quantile_cont({n}, 0.95::double) as q{n}" for n in names)
+
+    def test(j, c):
+        return " and ".join(f"r{j}_{i} >= qr{j}_{i}" + (f" and a{i} >= qa{i}" if kind == "both" else "") for i in c)
+
+    branches = [
+        f"select {len(c)} as n_models, '{';'.join(MODELS[i] for i in c)}' as model_combo, {DS}, count(*) filter ({test(j, c)}) as group_len, "
+        f"count(*) filter (modified and {test(j, c)}) as group_pos, count(*) filter (modified) as ds_pos, count(*) as ds_len from marked group by {DS}"
+        for j, c, _ in own
+    ]
+    return with_preds(
+        f'errs as (select {DS}, abs("values" - ref_values) > 1e-8 as modified, {sizes}, {shares} from preds)',
+        f"cuts as (select {DS}, {cut} from errs group by {DS})",
+        f"marked as (select * from errs join cuts using ({DS}))",
+        "counts as (" + " union all ".join(branches) + ")",
+        f"stats as (select *, group_len / (ds_len + 1e-8::double) as group_ratio, group_pos / (ds_len + 1e-8::double) as group_pos_ratio, "
+        f"{P} as precision, {R} as recall, {F1} as f1 from counts)",
+    ) + f"select n_models, model_combo, 5.0::double as threshold_pct, {DS}, 1.5::double as data_offset, group_len, group_pos, {rounded()} from stats"
+
+
 _BEST_MAX = f"best as (select * from stats qualify row_number() over (partition by n_models order by f1 desc, combo_no, {DS}) = 1)"
 _BEST_MEDIAN = (
     "mid as (select n_models, median(f1) as middle from stats group by n_models), "
@@ -248,6 +280,8 @@ SQL = {
     + f"select threshold_pct, {DS}, data_offset, group_len, group_pos, {rounded()} from metrics where group_no = 5",
     "subset_metrics": with_preds(_subset_ctes())
     + f"select n_models, model_combo, 5.0::double as threshold_pct, {DS}, 1.5::double as data_offset, group_len, group_pos, {rounded()} from stats",
+    "subset_metrics_relative": _subset_errors_sql("rel"),
+    "subset_metrics_both": _subset_errors_sql("both"),
     "subset_best_max": with_preds(_subset_ctes(), _BEST_MAX) + "select n_models, model_combo, round(f1, 6) as f1 from best",
     "subset_best_median": with_preds(_subset_ctes(), _BEST_MEDIAN) + "select n_models, model_combo, round(f1, 6) as f1 from best",
     "subset_curve": _curve_sql(),

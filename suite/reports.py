@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from outvote.defaults import MODELS
+from outvote.defaults import MODELS, THRESHOLDS
 from outvote.functions.expr import clean_round
 from outvote.operators import reports as T
 from outvote.operators.errors import basic_stats
@@ -82,6 +82,11 @@ def group_aggregates(spark, sf):
     return out.withColumn("value", clean_round("value"))
 
 
+def group_aggregates_grid(spark, sf):
+    out = T.group_aggregates_grid(predictions(spark, sf), "ref_values", columns=("p_std", "d_median_a"), split_modified=True)
+    return out.withColumn("value", clean_round("value"))
+
+
 def clipped_density(spark, sf):
     out = T.clipped_density(_stats(spark, sf), "d_median_a")
     return out.withColumns({"left_edge": clean_round("left_edge"), "density": clean_round("density", 9)})
@@ -109,6 +114,7 @@ QUERIES = {
     "last_group_split": last_group_split,
     "group_means": group_means,
     "group_aggregates": group_aggregates,
+    "group_aggregates_grid": group_aggregates_grid,
     "clipped_density": clipped_density,
     "distribution_summary": distribution_summary,
     "size_annotations": size_annotations,
@@ -217,6 +223,12 @@ SQL = {
         for s in ("p_std", "d_median_a")
         for a, e in (("mean", f"avg({s})"), ("median", f"quantile_cont({s}, 0.5::double)"))
     ),
+    "group_aggregates_grid": with_preds(_stats_ctes(THRESHOLDS))
+    + " union all ".join(
+        f"select {DS}, t as threshold_pct, cards_abs as group_no, modified, '{s}' as stat, '{a}' as agg, {r6(e, 'value')} from stats group by {DS}, t, cards_abs, modified"
+        for s in ("p_std", "d_median_a")
+        for a, e in (("mean", f"avg({s})"), ("median", f"quantile_cont({s}, 0.5::double)"))
+    ),
     "clipped_density": with_preds(_stats_ctes(), _DENSITY)
     + f"select group_no, bin, n, {r6('bin * (top / 50)', 'left_edge')}, {r6('n / (sum(n) over (partition by group_no) * (top / 50))', 'density', 9)} from counts",
     "distribution_summary": with_preds(
