@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expr import digest128
+
 # Fixed value: keeps the formula, connection and hydrogen layers of a structure key.
 LAYERED_KEY = r"^(InChI=1S/[\w]+/[\w\d\-\(\)\,]+/h[\w\d\,\(\)\-]+)/{0,1}.*"
 MIN_RETENTION = 400
@@ -39,24 +41,32 @@ def truncate_key(column, pattern=LAYERED_KEY) -> Column:
 def dedup_keep_first(df: DataFrame, key, order) -> DataFrame:
     """The first row of each key by a unique order; a NULL is a key like others.
 
-    Only digests of the keys and the order are aggregated, one row per key and task, and the rows are
-    then picked by their order: long keys and wide rows are neither sorted nor carried along.
+    Only 128-bit digests of the keys and the order are aggregated, one row per key and task, and the rows are
+    then picked by their order: long keys and wide rows are neither sorted nor carried along. A hash of another
+    kind is compared among the rows of a digest; if it shows that keys differ, that is an error.
     """
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.distinct()
-    parts = [p for c in key for p in (F.col(c).isNull(), F.col(c))]
-    digest = [F.xxhash64(*parts, F.lit(i)).alias(f"_digest{i}") for i in (1, 2)]
+    digest = [d.alias(f"_digest{i}") for i, d in enumerate(digest128(key), 1)]
     least = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
-    first = df.groupBy(*digest).agg(least.alias("_first"))
+    check = _key_check(key)
+    first = df.groupBy(*digest).agg(least.alias("_first"), F.min(check).alias("_low"), F.max(check).alias("_high"))
+    same = F.when(F.col("_low") == F.col("_high"), F.col("_first")).otherwise(F.raise_error(F.lit("different keys with equal digests")).cast(first.schema["_first"].dataType))
+    first = first.select(same.alias("_first"))
     chosen = [F.col("_first")] if len(order) == 1 else [F.col(f"_first.{c}") for c in order]
     first = first.select(*[c.alias(f"_order{i}") for i, c in enumerate(chosen)])
     match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_order{i}")) for i, c in enumerate(order)])
     return df.join(first, match, "left_semi")
 
 
+def _key_check(key):
+    """A hash of another kind than the digest's."""
+    return F.crc32(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key]))
+
+
 def float_columns(df: DataFrame, among=None) -> list[str]:
     """Columns read as floating point: text that is all numbers and not all integers, and doubles.
 

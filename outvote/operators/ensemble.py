@@ -1,7 +1,9 @@
 """Out-of-fold predictions of several diverse regressors, and their fold errors."""
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
@@ -18,6 +20,8 @@ from ..functions.expr import clean_number
 from ..plans.staging import stage
 from .injection import kfold
 
+FITS_AT_ONCE = 4
+
 
 def default_estimators(seed=SEED):
     """Five regressors that err differently. They stand in for five separately built models."""
@@ -33,27 +37,90 @@ def default_estimators(seed=SEED):
 def oof_predict(df: DataFrame, features, label=VALUE, estimators=None, k=5, id_col=ENTRY_ID, seed=SEED, balanced=True) -> DataFrame:
     """One prediction column per model; every row is predicted by models that never saw it.
 
-    Folds are cut once and staged with one folder a fold, so a fit reads only its own. The k * m fits run
-    one after another, each over the cluster.
+    Folds are cut once and staged with one folder a fold, so a fit reads only its own. The k * m fits, each over the cluster,
+    are submitted by ``FITS_AT_ONCE`` threads, so that one fills the cores that another leaves idle.
     """
     estimators = estimators or default_estimators(seed)
     vectors = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
     folded = stage(vectors.transform(kfold(df, k, id_col, seed, balanced)), ["fold"])
+
+    def fit(task):
+        fold, name = task
+        estimator = estimators[name]
+        params = {
+            estimator.getParam("featuresCol"): "_features",
+            estimator.getParam("labelCol"): label,
+            estimator.getParam("predictionCol"): name,
+        }
+        return estimator.fit(folded.filter(F.col("fold") != fold), params)
+
+    tasks = [(fold, name) for fold in range(k) for name in estimators]
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        models = dict(zip(tasks, pool.map(fit, tasks)))
     parts = []
     for fold in range(k):
-        train = folded.filter(F.col("fold") != fold)
         part = folded.filter(F.col("fold") == fold)
-        for name, estimator in estimators.items():
-            params = {
-                estimator.getParam("featuresCol"): "_features",
-                estimator.getParam("labelCol"): label,
-                estimator.getParam("predictionCol"): name,
-            }
-            part = estimator.fit(train, params).transform(part)
+        for name in estimators:
+            part = models[fold, name].transform(part)
         parts.append(part.drop("_features"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def fold_statistics(folded: DataFrame, features, label=VALUE, fold="fold") -> dict:
+    """``(n, means, scatter)`` of each fold: rows, means of features and label, and their products about the means.
+
+    One aggregate: the moments of a fold are combined in tasks before they are shuffled. Rows with a missing feature or label take no part.
+    """
+    names = [*features, label]
+    rows = folded.select(fold, *[clean_number(c).alias(f"_x{i}") for i, c in enumerate(names)]).dropna()
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = rows.groupBy(fold).agg(
+        F.count("*").alias("n"), *[F.avg(f"_x{i}").alias(f"m{i}") for i in range(len(names))],
+        *[F.covar_pop(f"_x{i}", f"_x{j}").alias(f"c{i}_{j}") for i, j in pairs],
+    )
+    out = {}
+    for row in sums.collect():  # one row a fold
+        scatter = np.zeros((len(names), len(names)))
+        for i, j in pairs:
+            scatter[i, j] = scatter[j, i] = row[f"c{i}_{j}"] * row["n"]
+        out[row[fold]] = row["n"], np.array([row[f"m{i}"] for i in range(len(names))]), scatter
+    return out
+
+
+def _merged(parts):
+    """Moments of several folds together."""
+    n = sum(p[0] for p in parts)
+    mean = sum(p[0] * p[1] for p in parts) / n
+    return n, mean, sum(p[2] + p[0] * np.outer(p[1] - mean, p[1] - mean) for p in parts)
+
+
+def oof_linear(
+    df: DataFrame, features, label=VALUE, k=5, id_col=ENTRY_ID, seed=SEED, balanced=True, ridge=0.0, out="linear"
+) -> DataFrame:
+    """Out-of-fold predictions of least squares, with all k fits from one scan.
+
+    A fit without a fold needs only the moments of the other folds, a matrix as wide as the features. ``ridge`` is added to the
+    diagonal of the features' covariance; directions without variance get no weight. Training needs at least one other
+    fold with complete rows; else the prediction is NULL, as it is where a feature is missing.
+    """
+    features = list(features)
+    folded = stage(kfold(df, k, id_col, seed, balanced))
+    moments = fold_statistics(folded, features, label)
+    lines = {}
+    for fold in range(k):
+        others = [moments[f] for f in sorted(moments) if f != fold]
+        if others:
+            n, mean, scatter = _merged(others)
+            own = scatter[:-1, :-1] / n + ridge * np.eye(len(features))
+            weights = np.linalg.pinv(own, hermitian=True) @ (scatter[:-1, -1] / n)
+            lines[fold] = [*weights.tolist(), float(mean[-1] - weights @ mean[:-1])]
+    made = None
+    for fold, (*weights, base) in lines.items():
+        line = reduce(lambda total, part: total + part, [clean_number(c) * F.lit(w) for c, w in zip(features, weights)], F.lit(base))
+        made = F.when(F.col("fold") == fold, line) if made is None else made.when(F.col("fold") == fold, line)
+    return folded.withColumn(out, F.lit(None).cast("double") if made is None else made)
+
+
 def fold_mae(df: DataFrame, models, value=VALUE, fold="fold") -> DataFrame:
     """Mean absolute error of each model in each fold."""
     errors = df.groupBy(fold).agg(*[F.avg(F.abs(clean_number(m) - clean_number(value))).alias(m) for m in models])

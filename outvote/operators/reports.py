@@ -1,5 +1,7 @@
 """The tables behind the diagnostic figures."""
 
+import math
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..defaults import DATA_OFFSET, MODELS, REF_VALUE, THRESHOLD, THRESHOLDS, TOL, VALUE
-from ..functions.expr import between_ranks, check_free, clean_number, ratio, with_row_stats
+from ..functions.expr import between_ranks, check_free, clean_number, ratio, total, with_row_stats
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import lookup, row_bytes, stage
@@ -86,6 +88,53 @@ def slope_statistics(df: DataFrame, x: str, y: str) -> DataFrame:
     return sums.withColumn("stderr", stderr).select("slope", "stderr", (F.col("slope") / F.nullif(F.col("stderr"), F.lit(0.0))).alias("t"), "dof")
 
 
+def _log_gamma(z):
+    """ln Gamma of a positive column: Stirling's series after eight steps up."""
+    up = z + 8
+    series = (up - 0.5) * F.ln(up) - up + 0.5 * math.log(2 * math.pi) + 1 / (12 * up) - 1 / (360 * up * up * up) + 1 / (1260 * up * up * up * up * up)
+    return series - total([F.ln(z + i) for i in range(8)])
+
+
+def _beta_fraction(a, b, x, steps):
+    """The continued fraction of the incomplete beta function, which converges for x below (a + 1) / (a + b + 2)."""
+    sure = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+    first = 1 / sure(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+
+    def step(s, j):
+        m = F.floor(j / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        factor = F.when(j % 2 == 0, even).otherwise(odd)
+        c, d = sure(1 + factor / s["c"]), 1 / sure(1 + factor * s["d"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    return F.aggregate(F.sequence(F.lit(2), F.lit(steps)), start, step)["h"]
+
+
+def incomplete_beta(a, b, x, steps=2000):
+    """Regularised incomplete beta function I_x(a, b) as a column. Some sqrt(max(a, b)) steps make it exact to about nine digits."""
+    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
+    near = x < (a + 1) / (a + b + 2)
+    inside = F.when(near, front * _beta_fraction(a, b, x, steps) / a).otherwise(1 - front * _beta_fraction(b, a, 1 - x, steps) / b)
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(inside)
+
+
+def with_p_value(stats: DataFrame, t="t", dof="dof", out="p") -> DataFrame:
+    """Adds the two-sided p of Student's t with its degrees of freedom; NULL without them, 0 for an infinite t."""
+    check_free(stats, "_dof", "_x")
+    rows = stats.withColumn("_dof", F.when(F.col(dof) > 0, F.col(dof).cast("double")))
+    rows = rows.withColumn("_x", F.col("_dof") / (F.col("_dof") + F.col(t) * F.col(t)))
+    return rows.withColumn(out, incomplete_beta(F.col("_dof") / 2, F.lit(0.5), F.col("_x"))).drop("_dof", "_x")
+
+
+def regression_p_values(df: DataFrame, edges, models=MODELS, value=VALUE) -> DataFrame:
+    """Slope, its statistics and p of the error against the value: over entries, and over inner bin medians."""
+    entries = slope_statistics(basic_stats(df, models, None, value).select(value, "d_median_a"), value, "d_median_a")
+    medians = slope_statistics(inner_bins(df, edges, models, value), "bin_val", "median_error")
+    return with_p_value(entries.withColumn("fit", F.lit("entries")).unionByName(medians.withColumn("fit", F.lit("bin_medians"))))
+
+
 def slope_p_value(df: DataFrame, x: str, y: str) -> float:
     """Two-sided p of a regression slope."""
     points = VectorAssembler(inputCols=[x], outputCol="_x").transform(df.select(x, y).dropna())

@@ -6,6 +6,9 @@ from pyspark.sql import types as T
 
 from ..defaults import DATASET_KEYS, ENTRY_ID, VALUE
 from ..plans.ranks import distributed_rank
+from ..plans.staging import stage
+
+_CORRUPT = "_corrupt_line"
 
 
 def read_table(spark: SparkSession, path: str, schema=None, sep=";", fmt="csv") -> DataFrame:
@@ -16,9 +19,31 @@ def read_table(spark: SparkSession, path: str, schema=None, sep=";", fmt="csv")
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
+def read_with_rejects(spark: SparkSession, path: str, schema, sep=";") -> tuple[DataFrame, DataFrame]:
+    """Delimited text with a header as (good rows, rejects).
+
+    A row with a value that its column's type cannot hold, or with too few or too many fields, is a reject: ``line`` is its
+    text as read. So a value that is missing, NULL in a good row, differs from one that could not be read.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kept = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    reader = spark.read.options(header=True, sep=sep, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT)
+    rows = reader.schema(kept).csv(path)
+    # Parsed once and staged: a reader that is asked for some columns does not look at the values of others.
+    rows = stage(rows)
+    good = rows.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    return good, rows.filter(F.col(_CORRUPT).isNotNull()).select(F.col(_CORRUPT).alias("line"))
+
+
 def write_table(df: DataFrame, path: str, keys=None, fmt="parquet", sep=";") -> None:
-    """Writes a table, with one folder per dataset where it has dataset columns."""
+    """Writes a table, with one folder per dataset where it has dataset columns.
+
+    Rows of a dataset are brought together first, so that a folder has few files: one if the dataset is small; a large one
+    is split by adaptive execution into files of about the session's advisory partition size.
+    """
     keys = [k for k in DATASET_KEYS if k in df.columns] if keys is None else list(keys)
+    if keys:
+        df = df.hint("rebalance", *keys)
     writer = df.write.mode("errorifexists")
     writer = writer.partitionBy(*keys) if keys else writer
     writer.options(header=True, sep=sep).csv(path) if fmt == "csv" else writer.parquet(path)

@@ -1,6 +1,5 @@
 """Known errors, folds and out-of-fold predictions."""
 
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from outvote.defaults import SEED
@@ -74,8 +73,7 @@ def out_of_fold(spark, sf):
 
 def out_of_fold_linear(spark, sf):
     """Plain least squares on one feature, which SQL can do fold by fold."""
-    line = {"linear": LinearRegression(regParam=0.0, solver="normal")}
-    out = E.oof_predict(_training(spark, sf), ("quantity",), estimators=line)
+    out = E.oof_linear(_training(spark, sf), ("quantity",))
     return out.select("entry_id", "fold", clean_round("linear", 4).alias("linear"))
 
 

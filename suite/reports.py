@@ -30,10 +30,7 @@ def error_regression(spark, sf):
 
 def regression_p_value(spark, sf):
     """What the p value of a slope follows from, over all entries and over the inner bin medians."""
-    df = predictions(spark, sf)
-    entries = T.slope_statistics(basic_stats(df).select("values", "d_median_a"), "values", "d_median_a")
-    medians = T.slope_statistics(T.inner_bins(df, BINS), "bin_val", "median_error")
-    out = entries.withColumn("fit", F.lit("entries")).unionByName(medians.withColumn("fit", F.lit("bin_medians")))
+    out = T.regression_p_values(predictions(spark, sf), BINS).drop("p")
     return out.withColumns({c: clean_round(c, 5) for c in ("slope", "stderr", "t")})
 
 
