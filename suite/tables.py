@@ -19,6 +19,19 @@ def csv_round_trip(spark, sf):
     return S.read_table(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE")
 
 
+def delimited_rejects(spark, sf):
+    """Events as text: every 11th value cannot be read, every 7th is missing."""
+    path = new_path(spark)
+    eid = F.col("event_id")
+    text = F.when(eid % 11 == 0, F.lit("n/a?")).when(eid % 7 != 0, F.col("value").cast("string"))
+    S.write_table(table(spark, sf, "events").select("event_id", "event_type", text.alias("value")), path, fmt="csv")
+    written(spark, path)
+    good, bad = S.read_with_rejects(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE")
+    bad = bad.select(F.split("line", ";")[0].cast("bigint").alias("event_id"), F.lit(None).cast("double").alias("value"), F.lit("rejected").alias("state"))
+    state = F.when(F.col("value").isNull(), "missing").otherwise("read")
+    return good.select("event_id", "value", state.alias("state")).unionByName(bad)
+
+
 def parquet_scan(spark, sf):
     rows = S.read_table(spark, f"{sf}/events.parquet", fmt="parquet")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
@@ -76,6 +89,7 @@ def stacked_text_labels(spark, sf):
 
 QUERIES = {
     "csv_round_trip": csv_round_trip,
+    "delimited_rejects": delimited_rejects,
     "parquet_scan": parquet_scan,
     "load_predictions": load_predictions,
     "partitioned_write": partitioned_write,
@@ -86,6 +100,8 @@ QUERIES = {
 }
 SQL = {
     "csv_round_trip": "select event_id, event_type, value from events",
+    "delimited_rejects": "select event_id, case when event_id % 11 <> 0 and event_id % 7 <> 0 then value end as value, "
+    "case when event_id % 11 = 0 then 'rejected' when event_id % 7 = 0 then 'missing' else 'read' end as state from events",
     "parquet_scan": "select event_type, count(*) as n, count(distinct user_id) as users from events group by event_type",
     "load_predictions": """with rows as (select *, event_type || '-' || user_id as smiles from events)
         select row_number() over (order by smiles, event_id) - 1 as entry_id, smiles, value + 1.5::double as "values",
