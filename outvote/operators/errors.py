@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..defaults import DATA_OFFSET, DATASET_KEYS, ENTRY_ID, MODELS, REF_VALUE, TOL, VALUE
 from ..functions.expr import clean_number, ratio, with_row_stats
+from ..plans.staging import stage_bucketed
 
 
 def dataset_keys(df: DataFrame, keys=None) -> list[str]:
@@ -22,12 +23,30 @@ def align_reference(df: DataFrame, ref: DataFrame, value=VALUE, id_col=ENTRY_ID,
     A repeated reference id is an error. The check groups by the join key, so a shuffled
     join reuses its partitioning; a small reference is broadcast by the optimizer.
     """
-    once = ref.groupBy(id_col).agg(
+    return df.join(_once(ref, value, id_col, out), id_col, "left")
+
+
+def _once(ref, value, id_col, out):
+    """Reference value by id, one row each."""
+    return ref.groupBy(id_col).agg(
         F.when(F.count("*") > 1, F.raise_error(F.lit("reference ids must be unique")).cast("double"))
         .otherwise(F.first(clean_number(value)))
         .alias(out)
     )
-    return df.join(once, id_col, "left")
+
+
+def bucket_by_entry(df: DataFrame, buckets: int, id_col=ENTRY_ID) -> DataFrame:
+    """A staged copy in buckets by entry id; prepare entries and reference alike, once, for any number of alignments."""
+    return stage_bucketed(df, id_col, buckets)
+
+
+def align_bucketed(df: DataFrame, ref: DataFrame, value=VALUE, id_col=ENTRY_ID, out=REF_VALUE) -> DataFrame:
+    """``align_reference`` of two frames of ``bucket_by_entry`` with equal numbers of buckets: no row is shuffled.
+
+    Both sides are merged bucket by bucket whatever their size, and ``df`` may be filtered before. The check for repeated
+    reference ids runs inside the buckets too.
+    """
+    return df.join(_once(ref, value, id_col, out).hint("merge"), id_col, "left")
 
 
 def is_modified(value=VALUE, ref=REF_VALUE, tol=TOL) -> Column:

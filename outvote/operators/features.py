@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..defaults import SEED
-from ..functions.expr import total
+from ..functions.expr import digest128, total
 from ..plans.levels import count_passed
 from ..plans.ranks import distributed_rank, draw_key
 from ..plans.staging import lookup, stage
@@ -113,35 +113,79 @@ def node_signatures(nodes: DataFrame, edges: DataFrame, own=("label", "degree",
     Edges count in both directions. Equal neighbour labels are counted before they are
     gathered, so a node holds one item per distinct label however many neighbours it has.
     """
-    label = own[0]
-    ends = edges.select(graph, F.inline(F.array(F.struct(F.col("src").alias(node), F.col("dst").alias("_other")), F.struct(F.col("dst").alias(node), F.col("src").alias("_other")))))
-    others = nodes.select(graph, F.col(node).alias("_other"), F.col(label).alias("_label"))
     around = (
-        ends.join(others, [graph, "_other"])
+        _neighbours(nodes, edges, own[0], graph, node)
         .groupBy(graph, node, "_label")
         .agg(F.count("*").alias("_n"))
         .groupBy(graph, node)
         .agg(F.array_sort(F.collect_list(F.struct("_label", "_n"))).alias("_around"))
     )
     text = F.array_join(F.transform("_around", lambda e: F.repeat(e["_label"], e["_n"].cast("int"))), "")
-    mine = F.concat_ws("-", *[F.col(c).cast("string") for c in own])
     return (
         nodes.join(around, [graph, node], "left")
-        .withColumn("signature", F.concat(mine, F.lit("_"), F.coalesce(text, F.lit(""))))
+        .withColumn("signature", F.concat(_own_labels(own), F.lit("_"), F.coalesce(text, F.lit(""))))
         .drop("_around")
     )
 
 
-def signature_codes(signed: DataFrame, order=("graph_id", "node_id")) -> DataFrame:
+def _neighbours(nodes, edges, label, graph, node):
+    """One row per node and neighbour, with the neighbour's label."""
+    ends = edges.select(graph, F.inline(F.array(F.struct(F.col("src").alias(node), F.col("dst").alias("_other")), F.struct(F.col("dst").alias(node), F.col("src").alias("_other")))))
+    others = nodes.select(graph, F.col(node).alias("_other"), F.col(label).cast("string").alias("_label"))
+    return ends.join(others, [graph, "_other"])
+
+
+def _own_labels(own):
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in own])
+
+
+def signature_keys(nodes: DataFrame, edges: DataFrame, own=("label", "degree", "hydrogens", "charge"), graph="graph_id", node="node_id") -> DataFrame:
+    """Adds ``signature_key``, two numbers that stand for the signature and are as short for a hub as for a leaf.
+
+    The neighbour labels enter as a multiset: each label's hash is cut into four lanes of 32 bits, which are summed over the
+    neighbours, so that no order and no list is needed and sums combine before the shuffle. Own labels, number of
+    neighbours and lanes make 128 bits. Neighbours without a label do not count, as in the text. Keys tell
+    neighbours ``C``, ``O`` from one neighbour ``CO``, whose texts are equal; otherwise equal keys are equal texts.
+    """
+    words = [F.xxhash64(F.lit(i), F.col("_label")) for i in (1, 2)]
+    lanes = [lane for w in words for lane in (w.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(w, 32))]
+    names = [f"_lane{i}" for i in range(len(lanes))]
+    sums = (
+        _neighbours(nodes, edges, own[0], graph, node)
+        .dropna(subset=["_label"])
+        .groupBy(graph, node)
+        .agg(F.count("*").alias("_n"), *[F.sum(lane).alias(n) for lane, n in zip(lanes, names)])
+    )
+    rows = nodes.join(sums, [graph, node], "left").withColumn("_mine", _own_labels(own))
+    high, low = digest128(["_mine", "_n", *names])
+    return rows.withColumn("signature_key", F.struct(high.alias("high"), low.alias("low"))).drop("_mine", "_n", *names)
+
+
+def signature_codes(signed: DataFrame, order=("graph_id", "node_id"), key="signature") -> DataFrame:
     """Adds ``code`` 0, 1, ... of signatures by first appearance, and the dictionary size + 1.
 
-    ``signed`` is read twice, so it is staged first.
+    ``key`` is ``signature`` or, for graphs with hubs, ``signature_key``. ``signed`` is read twice, so it is staged first.
     """
     signed = stage(signed)
-    first = signed.groupBy("signature").agg(F.min(F.struct(*order)).alias("_first"))
-    codes = stage(distributed_rank(first, ["_first"], "_rank").select("signature", (F.col("_rank") - 1).alias("code")))
+    first = signed.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+    codes = stage(distributed_rank(first, ["_first"], "_rank").select(key, (F.col("_rank") - 1).alias("code")))
     size = codes.agg((F.count("*") + 1).alias("n")).scalar()
-    return lookup(signed, codes, ["signature"], "inner").withColumn("n_signatures", size)
+    return lookup(signed, codes, [key], "inner").withColumn("n_signatures", size)
+
+
+def signature_dictionary(coded: DataFrame, nodes: DataFrame, edges: DataFrame, own=("label", "degree", "hydrogens", "charge"), graph="graph_id", node="node_id") -> DataFrame:
+    """``code, signature`` of coded nodes: the text is written for one node of each code only."""
+    first = coded.groupBy("code").agg(F.min(F.struct(graph, node)).alias("_first"))
+    first = stage(first.select("code", F.col("_first")[graph].alias(graph), F.col("_first")[node].alias(node)))
+    ends = F.array(F.struct(F.col("src").alias(node), F.col("dst").alias("_other")), F.struct(F.col("dst").alias(node), F.col("src").alias("_other")))
+    # Edges of those nodes only, turned to start at them; a turned edge must not be turned again.
+    around = edges.select(graph, F.inline(ends)).join(first, [graph, node])
+    labels = nodes.select(graph, F.col(node).alias("_other"), F.col(own[0]).cast("string").alias("_label"))
+    counts = around.join(labels, [graph, "_other"]).groupBy("code", "_label").agg(F.count("*").alias("_n"))
+    runs = counts.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("_label", "_n"))).alias("_around"))
+    text = F.array_join(F.transform("_around", lambda e: F.repeat(e["_label"], e["_n"].cast("int"))), "")
+    mine = nodes.join(first, [graph, node]).select("code", _own_labels(own).alias("_mine"))
+    return mine.join(runs, "code", "left").select("code", F.concat("_mine", F.lit("_"), F.coalesce(text, F.lit(""))).alias("signature"))
 
 
 def symmetrise_edges(edges: DataFrame, graph="graph_id", slot="bond_no") -> DataFrame:

@@ -24,9 +24,12 @@ class Staged:
 
     def __init__(self):
         self.paths: list[str] = []
+        self.names: list[str] = []
 
     def release(self, spark: SparkSession) -> int:
         dropped = 0
+        while self.names:
+            spark.sql(f"drop table if exists {self.names.pop()}")
         while self.paths:
             files, target = _hadoop(spark, self.paths.pop())
             dropped += bool(files.delete(target, True))
@@ -93,6 +96,21 @@ def stage(df: DataFrame, by=()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` once as a table of ``buckets`` buckets by ``key``, one file each, and return a frame over it.
+
+    Tables with equal numbers of buckets join on the key without a shuffle. The table's name lives in the session's catalog; where
+    that outlasts the driver, ``release`` must be called.
+    """
+    spark = df.sparkSession
+    path, name = new_path(spark), f"outvote_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)  # by the hash that buckets use, so each task writes one bucket
+    dealt.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    written(spark, path)
+    (_owners[-1] if _owners else _staged).names.append(name)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables staged outside any ``owned`` block; frames built on them become unreadable."""
     return _staged.release(spark)

@@ -14,11 +14,21 @@ from .sqltext import DS, median_of, r6, with_preds
 KEYS = ["entry_id", "var_add", "modified_pct"]
 
 
-def aligned_reference(spark, sf):
-    ref = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(
+def _fixed_entries(spark, sf):
+    """Values of the fulfilled orders as reference."""
+    return table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(
         F.col("o_orderkey").alias("entry_id"), F.col("o_totalprice").alias("values")
     )
-    return R.align_reference(predictions(spark, sf).drop("ref_values"), ref).select(*KEYS, "ref_values")
+
+
+def aligned_reference(spark, sf):
+    return R.align_reference(predictions(spark, sf).drop("ref_values"), _fixed_entries(spark, sf)).select(*KEYS, "ref_values")
+
+
+def aligned_reference_bucketed(spark, sf):
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, ref = (R.bucket_by_entry(df, buckets) for df in (predictions(spark, sf).drop("ref_values"), _fixed_entries(spark, sf)))
+    return R.align_bucketed(rows, ref).select(*KEYS, "ref_values")
 
 
 def modified_entries(spark, sf):
@@ -55,6 +65,7 @@ def correlation_envelope(spark, sf):
 
 QUERIES = {
     "aligned_reference": aligned_reference,
+    "aligned_reference_bucketed": aligned_reference_bucketed,
     "modified_entries": modified_entries,
     "value_diffs": value_diffs,
     "basic_stats": _basic(None),
@@ -113,3 +124,4 @@ SQL = {
     "correlation_envelope": with_preds(_pairs_cte())
     + "select pair, round_even(min(c), 2) as corr_min, round_even(max(c), 2) as corr_max from rows group by pair",
 }
+SQL["aligned_reference_bucketed"] = SQL["aligned_reference"]

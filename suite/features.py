@@ -53,7 +53,13 @@ def node_signatures(spark, sf):
 
 
 def signature_codes(spark, sf):
-    return X.signature_codes(X.node_signatures(*graph(spark, sf))).select("graph_id", "node_id", "code", "n_signatures")
+    out = X.signature_codes(X.signature_keys(*graph(spark, sf)), key="signature_key")
+    return out.select("graph_id", "node_id", "code", "n_signatures")
+
+
+def signature_dictionary(spark, sf):
+    nodes, edges = graph(spark, sf)
+    return X.signature_dictionary(X.signature_codes(X.signature_keys(nodes, edges), key="signature_key"), nodes, edges)
 
 
 def _bonds(spark, sf):
@@ -92,6 +98,7 @@ QUERIES = {
     "symbol_vocabulary": symbol_vocabulary,
     "node_signatures": node_signatures,
     "signature_codes": signature_codes,
+    "signature_dictionary": signature_dictionary,
     "symmetric_edges": symmetric_edges,
     "assembled": assembled,
     "histogram": _histogram((), True),
@@ -129,6 +136,8 @@ SQL = {
     "signature_codes": _SIGNED
     + """, voc as (select signature, row_number() over (order by min((graph_id, node_id))) - 1 as code from signed group by signature)
         select graph_id, node_id, code, (select count(*) + 1 from voc) as n_signatures from signed join voc using (signature)""",
+    "signature_dictionary": _SIGNED
+    + " select row_number() over (order by min((graph_id, node_id))) - 1 as code, signature from signed group by signature",
     "symmetric_edges": """with bonds as (select l_orderkey as graph_id, l_partkey as src, l_suppkey as dst,
         row_number() over (partition by l_orderkey order by l_partkey, l_suppkey) - 1 as b, count(*) over (partition by l_orderkey) as n
         from (select distinct l_orderkey, l_partkey, l_suppkey from lineitem))

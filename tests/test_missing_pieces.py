@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from outvote.functions.expr import digest128
 from outvote.operators import cleaning as D
 from outvote.operators import ensemble as E
+from outvote.operators import errors as R
+from outvote.operators import features as X
 from outvote.operators import metrics as M
 from outvote.operators import reports as T
 from outvote.plans import quantiles as Q
+from outvote.plans import staging
 from outvote.sources import tables as S
 
 MODELS = ["m0", "m1", "m2"]
@@ -141,3 +144,51 @@ def test_p_value_equals_that_of_spark(spark):
     df = spark.createDataFrame([(float(x), float(0.3 * x + r.normal(0, 4))) for x in range(25)], "x double, y double")
     got = T.with_p_value(T.slope_statistics(df, "x", "y")).first()["p"]
     assert math.isclose(got, T.slope_p_value(df, "x", "y"), rel_tol=1e-8)
+
+
+def test_hubs_have_short_signature_keys(spark):
+    """Three hubs of 300 000 neighbours: equal multisets in another order, and one label that differs."""
+    n = 300_000
+    leaves = spark.range(3 * n).select(
+        F.lit(0).alias("graph_id"), F.col("id").alias("node_id"), F.concat(F.lit("L"), F.col("id") % n % 7).alias("label")
+    ).withColumn("label", F.when(F.col("node_id") == 3 * n - 1, "L9").otherwise(F.col("label")))
+    hubs = spark.range(3 * n, 3 * n + 3).select(F.lit(0).alias("graph_id"), F.col("id").alias("node_id"), F.lit("H").alias("label"))
+    edges = spark.range(3 * n).select(F.lit(0).alias("graph_id"), F.col("id").alias("src"), (F.floor(F.col("id") / n) + 3 * n).alias("dst"))
+    keyed = X.signature_keys(leaves.union(hubs), edges.orderBy(F.rand(3)), own=("label",))
+    keys = {r.node_id - 3 * n: r.signature_key for r in keyed.filter(F.col("node_id") >= 3 * n).collect()}
+    assert keys[0] == keys[1] != keys[2]
+    assert keyed.select("signature_key").distinct().count() == 8 + 2
+
+
+def test_signature_keys_part_what_texts_part(spark):
+    r = np.random.default_rng(4)
+    nodes = [(int(i % 5), int(i), str(r.choice(["C", "N", "O"])), int(r.integers(2))) for i in range(150)] + [(0, 500, None, 1), (1, 501, "C", None)]
+    edges = [(int(g), int(a) * 5 + int(g), int(b) * 5 + int(g)) for g, a, b in zip(r.integers(0, 5, 200), r.integers(0, 30, 200), r.integers(0, 30, 200))] + [(0, 500, 5), (1, 501, 1), (2, 2, 2)]
+    nodes = spark.createDataFrame(nodes, "graph_id int, node_id int, label string, degree int")
+    edges = spark.createDataFrame(edges, "graph_id int, src int, dst int")
+    own = ("label", "degree")
+    by_text = X.signature_codes(X.node_signatures(nodes, edges, own))
+    by_key = X.signature_codes(X.signature_keys(nodes, edges, own), key="signature_key")
+    codes = lambda df: {(r.graph_id, r.node_id): (r.code, r.n_signatures) for r in df.collect()}
+    assert codes(by_text) == codes(by_key)
+    texts = {r.code: r.signature for r in by_text.collect()}
+    assert {r.code: r.signature for r in X.signature_dictionary(by_key, nodes, edges, own).collect()} == texts
+
+
+def test_bucketed_reference_is_joined_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(i % 40, float(i % 3), float(i)) for i in range(200)] + [(None, 1.0, 5.0), (77, 1.0, float("nan"))], "entry_id long, var_add double, values double")
+    ref = spark.createDataFrame([(i, float(i) / 2) for i in range(35)] + [(90, None)], "entry_id long, values double")
+    with staging.owned() as tables:
+        near, far = R.bucket_by_entry(rows, 6), R.bucket_by_entry(ref, 6)
+        out = R.align_bucketed(near, far)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        same = lambda df: sorted(map(repr, df.select("entry_id", "var_add", "values", "ref_values").collect()))
+        assert same(out) == same(R.align_reference(rows, ref))
+        assert same(R.align_bucketed(near.filter("var_add = 1"), far)) == same(R.align_reference(rows.filter("var_add = 1"), ref))
+        names = list(tables.names)
+        twice = R.bucket_by_entry(ref.union(ref), 6)
+        with pytest.raises(Exception, match="unique"):
+            R.align_bucketed(near, twice).collect()
+    tables.release(spark)
+    assert names and not any(spark.catalog.tableExists(n) for n in names)
