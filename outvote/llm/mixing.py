@@ -2,9 +2,10 @@
 
 Native: DataFrame functions only. Each source is cut into shards of about ``SHARD_DOCS`` documents by
 a hash, so a hot source is many cells of bounded size. A shard's documents, in seeded order, are
-one stream of words, cut into blocks of equal length. All shards compete for the blocks of the mix:
+one stream of words, cut into blocks of equal length: BLOCK_WORDS words, less in shards of under
+``LEAST_BLOCKS * BLOCK_WORDS`` words. All shards compete for the blocks of the mix:
 the next block always goes to the shard with the highest quotient ``votes / (2 k + 1)``, k being the blocks
-it has. Only the blocks near the last quotient are ranked; how many are certain follows
+it has and votes its target in blocks of its own. Only the blocks near the last quotient are ranked; how many are certain follows
 from a bound. A shard's quota is then dealt as whole passes plus a seeded choice of blocks.
 """
 
@@ -18,6 +19,7 @@ from ..plans.staging import stage
 from .common import fresh, without, word_count
 
 BLOCK_WORDS = 100
+LEAST_BLOCKS = 64  # a shard has so many blocks, or one a word if it has fewer words
 SHARD_DOCS = 10_000
 SEED = 7
 _PRIME = 2_147_483_647  # spreads the chosen blocks; no multiple of it is a number of blocks
@@ -115,17 +117,19 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), keep: bool = False) ->
     cells = placed.groupBy("source", "shard").agg(
         F.sum("size").alias("cell_size"), F.any_value("target").alias("target"), F.any_value("source_size").alias("source_size")
     )
-    votes = F.when(F.col("source_size") > 0, F.col("target") * F.col("cell_size") / F.col("source_size")).otherwise(0.0)
-    cells = stage(cells.select("source", "shard", "cell_size", votes.alias("votes")))
-    up, down = share
-    total = int(wanted.agg(F.sum(F.col("source_size").cast("decimal(38,0)"))).first()[0] or 0)
-    n_blocks = (2 * up * total + down * BLOCK_WORDS) // (2 * down * BLOCK_WORDS)
+    length = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.ceil(F.col("cell_size") / LEAST_BLOCKS))).cast("long")
+    cells = cells.withColumn("block", length).withColumn("blocks", F.ceil(F.col("cell_size") / F.col("block")).cast("long"))
+    # the last block of a shard is shorter, so votes are shares of its blocks, not words by the length of a block
+    votes = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+    cells = stage(cells.select("source", "shard", "block", "blocks", votes.alias("votes")))
+    # thousandths, as whole numbers have the same sum in any order
+    thousandths = cells.agg(F.sum(F.floor(F.col("votes") * 1000).cast("decimal(38,0)"))).first()[0]
+    n_blocks = (int(thousandths or 0) + 500) // 1000
     won = quotas(cells.select("source", "shard", "votes"), n_blocks).withColumnsRenamed({"source": "s", "shard": "p"})
     cells = cells.join(won, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("p"))).drop("s", "p", "votes")
-    blocks = F.ceil(F.col("cell_size") / BLOCK_WORDS).cast("long")
     cells = cells.select(
-        F.col("source").alias("s"), F.col("shard").alias("p"), blocks.alias("blocks"),
-        F.least("quota", 2 * blocks).alias("quota"),
+        F.col("source").alias("s"), F.col("shard").alias("p"), "block", "blocks",
+        F.least("quota", 2 * F.col("blocks")).alias("quota"),
         _number(F.concat_ws("|", F.coalesce("source", F.lit("")), F.col("shard").cast("string"), F.lit(str(SEED)))).alias("turn"),
     )
 
@@ -133,9 +137,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), keep: bool = False) ->
     placed = placed.withColumn("end", F.sum("size").over(over))
     placed = placed.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("p"))).drop("s", "p")
     taken = F.expr(f"""case when size = 0 then 0L else quota div blocks * size + aggregate(
-        sequence((end - size) div {BLOCK_WORDS}, (end - 1) div {BLOCK_WORDS}), 0L,
+        sequence((end - size) div block, (end - 1) div block), 0L,
         (sum, i) -> sum + case when (i * {_PRIME} + turn % blocks) % blocks < quota % blocks
-            then least((i + 1) * {BLOCK_WORDS}, end) - greatest(i * {BLOCK_WORDS}, end - size) else 0L end) end""")
+            then least((i + 1) * block, end) - greatest(i * block, end - size) else 0L end) end""")
     placed = placed.withColumn("taken", taken)
     names = ["size", "source_size", "target", "taken"]
     if not keep:

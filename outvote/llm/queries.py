@@ -88,19 +88,22 @@ level as (
 last as (select * from level where below > 0 order by step desc limit 1),
 wanted as (select source, source_size, docs, least(cast(weight * above as double) / cast(below as double), cast(2 * source_size as double)) target from sources, last),
 placed as (select r.*, w.source_size, w.target, r.draw % cast(ceil(w.docs / 10000) as bigint) shard from rows r join wanted w on r.source is not distinct from w.source),
-cells as (select source, shard, cast(sum(size) as bigint) cell_size, case when any_value(source_size) > 0 then any_value(target) * cast(sum(size) as bigint) / any_value(source_size) else 0.0 end votes from placed group by source, shard),
-n as (select (3 * total + 100) // 200 blocks from whole),
-races as (select source, shard, cell_size, k, votes / (2 * k + 1) quotient from (select *, unnest(range(0, cast(2 * ceil(cell_size / 100) + 5 as bigint))) k from cells)),
+sized as (select source, shard, any_value(source_size) source_size, any_value(target) target, cast(sum(size) as bigint) cell_size,
+    greatest(1, least(100, cast(ceil(cast(sum(size) as bigint) / 64) as bigint))) block from placed group by source, shard),
+cells as (select source, shard, block, cast(ceil(cell_size / block) as bigint) blocks,
+    case when source_size > 0 then target * cast(ceil(cell_size / block) as bigint) / source_size else 0.0 end votes from sized),
+n as (select (cast(sum(cast(floor(votes * 1000) as bigint)) as bigint) + 500) // 1000 blocks from cells),
+races as (select source, shard, k, votes / (2 * k + 1) quotient from (select *, unnest(range(0, 2 * blocks + 5)) k from cells)),
 won as (select source, shard, count(*) quota from (select * from races qualify row_number() over (order by quotient desc, source nulls last, shard, k) <= (select blocks from n)) group by source, shard),
-quota as (select c.source, c.shard, cast(ceil(c.cell_size / 100) as bigint) blocks, least(coalesce(w.quota, 0), 2 * cast(ceil(c.cell_size / 100) as bigint)) quota,
+quota as (select c.source, c.shard, c.block, c.blocks, least(coalesce(w.quota, 0), 2 * c.blocks) quota,
     cast('0x' || substr(md5(coalesce(c.source, '') || '|' || c.shard || '|7'), 1, 15) as bigint) turn
   from cells c left join won w on c.source is not distinct from w.source and c.shard = w.shard),
 ends as (select *, cast(sum(size) over (partition by source, shard order by draw, doc_id nulls first, size rows unbounded preceding) as bigint) word_end from placed),
-parts as (select e.doc_id, e.draw, e.size, e.source_size, e.target, e.word_end, q.blocks, q.quota, q.turn,
-    unnest(range((e.word_end - e.size) // 100, (e.word_end - 1) // 100 + 1)) i
+parts as (select e.doc_id, e.draw, e.size, e.source_size, e.target, e.word_end, q.block, q.blocks, q.quota, q.turn,
+    unnest(range((e.word_end - e.size) // q.block, (e.word_end - 1) // q.block + 1)) i
   from ends e join quota q on e.source is not distinct from q.source and e.shard = q.shard where e.size > 0),
 taken as (select doc_id, size, source_size, target, word_end, any_value(quota // blocks * size)
-    + sum(case when (i * 2147483647 + turn % blocks) % blocks < quota % blocks then least((i + 1) * 100, word_end) - greatest(i * 100, word_end - size) else 0 end) taken
+    + sum(case when (i * 2147483647 + turn % blocks) % blocks < quota % blocks then least((i + 1) * block, word_end) - greatest(i * block, word_end - size) else 0 end) taken
   from parts group by doc_id, size, source_size, target, word_end)
 select doc_id, cast(size as bigint) size, cast(source_size as bigint) source_size, target, cast(taken as bigint) taken from taken
 union all select doc_id, 0, cast(source_size as bigint), target, 0 from placed where size = 0

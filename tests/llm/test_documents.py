@@ -438,6 +438,19 @@ def test_mix_comes_near_its_targets_with_many_shards(spark, monkeypatch):
         assert abs(part["taken"].sum() - part["target"].iloc[0]) < 0.05 * part["target"].iloc[0]
 
 
+def test_small_sources_come_near_their_targets_too(spark):
+    sizes = [5, 10, 20, 25, 26, 40, 60, 75, 99, 100, 101, 120, 149, 150]
+    rows = [(1000 * i + k, "w " * (n - n // 2 if k else n // 2), f"s{i:02}") for i, n in enumerate(sizes) for k in (0, 1)]
+    rows += [(100_000 + i, "w " * 90, "zz") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs)
+    same_rows(got, by_sql(queries.OP9_SQL, documents=(rows, DUCK)))
+    mixed = got.join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    for source, part in mixed.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= (5 if source < "z" else 100), source
+    assert (mixed["taken"] <= 2 * mixed["size"]).all()
+
+
 # decontamination
 
 
