@@ -99,7 +99,8 @@ def is_listed(levels: list[Bloom], h1, h2) -> np.ndarray:
 
 
 def _hashes(key: Column):
-    return F.xxhash64(key, F.lit(1)), F.xxhash64(key, F.lit(2))
+    """Two 64-bit hashes; the number comes first, as a hash of several columns goes on from that of those before."""
+    return F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)
 
 
 class Cascade:
