@@ -32,6 +32,7 @@ from .url_cascade import host_and_path
 BLOCK = 1000  # captures a block of an index file
 INDEX_ROWS = 1_000_000  # captures an index file, about
 ROLL_BYTES = 1 << 30  # a task begins a new WARC file beyond
+READ_BYTES = 128 << 20  # of archives a reading task, about
 _JOINED = 4 << 20  # neighbouring records are read together up to this size
 _CRLF = b"\r\n"
 
@@ -272,7 +273,8 @@ def write_archive(pages: DataFrame, least_bytes: int = 0) -> Archive:
 def read_records(spark: SparkSession, captures: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each capture, read from its WARC file.
 
-    Responses are hashed anew; a digest or size that differs from the header is an error.
+    Responses are hashed anew; a digest or size that differs from the header is an error. ``captures`` is staged first, and read
+    in ranges of files and offsets by one task for each READ_BYTES of records.
     """
 
     def run(batches):
@@ -301,7 +303,11 @@ def read_records(spark: SparkSession, captures: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    dealt = captures.repartitionByRange("warc", "offset").sortWithinPartitions("warc", "offset")
+    captures = stage(captures.select("base", "warc", "offset", "length"))
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    # a number of its own, as rows of some bytes stand for whole records and would be joined into few partitions
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+    dealt = captures.repartitionByRange(parts, "warc", "offset").sortWithinPartitions("warc", "offset")
     return dealt.select("base", "warc", "offset", "length").mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )

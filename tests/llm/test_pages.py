@@ -132,6 +132,12 @@ def test_cascade_in_shards_and_blocks(spark, monkeypatch):
     assert out.filter("(verdict = 'block') <> (id % 7 = 0)").count() == 0
 
 
+def test_cascade_hashes_are_not_functions_of_one_hash(spark):
+    """What is hashed first parts the two; a number at the end would go on from one 64-bit hash of the key."""
+    first, second = (str(h) for h in url_cascade._hashes(F.col("key")))
+    assert first.index("1") < first.index("key") and second.index("2") < second.index("key")
+
+
 # archives
 
 
@@ -186,6 +192,19 @@ def test_lookup_finds_all_captures_of_a_key_and_reads_few_blocks(spark, captures
     assert 0 < len(set(reads)) <= 2 + sum(f == index.firsts[-1] for f in index.firsts) < len(index.firsts)
 
 
+def test_records_are_read_by_many_tasks(spark, captures, monkeypatch):
+    """Also with adaptive execution, which joins partitions of few bytes unless their number is asked for."""
+    df = spark.createDataFrame(captures, PAGES).repartition(4)
+    archive = warc.write_archive(df)
+    found = archive.lookup(df.select("url"))
+    size = found.agg(F.sum("length")).first()[0]
+    monkeypatch.setattr(warc, "READ_BYTES", size // 30)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    got = warc.read_records(spark, found)
+    assert got.withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 20
+    same_rows(got, _records(captures))
+
+
 def test_empty_archive(spark):
     empty = spark.createDataFrame([], PAGES)
     archive = warc.write_archive(empty)
