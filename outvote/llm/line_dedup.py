@@ -1,14 +1,16 @@
 """Reversible removal of repeated lines: exact reference counts behind sharded cuckoo filters.
 
 The exact state is a table of references ``h1, h2, doc_id, n_lines``: how often a document holds a
-line key (128-bit digest). Inserting or deleting documents adds or subtracts rows of it, so any
-history of insertions and deletions ends in the state of the documents that are left. Keys held by
+line key (128-bit digest). Inserting or deleting documents adds a layer of references, negative ones for deletions, so any
+history of insertions and deletions ends in the state of the documents that are left. A change looks up its own keys
+in the layers and counts only these anew; layers are summed into one when there are many. Keys held by
 enough documents are *repeated*; they are also kept in cuckoo filters, one a shard, that support
 deletion. A decision first asks the filters, which drops nearly all references before anything is
 shuffled, and then the exact table, so a filter's false positives change nothing.
 """
 
 from array import array
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,9 @@ from .kernels import draw, slices
 
 _WHITE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 16  # keys a shard, about
+MOST_LAYERS = 8  # of references, before they are summed into one
 _SLOTS, _KICKS = 4, 500
+_KEY = ["h1", "h2"]
 
 
 def line_key(line: bytes, least: int) -> bytes | None:
@@ -128,16 +132,15 @@ def references(docs: DataFrame, least_chars: int) -> DataFrame:
 class LineIndex:
     """State over all documents inserted and not deleted; every method returns a new index."""
 
-    def __init__(self, refs: DataFrame, least_chars=20, least_docs=3, filters: DataFrame | None = None, n_shards=0):
-        self.refs, self.least_chars, self.least_docs = refs, least_chars, least_docs
-        counts = refs.groupBy("h1", "h2").agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("last"))
-        self.repeated = stage(counts.filter(F.col("docs") >= least_docs).select("h1", "h2", "last"))
-        self.n_shards = n_shards or max(1, -(-self.repeated.count() // SHARD_KEYS))
+    def __init__(self, layers: list[DataFrame], repeated: DataFrame, filters: DataFrame | None, n_shards: int, least_chars: int, least_docs: int):
+        self.layers, self.repeated, self.least_chars, self.least_docs = layers, repeated, least_chars, least_docs
+        self.n_shards = n_shards or max(1, -(-repeated.count() // SHARD_KEYS))
         self.filters = filters if filters is not None else self._built()
 
     @classmethod
     def of(cls, docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> "LineIndex":
-        return cls(stage(_summed(references(docs, least_chars))), least_chars, least_docs)
+        refs = stage(_summed(references(docs, least_chars)))
+        return cls([refs], stage(_repeated(refs, least_docs)), None, 0, least_chars, least_docs)
 
     def _sharded(self, keys):
         return keys.withColumn("shard", F.pmod("h1", F.lit(self.n_shards)).cast("int"))
@@ -151,11 +154,20 @@ class LineIndex:
 
         return stage(self._sharded(self.repeated.select("h1", "h2")).groupBy("shard").applyInPandas(build, "shard int, slots binary"))
 
-    def _changed(self, refs: DataFrame) -> "LineIndex":
-        new = LineIndex(stage(refs), self.least_chars, self.least_docs, self.filters, self.n_shards)
-        old, now = self.repeated.select("h1", "h2"), new.repeated.select("h1", "h2")
-        keys = ["h1", "h2"]
-        moves = now.join(old, keys, "left_anti").withColumn("up", F.lit(1)).union(old.join(now, keys, "left_anti").withColumn("up", F.lit(0)))
+    def _changed(self, change: DataFrame) -> "LineIndex":
+        """The index with a layer of references more; only their keys are counted anew."""
+        change = stage(_summed(change))
+        keys = stage(change.select(*_KEY).distinct())
+        held = [layer.join(keys, _KEY, "left_semi") for layer in self.layers]
+        both = stage(_summed(reduce(DataFrame.unionByName, [*held, change])))
+        now = stage(_repeated(both.filter("n_lines > 0"), self.least_docs))
+        # what was deleted but never inserted is taken back out of the layer
+        absent = both.filter("n_lines < 0").withColumn("n_lines", -F.col("n_lines"))
+        layers = [*self.layers, stage(_summed(change.unionByName(absent)).filter("n_lines <> 0"))]
+        before = self.repeated.join(keys, _KEY, "left_semi")
+        moves = now.join(before, _KEY, "left_anti").select(*_KEY, F.lit(1).alias("up"))
+        moves = stage(self._sharded(moves.union(before.join(now, _KEY, "left_anti").select(*_KEY, F.lit(0)))))
+        repeated = stage(self.repeated.join(keys, _KEY, "left_anti").unionByName(now))
 
         def update(before, moved):
             shard = (before if len(before) else moved)["shard"].iloc[0]
@@ -165,24 +177,26 @@ class LineIndex:
             good = made.add(moved["h1"].to_numpy()[up], moved["h2"].to_numpy()[up])
             return pd.DataFrame({"shard": [shard], "slots": [made.slots.tobytes() if good else b""]})
 
-        both = self.filters.groupBy("shard").cogroup(self._sharded(moves).groupBy("shard"))
-        filters = stage(both.applyInPandas(update, "shard int, slots binary"))
-        if filters.filter(F.length("slots") == 0).count():  # a shard is full: build all anew, larger
-            return LineIndex(new.refs, self.least_chars, self.least_docs)
-        new.filters = filters
-        return new
+        touched = moves.select("shard").distinct()
+        both = self.filters.join(touched, "shard", "left_semi").groupBy("shard").cogroup(moves.groupBy("shard"))
+        updated = both.applyInPandas(update, "shard int, slots binary")
+        filters = stage(self.filters.join(touched, "shard", "left_anti").unionByName(updated))
+        full = filters.filter(F.length("slots") == 0).count()  # then all are built anew, larger
+        if len(layers) > MOST_LAYERS:
+            layers = [stage(_live(layers))]
+        return LineIndex(layers, repeated, None if full else filters, 0 if full else self.n_shards, self.least_chars, self.least_docs)
 
     def insert(self, docs: DataFrame) -> "LineIndex":
-        return self._changed(_summed(self.refs.unionByName(references(docs, self.least_chars))))
+        return self._changed(references(docs, self.least_chars))
 
     def delete(self, docs: DataFrame) -> "LineIndex":
         """``docs`` are rows as they were inserted."""
-        gone = references(docs, self.least_chars).withColumn("n_lines", -F.col("n_lines"))
-        return self._changed(_summed(self.refs.unionByName(gone)).filter("n_lines > 0"))
+        return self._changed(references(docs, self.least_chars).withColumn("n_lines", -F.col("n_lines")))
 
     def maybe_repeated(self) -> DataFrame:
         """The references whose key passes its shard's filter; filters go out in blocks of bounded size."""
-        refs, n_shards = self.refs.select("h1", "h2", "doc_id"), self.n_shards
+        refs, n_shards = reduce(DataFrame.unionByName, self.layers), self.n_shards
+        refs = refs.select("h1", "h2", "doc_id") if len(self.layers) == 1 else refs
         sizes = self.filters.agg(F.max(F.length("slots")).alias("most")).first()["most"] or 1
         step = max(1, BROADCAST_BYTES // sizes)
         out = None
@@ -191,7 +205,7 @@ class LineIndex:
             held = {r["shard"]: bytes(r["slots"]) for r in rows}
             part = refs.mapInArrow(_passing(held, low, min(step, n_shards - low), n_shards), refs.schema)
             out = part if out is None else out.union(part)
-        return out
+        return out if len(self.layers) == 1 else _live([out]).select("h1", "h2", "doc_id")
 
     def drops(self) -> DataFrame:
         """``h1, h2, doc_id``: keys that a document loses, which is all its repeated ones but where it is the last holder."""
@@ -203,6 +217,16 @@ def _summed(refs):
     return refs.groupBy("h1", "h2", "doc_id").agg(F.sum("n_lines").alias("n_lines"))
 
 
+def _live(layers):
+    """The references that insertions and deletions leave."""
+    return _summed(reduce(DataFrame.unionByName, layers)).filter("n_lines > 0")
+
+
+def _repeated(refs, least_docs):
+    counts = refs.groupBy("h1", "h2").agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("last"))
+    return counts.filter(F.col("docs") >= least_docs).select("h1", "h2", "last")
+
+
 def _passing(held: dict[int, bytes], low: int, width: int, n_shards: int):
     def run(batches):
         filters = {k: CuckooFilter(1, v) for k, v in held.items()}

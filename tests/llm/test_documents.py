@@ -192,6 +192,21 @@ def test_line_index_takes_back_what_was_inserted(spark, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_index_keeps_its_layers_and_counts_touched_keys_anew(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i if i % 9 else None, "\n".join(f"this is line number {r.randrange(30)} of some documents" for _ in range(4)), None, None, None) for i in range(60)]
+    df = lambda part: spark.createDataFrame(part, SCHEMA)
+    state = lambda index: (sorted(map(str, index.drops().collect())), sorted(map(tuple, index.repeated.collect())))
+    index = line_dedup.LineIndex.of(df(rows[:30]))
+    absent = index.delete(df(rows[30:36]))  # never inserted, and none without an id
+    assert state(absent) == state(index) and absent.layers[0] is index.layers[0]
+    for step in (2, 8):
+        monkeypatch.setattr(line_dedup, "MOST_LAYERS", step)
+        grown = absent.insert(df(rows[30:])).delete(df(rows[:10]))
+        assert state(grown) == state(line_dedup.LineIndex.of(df(rows[10:])))
+        assert len(grown.layers) <= step
+
+
 def test_cuckoo_filter_has_no_false_negatives_and_deletes():
     r = np.random.default_rng(2)
     h = r.integers(-(2**63), 2**63 - 1, (2, 5000), np.int64)
