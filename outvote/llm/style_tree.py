@@ -9,7 +9,12 @@ and the like hold a node's importance at zero, but a name that only has such a w
 and elements that hold most of a page's text have no such labels; plain blocks of an article are raised, the less
 the more pages show them. Branches below the threshold are taken out of every page of the host.
 
-Counting needs one row for each host, node and different text, combined before the shuffle; pages are not
+Nodes on fewer than ``RARE`` pages of all, such as those under generated ids and classes, are no template: they
+count as importance 1 in their parent and each page decides by itself about its own, by their labels. Their texts are
+counted over the whole host, whatever their path, and those that most of its pages show go.
+
+Counting needs one row for each host, node and different text, combined before the shuffle. A host's nodes meet in one
+task, which is bounded by the templates since rare nodes come as one sum a parent; pages are not
 shuffled unless the table of removed paths, one row a host, is too large for Spark to broadcast.
 """
 
@@ -20,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +37,8 @@ from .url_cascade import host_and_path
 THRESHOLD = 0.4
 #: Weight of the tree of all hosts, in pages.
 BACK_OFF = 20
+#: Nodes on fewer pages of the whole table than this are no part of a template.
+RARE = 5
 #: Base of the weight between a node's own presentation and its children.
 GAMMA = 0.9
 
@@ -226,7 +233,7 @@ def _shares(blocks: list[tuple[str, str]], paths) -> dict[str, float]:
 
 
 def _counts(pages: DataFrame, host: str) -> DataFrame:
-    """``host, path, kind, feature, f, f_log``: texts (t), child sequences (s) and page counts (p, with the text's shares as ``f_log``) of the nodes."""
+    """``host, path, kind, feature, f, f_log``: texts (t), child sequences (s) and page counts (p, with the text's shares as ``f_log``) of the nodes, and the host's pages (n)."""
 
     def run(batches):
         for batch in batches:
@@ -245,6 +252,7 @@ def _counts(pages: DataFrame, host: str) -> DataFrame:
                     shares = _shares(blocks, paths)
                     rows += [(name, *k, f, 0.0) for k, f in own.items()]
                     rows += [(name, path, "p", 0, 1, shares[path]) for path in paths]
+                    rows.append((name, "", "n", 0, 1, 0.0))
                 columns = list(zip(*rows)) if rows else [()] * 6
                 f = np.array(columns[4], np.float64)
                 yield pa.RecordBatch.from_arrays(
@@ -261,10 +269,15 @@ def _counts(pages: DataFrame, host: str) -> DataFrame:
     return made.groupBy("host", "path", "kind", "feature").agg(F.sum("f").alias("f"), F.sum("f_log").alias("f_log"))
 
 
+def _entropy() -> Column:
+    """Of a feature over the pages, in nats."""
+    return F.log("f") - F.col("f_log") / F.col("f")
+
+
 def _importance(counts: DataFrame, by) -> DataFrame:
     """Per node: pages ``m``, content importance ``content`` (null without text), presentation ``style``, number of styles ``styles``, mean ``held`` of the shares of the pages' text."""
     counts = counts.groupBy(*by, "kind", "feature").agg(F.sum("f").alias("f"), F.sum("f_log").alias("f_log"))
-    entropy = F.log("f") - F.col("f_log") / F.col("f")  # of a feature over the pages, in nats
+    entropy = _entropy()
     node = counts.groupBy(*by).agg(
         F.sum(F.when(F.col("kind") == "p", F.col("f"))).alias("m"),
         F.sum(F.when(F.col("kind") == "p", F.col("f_log"))).alias("held"),
@@ -276,11 +289,14 @@ def _importance(counts: DataFrame, by) -> DataFrame:
     log_m = F.log("m")
     content = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("text_entropy") / log_m)).otherwise(1.0)
     style = F.when(F.col("m") > 1, F.least(F.lit(1.0), (F.log("shown") - F.col("shown_log") / F.col("shown")) / log_m)).otherwise(1.0)
-    return node.select(*by, "m", F.when(F.col("text_entropy").isNotNull(), content).alias("content"), F.coalesce(style, F.lit(0.0)).alias("style"), "styles", (F.col("held") / F.col("m")).alias("held"))
+    return node.filter("m > 0").select(*by, "m", F.when(F.col("text_entropy").isNotNull(), content).alias("content"), F.coalesce(style, F.lit(0.0)).alias("style"), "styles", (F.col("held") / F.col("m")).alias("held"))
 
 
-def _low_paths(nodes: pd.DataFrame) -> list[str]:
-    """Paths with text below the threshold, from one host's nodes (bounded by its templates, not by its pages)."""
+def _low_paths(nodes: pd.DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """From one host's nodes the paths with text below the threshold, and those of noisy labels that hold most of the text and that don't.
+
+    ``rare`` counts the pages of a node's rare children.
+    """
     nodes = nodes.sort_values("path", ascending=False, key=lambda p: p.str.count("/"), kind="stable")
     below: dict[str, list] = {}
     found, wide = {}, set()
@@ -288,7 +304,7 @@ def _low_paths(nodes: pd.DataFrame) -> list[str]:
         share = r.m / (r.m + BACK_OFF)
         own = share * r.content + (1 - share) * r.all_content if r.content == r.content else None
         style = share * r.style + (1 - share) * r.all_style
-        parts = below.pop(r.path, [])
+        parts = below.pop(r.path, []) + ([(1.0, r.rare)] if r.rare else [])
         inner = parts + ([(own, r.m)] if own is not None else [])
         mean = sum(v * w for v, w in inner) / sum(w for _, w in inner) if inner else 0.0
         keep = GAMMA ** max(1, r.styles)
@@ -306,19 +322,51 @@ def _low_paths(nodes: pd.DataFrame) -> list[str]:
         weight = main * max(MAIN_LEAST, MAIN_PAGES / (pages + MAIN_PAGES))
         if factor * (weight + (1 - weight) * (0.75 * own + 0.25 * parent)) < THRESHOLD:
             low.append(path)
-    return sorted(low)
+    noisy = {path for path in found if _bounds(path)[1] < 1}
+    return sorted(low), sorted(wide & noisy), sorted(noisy - wide)
 
 
 def low_branches(pages: DataFrame, host: str) -> DataFrame:
-    """``host, paths``: what to take out of each host's pages."""
+    """``host, paths, wide, tight, texts``: what to take out of each host's pages, and what these need to decide about rare nodes.
+
+    ``paths`` are the templates' low nodes; ``wide`` and ``tight`` those with noise in their labels that hold most of the text and that
+    don't; ``texts`` the hashes of texts that most pages show under rare paths.
+    """
     counts = stage(_counts(pages, host))
-    everywhere = _importance(counts, ["path"]).select("path", F.col("content").alias("all_content"), F.col("style").alias("all_style"), F.col("m").alias("all_m"), F.col("held").alias("all_held"))
-    nodes = _importance(counts, ["host", "path"]).join(everywhere, "path")
+    everywhere = _importance(counts, ["path"]).filter(F.col("m") >= RARE)
+    everywhere = stage(everywhere.select("path", F.col("content").alias("all_content"), F.col("style").alias("all_style"), F.col("m").alias("all_m"), F.col("held").alias("all_held")))
+    rare = counts.join(everywhere.select("path"), "path", "left_anti")
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    children = rare.filter("kind = 'p' and path <> ''").groupBy("host", parent.alias("path")).agg(F.sum("f").alias("rare"))
+    nodes = _importance(counts, ["host", "path"]).join(everywhere, "path").join(children, ["host", "path"], "left").fillna(0.0, ["rare"])
 
     def decide(pdf):
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "paths": [_low_paths(pdf)]})
-
-    return nodes.groupBy("host").applyInPandas(decide, "host string, paths array<string>")
+        paths, wide, tight = _low_paths(pdf)
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "paths": [paths], "wide": [wide], "tight": [tight]})
+
+    lists = nodes.groupBy("host").applyInPandas(decide, "host string, paths array<string>, wide array<string>, tight array<string>")
+    n = counts.filter("kind = 'n'").select(F.col("host").alias("of"), F.col("f").alias("n"))
+    texts = rare.filter("kind = 't'").groupBy("host", "feature").agg(F.sum("f").alias("f"), F.sum("f_log").alias("f_log")).filter("f > 1")
+    texts = texts.join(n, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n") > 1)
+    shown = F.col("n") / (F.col("n") + BACK_OFF) * _entropy() / F.log("n")
+    texts = texts.filter(1 - shown < THRESHOLD).groupBy("host").agg(F.collect_list("feature").alias("texts"))
+    return lists.join(texts, "host", "full_outer")
+
+
+def _main_blocks(html: str, paths, wide, tight, texts) -> list[str]:
+    """A page's texts but for those of its host's low nodes; about rare nodes their labels and the host's repeated texts decide."""
+    blocks = blocks_of(html)[0]
+    low, shared = set(paths or ()), set(texts or ())
+    seen = {path for path, _ in blocks} - low
+    wide = {*(wide or ()), *(path for path, share in _shares(blocks, {path for path, _ in blocks}).items() if share > MOST)}
+    wide.difference_update(tight or ())
+    bounds = {path: _bounds(path, wide) for path in seen}
+    out = []
+    for path, text in blocks:
+        main, factor = bounds.get(path, (0.0, 0.0))
+        if factor >= THRESHOLD and (main or not shared or xxhash.xxh3_64_intdigest(text) not in shared):
+            out.append(text)
+    return out
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -329,9 +377,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     their own; other columns stay, ``text`` and ``n_chars`` are replaced.
     """
     pages = without(pages, "text", "n_chars")
-    host, low, other = fresh(pages, "tree_host", "tree_low", "tree_other")
+    host, other, *lists = fresh(pages, "tree_host", "tree_other", "tree_low", "tree_wide", "tree_tight", "tree_texts")
     rows = pages.withColumn(host, host_and_path(F.col("url").cast("string"))[0])
-    decided = stage(low_branches(rows, host)).select(F.col("host").alias(other), F.col("paths").alias(low))
+    decided = stage(low_branches(rows, host)).select(F.col("host").alias(other), *(F.col(c).alias(name) for c, name in zip(["paths", "wide", "tight", "texts"], lists)))
     joined = rows.join(decided, F.col(host) == F.col(other), "left").drop(host, other)
     columns = [c for c in pages.columns if c != "html"]
     schema = T.StructType([*(pages.schema[c] for c in columns), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -341,9 +389,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             batch = batch.set_column(batch.schema.get_field_index("html"), "html", batch.column("html").cast(pa.large_string()))
             for part in slices(batch, "html"):
                 texts = []
-                for html, paths in zip(part.column("html").to_pylist(), part.column(low).to_pylist()):
-                    drop = set(paths or ())
-                    texts.append(" ".join(text for path, text in blocks_of(html or "")[0] if path not in drop))
+                for html, *known in zip(part.column("html").to_pylist(), *(part.column(c).to_pylist() for c in lists)):
+                    texts.append(" ".join(_main_blocks(html or "", *known)))
                 out = {c: part.column(c) for c in columns}
                 yield pa.RecordBatch.from_pydict(out | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 

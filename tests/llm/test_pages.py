@@ -79,6 +79,39 @@ def test_entropy_decides_over_labels(spark):
     assert out == kept
 
 
+def test_generated_names_are_no_templates(spark):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    prose = lambda n: " ".join(word(6) for _ in range(n))
+    rows, kept = [], {}
+    for i in range(60):
+        a, b, c, d = prose(30), prose(12), prose(50), prose(9)
+        notice = f"<div class='{word(12)}'>Read our terms first</div>"
+        body = f"<main><section id='{word(9)}-guide'><p>{a}</p></section><section id='{word(9)}'>{b}</section></main>"
+        noise = f"<div class='{word(12)}'><div class='ads'>{d}</div></div><section class='comments {word(9)}'><p>{prose(5)}</p></section>"
+        rows.append((2 * i, f"http://many.org/{i}", f"<html><body>{notice}{body}{noise}</body></html>"))
+        rows.append((2 * i + 1, f"http://wide.org/{i}", f"<html><body><div class='{word(12)} related'><p>{c}</p></div><div class='{word(11)} sidebar'>{d}</div></body></html>"))
+        kept |= {2 * i: f"{a} {b}", 2 * i + 1: c}
+    pages = spark.createDataFrame(rows, PAGES)
+    out = {x["page_id"]: x["text"] for x in style_tree.extract_main_text(pages).collect()}
+    assert out == kept
+    for x in style_tree.low_branches(pages.withColumn("h", url_cascade.host_and_path(F.col("url"))[0]), "h").collect():
+        assert not x["paths"] and not x["wide"] and len(x["texts"] or []) == (x["host"] == "many.org")
+
+
+def test_rare_nodes_count_in_their_parents(spark):
+    nodes = pd.DataFrame(
+        [("/div", 40, None, 0.0, 1, 0.1, 0.0), ("/div/p", 40, 0.3, 0.0, 1, 0.1, 0.0)], columns=["path", "m", "content", "style", "styles", "held", "rare"]
+    )
+    for c in ("content", "style", "m", "held"):
+        nodes[f"all_{c}"] = nodes[c]
+    assert style_tree._low_paths(nodes)[0] == ["/div/p"]  # 0.75 * 0.3 + 0.25 * 0.9 * 0.3
+    nodes.loc[0, "rare"] = 40.0  # 0.75 * 0.3 + 0.25 * 0.9 * 0.65
+    assert style_tree._low_paths(nodes)[0] == ["/div/p"]
+    nodes.loc[0, "rare"] = 400.0  # 0.75 * 0.3 + 0.25 * 0.9 * 0.94
+    assert style_tree._low_paths(nodes)[0] == []
+
+
 def test_main_text_of_odd_tables(spark):
     assert style_tree.extract_main_text(spark.createDataFrame([], PAGES)).count() == 0
     rows = [(1, None, None), (1, None, None), (None, "x", ""), (2, "http://a.b/c", "<article><p>only page</article>"), (2, "http://a.b/c", "<article><p>only page</article>")]
