@@ -7,14 +7,16 @@ Frequencies of single words say so whatever the number of copies, so an item tha
 into a third of all documents keeps its seeds. Texts are looked through for seeds in one map; where one
 is found, the words around it are aligned with the whole item. Long items have seeds in each of their stretches, as
 a part of them may stand alone; very short items are looked for word by word. The benchmark is the
-stated query set: it goes to the tasks in blocks of bounded size, one map over the texts each, so
-nothing is shuffled but word counts and matches.
+stated query set: it goes to the tasks in blocks of bounded size, each a broadcast variable that the driver keeps on disk,
+and one map over the texts takes one block after the other. Nothing is shuffled but word counts, which one
+scan gives for all blocks, and matches. A Python worker holds the whole benchmark, some 8 bytes a word and 24 a seed.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ LEAST_WORDS = 5
 LONG_WORDS = 30
 STRETCH, STRETCH_SEEDS = (LONG_WORDS - WIDTH + 2) // 2, 3
 BLOCK_BYTES = 4 << 20
+#: Most different words of the benchmark that one scan of the corpus counts (64 MB of hashes).
+VOCABULARY = 8 << 20
 _BREAKS = SPACE.copy()
 _BREAKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
@@ -62,25 +66,42 @@ def _word_counts(docs: DataFrame, vocabulary: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["word", "n"])
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long")
-    rows = found.groupBy("word").agg(F.sum("n").alias("n")).toPandas()  # one row a word of the block
+    rows = found.groupBy("word").agg(F.sum("n").alias("n")).toPandas()  # one row a word of the vocabulary
     out = np.zeros(n + 1, np.int64)
     out[rows["word"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out[:n], int(out[n])
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame) -> list[Block]:
-    """The benchmark (``item_id, text``) in blocks of about BLOCK_BYTES, with seeds by the word counts of ``docs``."""
+def _vocabulary(items: DataFrame) -> np.ndarray:
+    """Sorted hashes of the different words of all items."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = np.unique(Words(part.column("text"), True, _BREAKS).hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["word"])
+
+    rows = items.select("text").mapInArrow(run, "word long").distinct().toPandas()
+    return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
+
+
+def blocks(docs: DataFrame, benchmark: DataFrame) -> list[Broadcast]:
+    """The benchmark (``item_id, text``) in broadcast blocks of about BLOCK_BYTES, with seeds by the word counts of ``docs``."""
+    context = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
+    vocabulary, total = _vocabulary(items), 0
+    counts = np.zeros(len(vocabulary), np.int64)
+    for k in range(0, len(vocabulary), VOCABULARY):
+        counts[k : k + VOCABULARY], total = _word_counts(docs, vocabulary[k : k + VOCABULARY])
     out = []
     for k in range(n_blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").collect()
         made = Words(pa.array([r["text"] for r in rows], pa.string()), True, _BREAKS)
         if not len(made.hashes):
             continue
-        vocabulary, code = np.unique(made.hashes, return_inverse=True)
-        counts, total = _word_counts(docs, vocabulary)
+        code = np.searchsorted(vocabulary, made.hashes)
         rarity = np.log((counts + 0.5) / (total + 1))[code]
         hashes, item, place, short = [], [], [], {}
         for i in range(len(rows)):
@@ -102,7 +123,8 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> list[Block]:
         if hashes or short:
             hashes, item, place = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.uint64, hashes), (np.int64, item), (np.int64, place)))
             order = np.argsort(hashes, kind="stable")
-            out.append(Block([r["item_id"] for r in rows], made.hashes, made.at, hashes[order], item[order], place[order], _sorted(short)))
+            made = Block([r["item_id"] for r in rows], made.hashes, made.at, hashes[order], item[order], place[order], _sorted(short))
+            out.append(context.broadcast(made))
     return out
 
 
@@ -213,18 +235,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
     rows count once each, with their ids, null included.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, begin long, `end` long")
-    for block in blocks(docs, benchmark):
-        out = out.union(rows.mapInArrow(_match_map(block, least), out.schema))
-    return out
+    parts = blocks(docs, benchmark)
+    return rows.mapInArrow(_match_map(parts, least), "doc_id long, item_id long, score double, begin long, `end` long")
 
 
-def _match_map(block, least):
+def _match_map(parts, least):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"), True, _BREAKS)
-                found = list(_matches(words, block, least))
+                found = [(own, block.ids[i], *rest) for block in (p.value for p in parts) for own, i, *rest in _matches(words, block, least)]
                 ids = part.column("doc_id").to_pylist()
                 data, offsets = utf8(part.column("text"))
                 place = []
@@ -233,7 +253,7 @@ def _match_map(block, least):
                     place.append((int(text[: words.starts[a] - offsets[own]].sum()), int(text.sum())))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([ids[f[0]] for f in found], pa.int64()), pa.array([block.ids[f[1]] for f in found], pa.int64()),
+                        pa.array([ids[f[0]] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
                         pa.array([f[2] for f in found], pa.float64()), pa.array([p[0] for p in place], pa.int64()), pa.array([p[1] for p in place], pa.int64()),
                     ],
                     names=["doc_id", "item_id", "score", "begin", "end"],
@@ -244,17 +264,15 @@ def _match_map(block, least):
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no passage of the benchmark."""
-    out = docs
-    for block in blocks(docs, benchmark):
-        out = out.mapInArrow(_clean_map(block, least), docs.schema)
-    return out
+    return docs.mapInArrow(_clean_map(blocks(docs, benchmark), least), docs.schema)
 
 
-def _clean_map(block, least):
+def _clean_map(parts, least):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                hit = {m[0] for m in _matches(Words(part.column("text"), True, _BREAKS), block, least)}
+                words = Words(part.column("text"), True, _BREAKS)
+                hit = {m[0] for p in parts for m in _matches(words, p.value, least)}
                 yield part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_()))
 
     return run

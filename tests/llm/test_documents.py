@@ -544,8 +544,13 @@ def test_parts_of_long_items_and_short_items_are_found(spark):
 def test_benchmark_in_several_blocks_gives_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     once = sorted(map(tuple, dc.contaminated(docs, bench).collect()))
+    left = sorted(r["doc_id"] for r in dc.clean(docs, bench).collect())
     monkeypatch.setattr(dc, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(dc, "VOCABULARY", 300)
+    assert len(dc.blocks(docs, bench)) > 1
     assert once == sorted(map(tuple, dc.contaminated(docs, bench).collect())) and once
+    assert left == sorted(r["doc_id"] for r in dc.clean(docs, bench).collect())
+    assert left == sorted({r["doc_id"] for r in docs.collect()} - {x[0] for x in once})
     items = {r["item_id"]: r["text"] for r in bench.collect()}
     texts_ = {r["doc_id"]: r["text"] for r in docs.collect()}
     whole = {(d, i) for d, t in texts_.items() for i, x in items.items() if x in t}
