@@ -26,6 +26,7 @@ from .kernels import draw, slices
 
 _WHITE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 16  # keys a shard, about
+PIECE_ROWS = 1 << 20  # references of a shard that meet its filter in one task, about
 MOST_LAYERS = 8  # of references, before they are summed into one
 _SLOTS, _KICKS = 4, 500
 _KEY = ["h1", "h2"]
@@ -194,19 +195,32 @@ class LineIndex:
         return self._changed(references(docs, self.least_chars).withColumn("n_lines", -F.col("n_lines")))
 
     def maybe_repeated(self) -> DataFrame:
-        """The references whose key passes its shard's filter; filters go out in blocks of bounded size."""
-        refs, n_shards = reduce(DataFrame.unionByName, self.layers), self.n_shards
+        """The references whose key passes its shard's filter.
+
+        Filters go out in one map if all of them have at most BROADCAST_BYTES; else references and filters meet by shard.
+        """
+        refs = reduce(DataFrame.unionByName, self.layers)
         refs = refs.select("h1", "h2", "doc_id") if len(self.layers) == 1 else refs
-        sizes = self.filters.agg(F.max(F.length("slots")).alias("most")).first()["most"] or 1
-        step = max(1, BROADCAST_BYTES // sizes)
-        out = None
-        for low in range(0, n_shards, step):
-            rows = self.filters.filter((F.col("shard") >= low) & (F.col("shard") < low + step)).collect()
-            held = {r["shard"]: bytes(r["slots"]) for r in rows}
-            part = refs.mapInArrow(_passing(held, low, min(step, n_shards - low), n_shards), refs.schema)
-            out = part if out is None else out.union(part)
+        size = self.filters.agg(F.sum(F.length("slots"))).first()[0] or 0
+        if size > BROADCAST_BYTES:
+            out = self._met_by_shard(refs)
+        else:
+            held = {r["shard"]: bytes(r["slots"]) for r in self.filters.collect()}
+            out = refs.mapInArrow(_passing(held, self.n_shards), refs.schema)
         return out if len(self.layers) == 1 else _live([out]).select("h1", "h2", "doc_id")
 
+    def _met_by_shard(self, refs: DataFrame) -> DataFrame:
+        """As one map would: shards in pieces of about PIECE_ROWS references, so that no hot key fills a task, each sorted behind its filter."""
+        rows = self._sharded(refs)
+        pieces = rows.groupBy("shard").agg(F.ceil(F.count("*") / PIECE_ROWS).cast("int").alias("pieces"))
+        pieces = stage(pieces.join(self.filters.select("shard"), "shard"))
+        piece = F.pmod(F.xxhash64(F.lit(3), "h2", "doc_id"), F.col("pieces")).cast("int")
+        rows = rows.join(pieces, "shard").select("shard", piece.alias("piece"), F.lit(None).cast("binary").alias("slots"), *refs.columns)
+        ahead = self.filters.join(pieces, "shard").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        ahead = ahead.select("shard", "piece", "slots", *(F.lit(None).cast(f.dataType).alias(f.name) for f in refs.schema))
+        both = ahead.union(rows).repartition("shard", "piece").sortWithinPartitions("shard", "piece", F.col("slots").isNull())
+        return both.mapInArrow(_passing_next, refs.schema)
+
     def drops(self) -> DataFrame:
         """``h1, h2, doc_id``: keys that a document loses, which is all its repeated ones but where it is the last holder."""
         found = self.maybe_repeated().join(self.repeated, ["h1", "h2"])
@@ -227,7 +241,7 @@ def _repeated(refs, least_docs):
     return counts.filter(F.col("docs") >= least_docs).select("h1", "h2", "last")
 
 
-def _passing(held: dict[int, bytes], low: int, width: int, n_shards: int):
+def _passing(held: dict[int, bytes], n_shards: int):
     def run(batches):
         filters = {k: CuckooFilter(1, v) for k, v in held.items()}
         for batch in batches:
@@ -241,6 +255,21 @@ def _passing(held: dict[int, bytes], low: int, width: int, n_shards: int):
     return run
 
 
+def _passing_next(batches):
+    """Of references that stand behind their piece's filter, those that pass it; one filter is held at a time."""
+    made = None
+    for batch in batches:
+        slots = batch.column("slots")
+        rows = batch.drop_columns(["shard", "piece", "slots"])
+        starts = np.flatnonzero(slots.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        for begin, end in zip([-1, *starts], [*starts, len(batch)]):
+            if begin >= 0:
+                made = CuckooFilter(1, slots[begin].as_py())
+            part = rows.slice(begin + 1, end - begin - 1)
+            if part.num_rows:
+                yield part.filter(pa.array(made.holds(part.column("h1").to_numpy(), part.column("h2").to_numpy())))
+
+
 def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and ``n_lines``, ``n_dropped`` (both long).
 

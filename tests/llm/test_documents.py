@@ -207,6 +207,22 @@ def test_line_index_keeps_its_layers_and_counts_touched_keys_anew(spark, monkeyp
         assert len(grown.layers) <= step
 
 
+def test_filters_too_large_for_a_map_meet_references_by_shard(spark, messy, monkeypatch):
+    hot = [(5000 + i, "a line that a third of all documents have\nand a line of its own, number " + str(i // 4), None, None, None) for i in range(200)]
+    docs = messy.select("doc_id", "text").union(spark.createDataFrame(hot, SCHEMA).select("doc_id", "text"))
+    found = lambda index: sorted(map(str, index.drops().collect()))
+    expected = found(line_dedup.LineIndex.of(docs))
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 5)
+    monkeypatch.setattr(line_dedup, "PIECE_ROWS", 30)
+    shards = line_dedup.LineIndex.of(docs)
+    grown = shards.insert(docs.filter("doc_id is null")).delete(docs.filter("doc_id < 0"))
+    assert shards.n_shards > 3 and found(shards) == expected
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    assert found(shards) == expected and len(expected) > 250
+    assert found(grown) == expected
+    assert shards.maybe_repeated().groupBy("h1", "h2", "doc_id").count().filter("count > 1").count() == 0
+
+
 def test_cuckoo_filter_has_no_false_negatives_and_deletes():
     r = np.random.default_rng(2)
     h = r.integers(-(2**63), 2**63 - 1, (2, 5000), np.int64)
