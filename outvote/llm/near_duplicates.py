@@ -13,6 +13,8 @@ Steps, each a Spark job over staged tables:
    ones on full sets. Tasks return a spanning set of links, never pairs. A bucket larger than
    ``BLOCK`` nodes is dealt in blocks to several tasks.
 
+Rows meet the facts of their bucket by ``spread_join``: those of hot buckets by broadcast, so that no task gets a whole one.
+
 Nothing is capped: a pair is lost only if it shares no band (for a similarity of 0.85 with 32
 bands of 4 slots: 5 in 10^11) or if its signatures agree in 0.18 less than the wanted similarity
 (5.7 standard deviations).
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
+from .common import spread_join
 from .components import components
 from .filters import BitFilter
 from .kernels import Words, draw, shingle_set, slices
@@ -132,8 +135,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _star_links(members, nodes, sets, percent):
     """Links between nodes and the best of their buckets' centres."""
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    centre = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("c"))
-    pairs = members.join(centre, "key").select(F.col("node").alias("a"), F.col("c.node").alias("b")).filter("a <> b")
+    centre = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("c"), F.first("n").alias("n"))
+    pairs = spread_join(members.drop("n"), stage(centre), "key", "n").select(F.col("node").alias("a"), F.col("c.node").alias("b")).filter("a <> b")
     sketch = nodes.select("node", "sketch")
     pairs = pairs.join(sketch.withColumnRenamed("node", "a").withColumnRenamed("sketch", "ka"), "a")
     pairs = pairs.join(sketch.withColumnRenamed("node", "b").withColumnRenamed("sketch", "kb"), "b")
@@ -221,7 +224,7 @@ def _rest_links(members, nodes, sets, comp, percent):
     least = _least_agreement(percent)
     rows = members.join(comp.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
-    rows = stage(rows.join(mixed.select("key", "n"), "key"))
+    rows = stage(spread_join(rows, stage(mixed.select("key", "n")), "key", "n"))
     dealt = _blocks(rows.join(nodes.select("node", "keys", "sketch"), "node"))
 
     def active(batches):
@@ -280,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
 
     keyed = _explode_keys(nodes)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stage(keyed.join(sizes, "key"))
+    members = stage(spread_join(keyed, stage(sizes), "key", "n"))
     wanted = stage(members.select("node").distinct())
     nodes = stage(nodes.join(wanted, "node", "left_semi"))
     sets = _wanted_sets(docs, wanted, width)
