@@ -70,21 +70,32 @@ def add_noise(df: DataFrame, column: str, id_col: str, sigma=0.015, seed=SEED) -
     return df.withColumn(column, F.col(column) + gaussian_noise(id_col, sigma, seed))
 
 
-def split_symbols(text, replacements=SYMBOL_REPLACEMENTS) -> Column:
-    """One array entry per character, after two-letter symbols became one."""
+def _replaced(text, replacements):
     out = F.col(text)
     for old, new in replacements.items():
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.regexp_extract_all(out, F.lit("(?s)(.)"), F.lit(1))
+    return out
+
+
+def split_symbols(text, replacements=SYMBOL_REPLACEMENTS) -> Column:
+    """One array entry per character, after two-letter symbols became one."""
+    return F.array_remove(F.split(_replaced(text, replacements), ""), "")
 
 
 def symbol_vocabulary(df: DataFrame, text: str, order: str, replacements=SYMBOL_REPLACEMENTS) -> DataFrame:
-    """Codes 1, 2, ... of characters by first appearance in the row order."""
-    seen = (
-        df.select(order, F.posexplode(split_symbols(text, replacements)).alias("_pos", "symbol"))
-        .groupBy("symbol")
-        .agg(F.min(F.struct(order, "_pos")).alias("_first"))
-    )
+    """Codes 1, 2, ... of characters by first appearance in the row order.
+
+    A row's distinct characters are counted, not all of them, and into plain numbers, which needs no sort: first the
+    row that each character is first seen in (a missing order comes first), then the place in those rows alone.
+    """
+    rows = df.select(F.col(order).alias("_order"), _replaced(text, replacements).alias("_text"))
+    symbols = F.array_distinct(F.array_remove(F.split("_text", ""), ""))
+    rows_of = rows.select("_order", F.explode(symbols).alias("symbol")).groupBy("symbol")
+    first = rows_of.agg(F.min("_order").alias("_least"), F.max(F.col("_order").isNull()).alias("_none"))
+    first = stage(first.select("symbol", F.when(~F.col("_none"), F.col("_least")).alias("_row")))
+    # At most as many rows as Unicode has characters.
+    places = rows.join(F.broadcast(first), F.col("_order").eqNullSafe(F.col("_row"))).select("symbol", "_order", F.position("symbol", "_text").alias("_pos"))
+    seen = places.filter("_pos > 0").groupBy("symbol").agg(F.min(F.struct("_order", "_pos")).alias("_first"))
     return distributed_rank(seen, ["_first"], "code").select("symbol", F.col("code").cast("int").alias("code"))
 
 

@@ -261,3 +261,17 @@ def test_reserved_columns_are_refused(spark):
         with_row_stats(df, ["entry_id"], "m")
     with pytest.raises(ValueError, match="reserved"):
         J.sample_exact(df, 50.0)
+
+
+def test_symbols_are_counted_without_a_sort_of_all_characters(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(X, "stage", lambda df: staged.append(df) or df)
+    rows = [(3, "ab\U0001f600\n"), (None, "zCl"), (None, "yz"), (1, ""), (2, None), (1, "qa"), (1, "aq ")]
+    df = spark.createDataFrame(rows, "i long, s string").repartition(3)
+    got = [tuple(r) for r in X.symbol_vocabulary(df, "s", "i", {}).orderBy("code").collect()]
+    # Characters of equal first row and place may stand in either order.
+    assert [c for _, c in got] == list(range(1, 11))
+    at = {s: c for s, c in got}
+    assert {s for s, c in got if c <= 4} == set("zyCl") and {at["q"], at["a"]} == {5, 6} and at[" "] == 7
+    assert [s for s, c in got if c > 7] == ["b", "\U0001f600", "\n"]
+    assert "SortAggregate" not in staged[0]._jdf.queryExecution().executedPlan().toString()
