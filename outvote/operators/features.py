@@ -140,10 +140,13 @@ def node_signatures(nodes: DataFrame, edges: DataFrame, own=("label", "degree",
 
 
 def _neighbours(nodes, edges, label, graph, node):
-    """One row per node and neighbour, with the neighbour's label."""
+    """One row per node and neighbour, with the neighbour's label.
+
+    Nodes are shuffled, never broadcast: they grow with the graph, and Spark's guess of their size may miss rows that a generator adds.
+    """
     ends = edges.select(graph, F.inline(F.array(F.struct(F.col("src").alias(node), F.col("dst").alias("_other")), F.struct(F.col("dst").alias(node), F.col("src").alias("_other")))))
     others = nodes.select(graph, F.col(node).alias("_other"), F.col(label).cast("string").alias("_label"))
-    return ends.join(others, [graph, "_other"])
+    return ends.join(others.hint("merge"), [graph, "_other"])
 
 
 def _own_labels(own):
@@ -185,17 +188,20 @@ def signature_codes(signed: DataFrame, order=("graph_id", "node_id"), key="signa
 
 
 def signature_dictionary(coded: DataFrame, nodes: DataFrame, edges: DataFrame, own=("label", "degree", "hydrogens", "charge"), graph="graph_id", node="node_id") -> DataFrame:
-    """``code, signature`` of coded nodes: the text is written for one node of each code only."""
+    """``code, signature`` of coded nodes: the text is written for one node of each code only.
+
+    There may be as many codes as nodes, so nothing here is broadcast.
+    """
     first = coded.groupBy("code").agg(F.min(F.struct(graph, node)).alias("_first"))
     first = stage(first.select("code", F.col("_first")[graph].alias(graph), F.col("_first")[node].alias(node)))
     ends = F.array(F.struct(F.col("src").alias(node), F.col("dst").alias("_other")), F.struct(F.col("dst").alias(node), F.col("src").alias("_other")))
     # Edges of those nodes only, turned to start at them; a turned edge must not be turned again.
-    around = edges.select(graph, F.inline(ends)).join(first, [graph, node])
+    around = edges.select(graph, F.inline(ends)).join(first.hint("merge"), [graph, node])
     labels = nodes.select(graph, F.col(node).alias("_other"), F.col(own[0]).cast("string").alias("_label"))
-    counts = around.join(labels, [graph, "_other"]).groupBy("code", "_label").agg(F.count("*").alias("_n"))
+    counts = around.join(labels.hint("merge"), [graph, "_other"]).groupBy("code", "_label").agg(F.count("*").alias("_n"))
     runs = counts.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("_label", "_n"))).alias("_around"))
     text = F.array_join(F.transform("_around", lambda e: F.repeat(e["_label"], e["_n"].cast("int"))), "")
-    mine = nodes.join(first, [graph, node]).select("code", _own_labels(own).alias("_mine"))
+    mine = nodes.join(first.hint("merge"), [graph, node]).select("code", _own_labels(own).alias("_mine"))
     return mine.join(runs, "code", "left").select("code", F.concat("_mine", F.lit("_"), F.coalesce(text, F.lit(""))).alias("signature"))
 
 

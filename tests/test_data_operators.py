@@ -275,3 +275,15 @@ def test_symbols_are_counted_without_a_sort_of_all_characters(spark, monkeypatch
     assert {s for s, c in got if c <= 4} == set("zyCl") and {at["q"], at["a"]} == {5, 6} and at[" "] == 7
     assert [s for s, c in got if c > 7] == ["b", "\U0001f600", "\n"]
     assert "SortAggregate" not in staged[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nodes_of_a_graph_are_not_broadcast(spark):
+    few = spark.range(4).select(F.explode(F.sequence(F.lit(0), F.lit(1))).alias("graph_id"), F.col("id").alias("node_id"), F.lit("C").alias("label"))
+    edges = spark.range(3).select(F.explode(F.sequence(F.lit(0), F.lit(0))).alias("graph_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    signed = X.node_signatures(few, edges, ("label",))
+    keyed = X.signature_keys(few, edges, ("label",))
+    coded = X.signature_codes(keyed, key="signature_key")
+    texts = X.signature_dictionary(coded, few, edges, ("label",))
+    assert {r.signature for r in texts.collect()} == {r.signature for r in signed.collect()} == {"C_", "C_C", "C_CC"}
+    for made in (X._neighbours(few, edges, "label", "graph_id", "node_id"), texts):
+        assert "SortMergeJoin [graph_id" in (plan := made._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin [graph_id" not in plan
