@@ -13,7 +13,10 @@ def table(spark, sf_dir, name):
 
 
 def predictions(spark, sf_dir):
-    """Orders as entries with known errors (shift x rate) and five made-up predictions each."""
+    """Orders as entries with known errors (shift x rate) and five made-up predictions each.
+
+    Orders are dealt out by id, since a file of many rows may be a single split, which one task would read and work on alone.
+    """
     eid = F.col("entry_id")
     entries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id"), F.col("o_totalprice").alias("y0"))
     drawn = entries.withColumn("_key", (eid * 48271) % 2147483647)
@@ -35,6 +38,7 @@ def predictions(spark, sf_dir):
         "cb": ((eid * 32452843) % 1499 - 749) * 8.0,
     }
     y0 = F.col("y0")
+    drawn = drawn.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "entry_id")
     rows = drawn.withColumn("_cuts", cuts.scalar()).withColumn("_hits", hits).select("entry_id", "y0", "_hits", F.inline(grid))
     shift = F.when(F.get("_hits", F.col("_i")), F.col("var_add")).otherwise(0.0)
     return rows.select(

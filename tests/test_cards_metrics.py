@@ -287,3 +287,9 @@ def test_published_counts_of_the_top_groups(spark):
     assert sizes[(50000.0, 5.0, 5)] == (750, 750)
     assert sizes[(10000.0, 1.0, 5)] == (110, 110) and sizes[(10000.0, 1.0, 4)] == (37, 37)
     assert sizes[(10000.0, 5.0, 0)] == (13948, 0)
+
+
+def test_predictions_are_dealt_to_all_tasks(spark, sf_dir):
+    from suite.fixtures import predictions
+
+    assert predictions(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
