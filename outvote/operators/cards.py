@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..defaults import DATA_OFFSET, MODELS, THRESHOLD, VALUE
-from ..functions.expr import check_free, clean_number, ratio, total, with_row_stats
+from ..functions.expr import check_free, clean_number, own_method, ratio, total, with_row_stats
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import lookup, row_bytes, stage
@@ -37,10 +37,10 @@ def with_errors(df, models, value, offsets, kinds, carry):
         df = with_row_stats(df, models, "_centre")
     rows = df.select(*carry, *(["_centre"] if relative else []), *[F.abs(clean_number(m) - F.col("_y")).alias(f"_abs_{m}") for m in models])
     if relative:
-        rows = rows.withColumns({f"_den{j}": F.col("_centre") + F.lit(d) for j, d in enumerate(offsets)})
+        rows = own_method(rows).withColumns({f"_den{j}": F.col("_centre") + F.lit(d) for j, d in enumerate(offsets)})
         ratios = {f"_rel{j}_{m}": ratio(F.col(f"_abs_{m}"), F.col(f"_den{j}")) for j in range(len(offsets)) for m in models}
         names = (names if "abs" in kinds or "both" in kinds else []) + list(ratios)
-        rows = rows.withColumns(ratios)
+        rows = own_method(rows.withColumns(ratios))
     return rows.select(*carry, *names), names
 
 

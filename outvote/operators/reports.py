@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..defaults import DATA_OFFSET, MODELS, REF_VALUE, THRESHOLD, THRESHOLDS, TOL, VALUE
-from ..functions.expr import between_ranks, check_free, clean_number, ratio, total, with_row_stats
+from ..functions.expr import between_ranks, check_free, clean_number, own_method, ratio, total, with_row_stats
 from ..plans.levels import count_passed
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import lookup, row_bytes, stage
@@ -170,7 +170,7 @@ def model_error_summary(
     ids = [*keys, "modified"] if split_modified and ref is not None else keys
     rows = df.withColumn("modified", is_modified(value, ref)) if ref is not None else df
     rows = with_row_stats(rows, models, "_median").withColumn("_den", F.col("_median") + F.lit(data_offset))
-    rows = rows.withColumns(sizes).withColumns(ratios).select(*ids, *sizes, *ratios)
+    rows = own_method(own_method(rows.withColumns(sizes)).withColumns(ratios)).select(*ids, *sizes, *ratios)
     return _mean_and_median(rows, ids, cells, ("ref_type", "model_name", "delta_type"))
 
 

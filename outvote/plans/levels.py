@@ -6,14 +6,16 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import own_method
+
 
 def count_passed(df: DataFrame, probes, width: int, strict=False) -> DataFrame:
     """Adds, per probe, how many entries of an ascending array a value has reached.
 
     ``probes`` maps a new column to (value column, array column), or to several such pairs
     where each value must have reached its own array's entry; ``width`` is the array length.
-    One projection per halving step covers all probes, so the generated code stays
-    small however many cuts there are. A missing value or array gives 0; with ``strict`` the
+    One projection per halving step covers all probes, and with many probes each is a method of its own, so the
+    generated code stays small however many cuts there are. A missing value or array gives 0; with ``strict`` the
     value must exceed the cut.
 
     The result passes through a one-row generator: a filter on it would otherwise be pushed
@@ -32,6 +34,7 @@ def count_passed(df: DataFrame, probes, width: int, strict=False) -> DataFrame:
             reached = reduce(and_, tests)
             moves[out] = F.when(reached, F.col(out) + step).otherwise(F.col(out))
         df = df.withColumns(moves)
+        df = own_method(df) if len(probes) > 4 else df
         step >>= 1
     found = F.array(F.struct(*probes))
     return df.select(*kept, F.inline(found))

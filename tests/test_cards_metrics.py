@@ -1,3 +1,4 @@
+import re
 from itertools import combinations
 
 import numpy as np
@@ -289,6 +290,19 @@ def test_published_counts_of_the_top_groups(spark):
     assert sizes[(10000.0, 5.0, 0)] == (13948, 0)
 
 
+def test_methods_of_many_models_and_offsets_stay_small(spark):
+    """The JVM leaves methods of more than 8000 bytes uncompiled."""
+    models = ["cnn", "gnn", "fcd", "fcfp", "cb"]
+    rows = spark.range(40).select(F.col("id").alias("entry_id"), F.col("id").cast("double").alias("values"), *[(F.col("id") * 1.5 + i).alias(m) for i, m in enumerate(models)])
+    levels = C.card_levels(rows, models, list(map(float, range(20, 0, -1))), [1.5, 2.5, 5.0], ("abs", "rel", "both"), "values", [])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(levels.select("*")._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 8000
+
+
 def test_predictions_are_dealt_to_all_tasks(spark, sf_dir):
     from suite.fixtures import predictions
 
