@@ -5,6 +5,8 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     FMRegressor,
@@ -21,6 +23,7 @@ from ..plans.staging import stage
 from .injection import kfold
 
 FITS_AT_ONCE = 4
+PRODUCTS_OF = 12  # most features whose pairs get moments of their own
 
 
 def default_estimators(seed=SEED):
@@ -38,15 +41,21 @@ def oof_predict(df: DataFrame, features, label=VALUE, estimators=None, k=5, id_c
     """One prediction column per model; every row is predicted by models that never saw it.
 
     Folds are cut once and staged with one folder a fold, so a fit reads only its own. The k * m fits, each over the cluster,
-    are submitted by ``FITS_AT_ONCE`` threads, so that one fills the cores that another leaves idle.
+    are submitted by ``FITS_AT_ONCE`` threads, so that one fills the cores that another leaves idle. Factorization machines that
+    step by the gradient of all rows take it from moments, summed up once for all folds (``_factor_line``).
     """
     estimators = estimators or default_estimators(seed)
     vectors = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
     folded = stage(vectors.transform(kfold(df, k, id_col, seed, balanced)), ["fold"])
+    summed = [name for name, estimator in estimators.items() if _steps_by_all_rows(estimator)]
+    moments = _product_moments(folded, label) if summed else {}
 
     def fit(task):
         fold, name = task
         estimator = estimators[name]
+        others = [moments[f] for f in sorted(moments) if f != fold] if name in summed else []
+        if others and all(np.isfinite(m).all() for m in others):
+            return _factor_line(estimator, sum(others), df.sparkSession)
         params = {
             estimator.getParam("featuresCol"): "_features",
             estimator.getParam("labelCol"): label,
@@ -61,11 +70,92 @@ def oof_predict(df: DataFrame, features, label=VALUE, estimators=None, k=5, id_c
     for fold in range(k):
         part = folded.filter(F.col("fold") == fold)
         for name in estimators:
-            part = models[fold, name].transform(part)
+            model = models[fold, name]
+            part = part.withColumn(name, _factor_value(*model)) if isinstance(model, tuple) else model.transform(part)
         parts.append(part.drop("_features"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _steps_by_all_rows(estimator):
+    """Factorization machines whose steps depend on nothing but the mean gradient of all rows."""
+    return type(estimator) is FMRegressor and estimator.getSolver() == "adamW" and estimator.getMiniBatchFraction() == 1.0 and not estimator.getRegParam()
+
+
+def _product_moments(folded, label):
+    """Per fold, the sums of all products of two among 1, the features, the products of two features and the label.
+
+    One pass: tasks give a matrix a fold, which are summed up by their places. Empty with no rows or too many features.
+    """
+    rows = folded.select("fold", vector_to_array("_features").alias("x"), F.col(label).cast("double").alias("y"))
+    first = rows.first()
+    if first is None or len(first["x"]) > PRODUCTS_OF:
+        return {}
+    d = len(first["x"])
+
+    def summed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        one, two = np.triu_indices(d, 1)
+        sums = {}
+        for batch in batches:
+            fold, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y), d)
+            z = np.column_stack([np.ones(len(y)), x, x[:, one] * x[:, two], y])
+            for f in np.unique(fold):
+                own = z[fold == f]
+                sums[int(f)] = sums.get(int(f), 0.0) + own.T @ own
+        if sums:
+            cells = pa.array([m.ravel().tolist() for m in sums.values()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), cells], ["fold", "cells"])
+
+    cells = rows.mapInArrow(summed, "fold int, cells array<double>").select("fold", F.posexplode("cells").alias("at", "v"))
+    width, out = d + d * (d - 1) // 2 + 2, {}
+    for row in cells.groupBy("fold", "at").agg(F.sum("v").alias("v")).collect():  # a matrix a fold
+        out.setdefault(row["fold"], np.zeros(width * width))[row["at"]] = row["v"]
+    return {fold: m.reshape(width, width) for fold, m in out.items()}
+
+
+def _factor_line(estimator, moments, spark):
+    """Base, weights and weights of products of the factorization machine that the estimator fits, by AdamW on mean squared error.
+
+    Its prediction is linear in the products of two features, so the gradient over all rows follows from their moments, at every
+    one of its steps. The start is the estimator's own: the factors of its fit without a step.
+    """
+    get = estimator.getOrDefault
+    width = len(moments) - 1
+    d = int(round((np.sqrt(8 * width - 7) - 1) / 2))
+    zero = spark.createDataFrame([(Vectors.dense([0.0] * d), 0.0)], ["_features", "_label"])
+    start = estimator.copy({estimator.maxIter: 0, estimator.featuresCol: "_features", estimator.labelCol: "_label"}).fit(zero)
+    k, (one, two) = get("factorSize"), np.triu_indices(d, 1)
+    at = np.concatenate([start.factors.toArray().ravel(), np.zeros(d + 1)])
+    free = np.concatenate([np.ones(d * k), np.full(d, float(get("fitLinear"))), [float(get("fitIntercept"))]])
+
+    def line(at):
+        factors = at[: d * k].reshape(d, k)
+        return np.concatenate([at[-1:], at[d * k : -1], (factors @ factors.T)[one, two]])
+
+    mean, square = np.zeros_like(at), np.zeros_like(at)
+    for step in range(1, get("maxIter") + 1):
+        slope = 2 * (moments[:-1, :-1] @ line(at) - moments[:-1, -1]) / moments[0, 0]
+        pairs = np.zeros((d, d))
+        pairs[one, two] = pairs[two, one] = slope[d + 1 :]
+        gradient = free * np.concatenate([(pairs @ at[: d * k].reshape(d, k)).ravel(), slope[1 : d + 1], slope[:1]])
+        mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
+        move = mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        before, at = at, at - get("stepSize") * move
+        if np.linalg.norm(before - at) < get("tol") * max(np.linalg.norm(at), 1.0):
+            break
+    found = line(at).tolist()
+    return found[0], found[1 : d + 1], {(int(i), int(j)): w for i, j, w in zip(one, two, found[d + 1 :])}
+
+
+def _factor_value(base, weights, products):
+    x = [F.get(vector_to_array("_features"), i) for i in range(len(weights))]
+    parts = [F.lit(w) * x[i] for i, w in enumerate(weights)] + [F.lit(w) * x[i] * x[j] for (i, j), w in products.items()]
+    return reduce(lambda total, part: total + part, parts, F.lit(base))
+
+
 def fold_statistics(folded: DataFrame, features, label=VALUE, fold="fold") -> dict:
     """``(n, means, scatter)`` of each fold: rows, means of features and label, and their products about the means.
 

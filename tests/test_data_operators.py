@@ -287,3 +287,19 @@ def test_nodes_of_a_graph_are_not_broadcast(spark):
     assert {r.signature for r in texts.collect()} == {r.signature for r in signed.collect()} == {"C_", "C_C", "C_CC"}
     for made in (X._neighbours(few, edges, "label", "graph_id", "node_id"), texts):
         assert "SortMergeJoin [graph_id" in (plan := made._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin [graph_id" not in plan
+
+
+def test_factorization_machines_from_moments_predict_as_spark_does(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import FMRegressor
+
+    rows = spark.range(400).select(F.col("id").alias("entry_id"), *[((F.col("id") * m) % 97 / 10.0).alias(c) for m, c in ((31, "a"), (57, "b"), (7, "c"))])
+    rows = rows.withColumn("values", F.expr("3 * a - b * c + 5"))
+    ours = FMRegressor(factorSize=2, maxIter=12, stepSize=0.1, seed=3)
+    vectors = VectorAssembler(inputCols=["a", "b", "c"], outputCol="_features")
+    params = {ours.featuresCol: "_features", ours.labelCol: "values", ours.predictionCol: "theirs"}
+    theirs = ours.fit(vectors.transform(E.kfold(rows, 2).filter("fold <> 1")), params)
+    monkeypatch.setattr(FMRegressor, "fit", lambda self, data, params=None: pytest.fail("a scan a step") if data.count() > 1 else type(self).__mro__[1].fit(self, data, params))
+    out = E.oof_predict(rows, ("a", "b", "c"), estimators={"factor": ours}, k=2)
+    gap = theirs.transform(vectors.transform(out.filter("fold = 1"))).agg(F.max(F.abs(F.col("theirs") - F.col("factor"))).alias("gap"), F.count("*").alias("n")).first()
+    assert gap["n"] == 200 and gap["gap"] < 1e-9
