@@ -1,5 +1,6 @@
 """Cards: each model marks the worst share of a dataset's entries; marks are counted per entry."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,41 @@ def with_errors(df, models, value, offsets, kinds, carry):
     return rows.select(*carry, *names), names
 
 
-def _cut_arrays(errors, keys, names, thresholds, null_policy):
-    return stage(cut_arrays(exact_quantiles(errors, keys, names, card_quantiles(thresholds), null_policy), keys, names))
+def errors_in_batches(df, models, value, offsets, kinds, keys):
+    """What makes the columns of ``with_errors`` from numpy columns, by the same operations: ``made`` of ``exact_quantiles``."""
+    relative, sizes_too = "rel" in kinds or "both" in kinds, "abs" in kinds or "both" in kinds or "rel" not in kinds
+    offsets = list(offsets)
+
+    def make(columns):
+        y, given = columns[0], columns[1:]
+        with np.errstate(all="ignore"):
+            sizes = [np.abs(m - y) for m in given]
+        if not relative:
+            return sizes
+        # As in ``ratio``: an error that is no number, of two infinities, is none of 0 either; a missing one is none at all.
+        most = [np.where(np.isnan(m) | np.isnan(y) | (s == 0), np.nan, np.inf) for m, s in zip(given, sizes)]
+        n = sum((~np.isnan(m)).astype("int8") for m in given)
+        lanes = [np.where(np.isnan(m), np.inf, m) for m in given]  # missing ones come last
+        for i in range(len(lanes)):
+            for k in range(i % 2, len(lanes) - 1, 2):
+                lanes[k], lanes[k + 1] = np.minimum(lanes[k], lanes[k + 1]), np.maximum(lanes[k], lanes[k + 1])
+        out = sizes if sizes_too else []
+        with np.errstate(all="ignore"):
+            centre = np.full(len(y), np.nan)
+            for k in np.unique(n[n > 0]).tolist():
+                centre = np.where(n == k, (lanes[(k - 1) // 2] + lanes[k // 2]) / 2, centre)
+            for d in offsets:
+                den = centre + d
+                out = out + [np.where(den == 0, top, s / den) for top, s in zip(most, sizes)]
+        return out
+
+    names = ["_y", *[f"_m{i}" for i in range(len(models))]]
+    frame = df.select(*keys, *[clean_number(c).alias(n) for n, c in zip(names, [value, *models])])
+    return frame, names, make
+
+
+def _cut_arrays(errors, keys, names, thresholds, null_policy, made):
+    return stage(cut_arrays(exact_quantiles(errors, keys, names, card_quantiles(thresholds), null_policy, made), keys, names))
 
 
 def card_quantiles(thresholds):
@@ -73,7 +107,7 @@ def cutoffs(
     keys, offsets = dataset_keys(df, keys), as_list(data_offsets)
     thresholds = falling(thresholds)
     errors, columns = with_errors(df, models, value, offsets, kinds, keys)
-    cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy)
+    cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy, errors_in_batches(df, models, value, offsets, kinds, keys))
     cells = []
     for m in models:
         for i, t in enumerate(thresholds):
@@ -110,7 +144,8 @@ def card_levels(
     """
     keys, carry = list(keys), df.columns if carry is None else list(carry)
     errors, columns = with_errors(df, models, value, offsets, kinds, carry)
-    cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy) if cuts is None else cuts
+    if cuts is None:
+        cuts = _cut_arrays(errors, keys, columns, thresholds, null_policy, errors_in_batches(df, models, value, offsets, kinds, keys))
     absolute = [f"_abs_{m}" for m in models if f"_abs_{m}" in columns]
 
     def by_offset(prefix):

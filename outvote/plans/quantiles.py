@@ -2,8 +2,9 @@
 
 One plan for every size. The first pass makes a mergeable sketch (KLL) of each column and dataset. The error of the
 sketch's ranks gives, for each wanted quantile, a bracket of values that holds it. The second pass counts the rows below, between and
-above the brackets, and the distinct values inside them: a few percent of the rows, counted before
-they are shuffled. From these counts come the ranks, exactly: the sketch only says where to look.
+above the brackets, and the distinct values inside them: a few percent of the rows, counted in sorted Arrow batches and not shuffled
+(with more than ``batches.FEW`` datasets and columns, joined and counted before a shuffle). From these counts come the ranks,
+exactly: the sketch only says where to look.
 
 Two further steps are there for what the counts do not settle, and read nothing twice otherwise. Brackets with more than
 ``CELL`` distinct values are cut into ``SPLIT`` parts, again and again, on the staged counts. A rank
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import INF, between_ranks, clean_number
+from .batches import few, region_counts
 from .levels import count_passed
 from .staging import lookup, row_bytes, stage
 
@@ -44,12 +46,13 @@ def _by_column(given, columns, what):
     return given
 
 
-def exact_quantiles(df: DataFrame, keys, columns, qs, null_policy="poison") -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, columns, qs, null_policy="poison", made=None) -> DataFrame:
     """Per dataset: ``n_rows`` and, for each column, an array of its quantiles in the order of ``qs``.
 
     ``null_policy='poison'``: one missing value makes the whole array NULL. ``'skip'``: quantiles of the values present.
     ``qs`` and ``null_policy`` may be mappings with an entry for each column, all answered in the same two passes.
-    Rows with a NULL key belong to no dataset.
+    Rows with a NULL key belong to no dataset. ``made``, a frame of the same rows with keys and numbers, the numbers' names and a
+    function as in ``region_counts``, spares the second pass columns that numpy makes from fewer ones, bit for bit.
     """
     keys, columns = list(keys), list(columns)
     qs = {c: [float(q) for q in v] for c, v in _by_column(qs, columns, "quantiles").items()}
@@ -59,12 +62,21 @@ def exact_quantiles(df: DataFrame, keys, columns, qs, null_policy="poison") -> D
             raise ValueError(f"unknown null_policy {policy!r}")
     df = df.select(*keys, *columns).dropna(subset=keys) if keys else df.select(*columns)
     rows = df.select(*keys, *[clean_number(c).alias(f"_v{i}") for i, c in enumerate(columns)])
-    ids, width = [*keys, "_c"], 2 * max(map(len, qs.values()), default=0)
+    ids, width = ["_d", "_c"], 2 * max(map(len, qs.values()), default=0)
 
     facts = _sketched(rows, keys, [qs[c] for c in columns])
+    datasets = facts.filter("_c = 0").select(*keys, "_d")
+    numbered = lambda frame: lookup(frame, datasets, keys, "inner", row_bytes(2)).drop(*keys)
+    rows = numbered(rows)
     # One narrow row per value: with all columns in a row the generated code gets too big to be compiled.
-    long = rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_v{i}").alias("_x")) for i in range(len(columns))])))
-    counts = _counted_regions(long, facts, ids, width)
+    long = rows.select("_d", F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_v{i}").alias("_x")) for i in range(len(columns))])))
+    edges = facts.filter("_v > 0").select(*ids, "_edges", "_covered")
+    known = few(edges)
+    if known is None:
+        counts = _counted_regions(long, edges, ids, width)
+    else:
+        given = (rows, [f"_v{i}" for i in range(len(columns))], None) if made is None else (numbered(made[0]), *made[1:])
+        counts = stage(region_counts(given[0], known, *given[1:]))
     state = facts.filter("_v > 0").select(*ids, F.lit(0).alias("_cell"), F.lit(0).cast("long").alias("_below"), "_ranks")
     regions = counts.groupBy(*ids, "_region").agg(
         F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.count("*").alias("_values"), F.first("_inside").alias("_inside")
@@ -95,7 +107,7 @@ def exact_quantiles(df: DataFrame, keys, columns, qs, null_policy="poison") -> D
 
 
 def _sketched(rows, keys, qs):
-    """Per dataset and column: rows, values, the wanted ranks and the edges of their brackets, in order.
+    """Per dataset, numbered ``_d``, and column: rows, values, the wanted ranks and the edges of their brackets, in order.
 
     ``_covered`` says for each stretch between two edges, and before the first and after the last, whether a bracket covers it.
     """
@@ -119,13 +131,13 @@ def _sketched(rows, keys, qs):
         return F.struct(slots.alias("_slots"), brackets.alias("_brackets"))
 
     each = [F.struct(F.lit(i).alias("_c"), F.col(f"_n{i}").alias("_v"), F.col(f"_s{i}").alias("_sketch")) for i in range(len(qs))]
-    facts = sketches.select(*keys, "n_rows", F.inline(F.array(*each)))
+    facts = sketches.withColumn("_d", F.monotonically_increasing_id()).select(*keys, "_d", "n_rows", F.inline(F.array(*each)))
     found = None
     for wanted in dict.fromkeys(map(tuple, qs)):
         own = F.col("_c").isin([i for i, q in enumerate(qs) if tuple(q) == wanted]) & (F.col("_v") > 0)
         made = facts_for(wanted, _sketch_size(len(wanted)))
         found = F.when(own, made) if found is None else found.when(own, made)
-    facts = facts.withColumn("_found", found).select(*keys, "n_rows", "_c", "_v", "_found._slots", "_found._brackets")
+    facts = facts.withColumn("_found", found).select(*keys, "_d", "n_rows", "_c", "_v", "_found._slots", "_found._brackets")
     facts = stage(facts)  # what follows is arithmetic on its few rows
     edges = F.array_sort(F.array_distinct(F.concat("_brackets.a", "_brackets.b")))
     ranks = F.array_sort(F.array_distinct(F.concat("_slots.low", "_slots.high")))
@@ -140,12 +152,11 @@ def _numbers(values):
     return F.expr("array(" + ", ".join(f"{v!r}D" for v in values) + ")")
 
 
-def _counted_regions(long, facts, ids, width):
+def _counted_regions(long, edges, ids, width):
     """Counts of the regions that the edges make, 2 k - 1 for the k-th edge itself and 2 k for what follows it.
 
     One row a region, or a row for each value of those inside a bracket; the counts combine before the shuffle.
     """
-    edges = facts.filter("_v > 0").select(*ids, "_edges", "_covered")
     rows = lookup(long.filter(F.col("_x").isNotNull()), edges, ids, "inner", row_bytes(3 * width))
     rows = count_passed(rows, {"_k": ("_x", "_edges")}, width)
     on = F.coalesce(F.get("_edges", F.col("_k") - 1) == F.col("_x"), F.lit(False))
