@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+import numpy as np
 from numpy import concatenate, geomspace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +10,9 @@ from pyspark.sql.window import Window
 
 from ..defaults import DATA_OFFSET, DATA_OFFSETS, ENTRY_ID, MODELS, REF_VALUE, THRESHOLD, THRESHOLDS, TOL, VALUE
 from ..functions.expr import INF, clean_number, f1_columns, ratio, total
+from ..plans.batches import FEW, level_counts
 from ..plans.levels import count_passed
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import exact_quantiles, quantiles_in_batches
 from ..plans.staging import lookup, row_bytes, stage
 from .cards import as_list, card_levels, card_quantiles, cut_arrays, falling, level_columns, with_errors
 from .errors import align_reference, basic_stats, dataset_keys, is_modified
@@ -200,12 +202,97 @@ def _subset_counts(rows, keys, models, offset, least=1):
     )
 
 
+def _subset_errors(n_models, masks, offset, sizes):
+    """What makes a row's errors in Arrow batches, from its value and predictions: of all models by ``sizes``, then relative to each subset's median.
+
+    The same operations as in columns: an error over a zero denominator ranks highest, and none is left of 0 / 0. ``absent`` gets, for
+    each column, where its NaN stand for a missing number, or None; other NaN come from infinities.
+    """
+    members = [[i for i in range(n_models) if bits >> i & 1] for bits in masks]
+
+    def middle(own, holes):
+        """Mean of the middle one or two predictions of each row, of those present."""
+        lanes = list(own)
+        if any(hole is not None for hole in holes):
+            lanes = [x if hole is None else np.where(hole, np.inf, x) for x, hole in zip(own, holes)]  # missing ones come last
+        for i in range(len(lanes)):
+            for k in range(i % 2, len(lanes) - 1, 2):
+                lanes[k], lanes[k + 1] = np.minimum(lanes[k], lanes[k + 1]), np.maximum(lanes[k], lanes[k + 1])
+        if all(hole is None for hole in holes):
+            return (lanes[(len(lanes) - 1) // 2] + lanes[len(lanes) // 2]) / 2
+        n = len(lanes) - sum(hole.astype("int8") for hole in holes if hole is not None)
+        out = np.full(len(n), np.nan)
+        for k in np.unique(n[n > 0]).tolist():
+            out = np.where(n == k, (lanes[(k - 1) // 2] + lanes[k // 2]) / 2, out)
+        return out
+
+    def make(columns, absent=None):
+        y, given = columns[0], columns[1:]
+        holes = [hole if hole.any() else None for hole in map(np.isnan, given)]
+        with np.errstate(all="ignore"):
+            errors = [np.abs(m - y) for m in given]
+
+        def lost(i):
+            return np.isnan(y) | np.isnan(given[i])
+
+        def told(x, i, nothing):
+            if absent is not None:
+                none = np.isnan(x)
+                absent.append(none & (lost(i) | nothing) if none.any() else None)
+            return x
+
+        for i in range(n_models if sizes else 0):
+            yield told(errors[i], i, False)
+        for own in members:
+            with np.errstate(all="ignore"):
+                under = middle([given[i] for i in own], [holes[i] for i in own]) + offset
+            zero = under == 0
+            zeros = zero.any()
+            for i in own:
+                with np.errstate(all="ignore"):
+                    x = errors[i] / under
+                if zeros:
+                    x = np.where(zero, np.where(lost(i) | (errors[i] == 0), np.nan, np.inf), x)
+                yield told(x, i, zero & (errors[i] == 0) if zeros else False)
+
+    return make
+
+
 def _subset_levels(rows, keys, models, chosen, steps, offset, kind, value, null_policy):
     """Counted rows ``keys, n_models, model_combo, combo_no, _mod, _level``: at how many thresholds all models of a subset mark them.
 
-    Relative errors are taken from the median of the subset's own predictions; all medians come from one sorted array a row, and
-    the cutoffs of all subsets, as datasets of their own, from one request. Absolute errors do not depend on the subset.
+    Relative errors are taken from the median of the subset's own predictions; absolute errors do not depend on the subset. All of them are
+    made in Arrow batches, once for the cutoffs, in one request, and once for the counts, so that rows are never multiplied by subsets outside
+    of numpy's columns. With too many datasets for that they are rows of their own (``_joined_subset_levels``).
     """
+    sizes = len(models) if kind == "both" else 0
+    width = sizes + sum(n for _, n, _ in chosen)
+    given = {"_y": clean_number(value)} | {f"_m{i}": clean_number(m) for i, m in enumerate(models)}
+    found = rows.select(*keys).distinct() if keys else rows.sparkSession.range(1).select()
+    datasets = stage(found.withColumn("_d", F.monotonically_increasing_id()))
+    most = FEW // width
+    if datasets.limit(most + 1).count() > most:
+        return _joined_subset_levels(rows, keys, models, chosen, steps, offset, kind, value, null_policy)
+    bare = rows.select(*keys, "_mod", *[c.alias(n) for n, c in given.items()])
+    bare = lookup(bare, datasets, keys, "inner", row_bytes(2)).select("_d", "_mod", *given)
+    names, make = [f"_e{c}" for c in range(width)], _subset_errors(len(models), [bits for bits, _, _ in chosen], float(offset), bool(sizes))
+    quantiles = quantiles_in_batches(bare, names, card_quantiles(steps), list(given), make, null_policy)
+    cuts = {row["_d"]: list(row[1:]) for row in stage(cut_arrays(quantiles, ["_d"], names)).collect()}  # one row a dataset
+    groups, at = [], sizes
+    for bits, n, _ in chosen:
+        groups.append([*range(at, at + n), *[i for i in range(sizes) if bits >> i & 1]])
+        at += n
+    counted = level_counts(bare, cuts, list(given), make, groups, len(steps)).groupBy("_d", "_j", "_mod", "_level").agg(F.sum("cnt").alias("cnt"))
+    return _labelled(lookup(counted, datasets, ["_d"], "inner", row_bytes(2)), keys, chosen)
+
+
+def _labelled(counted, keys, chosen):
+    labels = F.array(*[F.struct(F.lit(n).alias("n_models"), F.lit(c).alias("model_combo"), F.lit(j).alias("combo_no")) for j, (_, n, c) in enumerate(chosen)])
+    return counted.withColumn("_label", F.get(labels, F.col("_j"))).select(*keys, "_label.*", "_mod", "_level", "cnt")
+
+
+def _joined_subset_levels(rows, keys, models, chosen, steps, offset, kind, value, null_policy):
+    """``_subset_levels`` with a row for each row and subset: all medians come from one sorted array a row, and subsets are datasets of their own."""
     marks = [f"_k_abs_{m}" for m in models] if kind == "both" else []
     if marks:
         rows = card_levels(rows, models, steps, [float(offset)], ("abs",), value, keys, null_policy, [*keys, "_mod", value, *models])
@@ -227,8 +314,7 @@ def _subset_levels(rows, keys, models, chosen, steps, offset, kind, value, null_
     levels = [F.when(member[i], F.least(f"_k_r{i}", marks[i]) if marks else F.col(f"_k_r{i}")).otherwise(len(steps)) for i in range(len(models))]
     level = F.least(*levels) if len(levels) > 1 else levels[0]
     counted = marked.groupBy(*keys, "_j", "_mod", level.alias("_level")).agg(F.count("*").alias("cnt"))
-    labels = F.array(*[F.struct(F.lit(n).alias("n_models"), F.lit(c).alias("model_combo"), F.lit(j).alias("combo_no")) for j, (_, n, c) in enumerate(chosen)])
-    return counted.withColumn("_label", F.get(labels, F.col("_j"))).select(*keys, "_label.*", "_mod", "_level", "cnt")
+    return _labelled(counted, keys, chosen)
 
 
 def _counted_subsets(marks, keys, hit, extra=()):

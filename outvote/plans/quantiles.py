@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import INF, between_ranks, clean_number
-from .batches import few, region_counts
+from .batches import few, made_values, region_counts, value_brackets
 from .levels import count_passed
 from .staging import lookup, row_bytes, stage
 
@@ -77,6 +77,26 @@ def exact_quantiles(df: DataFrame, keys, columns, qs, null_policy="poison", made
     else:
         given = (rows, [f"_v{i}" for i in range(len(columns))], None) if made is None else (numbered(made[0]), *made[1:])
         counts = stage(region_counts(given[0], known, *given[1:]))
+    return _answered(facts, counts, long, keys, columns, policies, width)
+
+
+def quantiles_in_batches(rows: DataFrame, columns, qs, names, make, null_policy="poison") -> DataFrame:
+    """``exact_quantiles`` of columns that numpy makes from others, per dataset number ``_d``; no more than ``batches.FEW`` datasets and columns.
+
+    ``make`` turns a list of the columns ``names`` of ``rows`` into the numbers of ``columns``. Brackets come from sorted batches too, and are
+    certain to hold their ranks.
+    """
+    columns, qs, ids = list(columns), [float(q) for q in qs], ["_d", "_c"]
+    facts = value_brackets(rows, names, make, qs)
+    slots = F.transform(_numbers(qs), lambda q: _slot(q, F.col("_v")))
+    facts = _with_edges(stage(facts.withColumn("_slots", F.when(F.col("_v") > 0, slots))))
+    counts = stage(region_counts(rows, facts.filter("_v > 0").select(*ids, "_edges", "_covered").collect(), names, make))
+    return _answered(facts, counts, made_values(rows, names, make), ["_d"], columns, dict.fromkeys(columns, null_policy), 2 * len(qs))
+
+
+def _answered(facts, counts, long, keys, columns, policies, width):
+    """The quantiles at the ranks of ``facts`` from the counts of their regions; ``long`` has all values, for ranks outside of their brackets."""
+    ids = ["_d", "_c"]
     state = facts.filter("_v > 0").select(*ids, F.lit(0).alias("_cell"), F.lit(0).cast("long").alias("_below"), "_ranks")
     regions = counts.groupBy(*ids, "_region").agg(
         F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.count("*").alias("_values"), F.first("_inside").alias("_inside")
@@ -119,8 +139,7 @@ def _sketched(rows, keys, qs):
 
     def facts_for(wanted, size):
         n, sketch, given = F.col("_v"), F.col("_sketch"), _numbers(wanted)
-        places = ("low", "high", "weight"), ("long", "long", "double")
-        slots = F.transform(given, lambda q: F.struct(*[v.cast(t).alias(k) for k, t, v in zip(*places, _place(q, n))]))
+        slots = F.transform(given, lambda q: _slot(q, n))
         error = _rank_error(size)
         reach = (ERRORS + 0.5) * error  # half an error for the wanted ranks' distance of 1 / n from the quantile
         below, above = (F.kll_sketch_get_quantile_double(sketch, _numbers(min(max(q + side, 0.0), 1.0) for q in wanted)) for side in (-reach, reach))
@@ -138,7 +157,10 @@ def _sketched(rows, keys, qs):
         made = facts_for(wanted, _sketch_size(len(wanted)))
         found = F.when(own, made) if found is None else found.when(own, made)
     facts = facts.withColumn("_found", found).select(*keys, "_d", "n_rows", "_c", "_v", "_found._slots", "_found._brackets")
-    facts = stage(facts)  # what follows is arithmetic on its few rows
+    return _with_edges(stage(facts))  # what follows is arithmetic on its few rows
+
+
+def _with_edges(facts):
     edges = F.array_sort(F.array_distinct(F.concat("_brackets.a", "_brackets.b")))
     ranks = F.array_sort(F.array_distinct(F.concat("_slots.low", "_slots.high")))
     facts = facts.withColumns({"_edges": edges, "_ranks": ranks})
@@ -186,6 +208,11 @@ def _place(q, n):
     return low, F.least(low + 1, n - 1), at - low
 
 
+def _slot(q, n):
+    places = ("low", "high", "weight"), ("long", "long", "double")
+    return F.struct(*[v.cast(t).alias(k) for k, t, v in zip(*places, _place(q, n))])
+
+
 def _counted(rows, by, part):
     """Size, smallest and largest value of each part."""
     return rows.groupBy(*by, part.alias("_part")).agg(F.sum("_w").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))

@@ -307,3 +307,32 @@ def test_predictions_are_dealt_to_all_tasks(spark, sf_dir):
     from suite.fixtures import predictions
 
     assert predictions(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("kind, policy", [("both", "skip")])
+def test_subsets_of_odd_rows_are_the_same_in_batches_and_joined(spark, monkeypatch, kind, policy):
+    """Missing and infinite numbers, zero denominators, ties and rows that come twice; no row is multiplied by subsets in the first plan."""
+    inf = float("inf")
+    odd = [None, NAN, inf, -inf, -1.5, 0.0, -0.0, 3.0]
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        numbers = [float(v) for v in rng.normal(2, 3, 5).round(1)]
+        if i % 3 == 0 and i % 2:  # the other dataset has no odd numbers
+            numbers[i % 5] = odd[i % 8]
+            numbers[(i // 5) % 5] = odd[(i // 7) % 8]
+        rows.append((i % 500, float(i % 2), numbers[0], 2.0, *numbers[1:]))
+    models = ["a", "b", "c", "d"]
+    df = small(spark, rows + rows[:50], models).repartition(3)
+    steps = [40.0, 10.0, 2.0]
+
+    def told():
+        stats = M.multi_model_stats(df, models=models, threshold=20.0, group_stat=kind, null_policy=policy)
+        levels = M._subset_levels(M._with_truth(df, "ref_values", "values", ["var_add"]), ["var_add"], models, M.subsets(models), steps, 1.5, kind, "values", policy)
+        return sorted(map(str, stats.collect())), sorted(map(str, levels.select(sorted(levels.columns)).collect()))
+
+    monkeypatch.setattr(M, "FEW", 0)
+    joined = told()
+    monkeypatch.undo()
+    monkeypatch.setattr(M, "_joined_subset_levels", lambda *a: pytest.fail("a row for each subset"))
+    assert told() == joined and len(joined[0]) == 15 * 2

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from outvote.plans import batches, quantiles
 from outvote.plans.levels import count_passed
 from outvote.plans.quantiles import exact_quantiles
 from outvote.plans.ranks import at_or_before, distributed_rank, draw_buckets, draw_key, rank_cuts, running_total
@@ -149,3 +150,26 @@ def test_batches_make_the_same_errors(spark, models, kinds):
     assert len(got) == len(names)
     for name, column in zip(names, got):
         np.testing.assert_array_equal(shown[name].to_numpy(dtype="float64"), column)
+
+
+@pytest.mark.parametrize("order", ["id", "rand(1)"])
+def test_brackets_of_thinned_summaries_hold_their_ranks(spark, monkeypatch, order):
+    """Values that come sorted too, in many small summaries; the exact quantiles need no second search."""
+    monkeypatch.setattr(batches, "POINTS", 16)
+    monkeypatch.setattr(batches, "HELD_VALUES", 100)
+    monkeypatch.setattr(batches, "BATCH_ROWS", 40)
+    monkeypatch.setattr(quantiles, "_searched", lambda *a: pytest.fail("a rank outside of its bracket"))
+    n, qs = 3000, [0.0, 0.013, 0.5, 0.95, 0.999, 1.0]
+    rows = spark.range(n, numPartitions=5).select((F.col("id") % 3).alias("_d"), ((F.col("id") * F.col("id")) % 1009).cast("double").alias("x"), "id").orderBy(F.expr(order))
+    make = lambda columns: [columns[0], np.where(columns[0] < 5, np.nan, columns[0] * -2.0), np.full(len(columns[0]), np.nan)]
+    brackets = {(r["_d"], r["_c"]): r for r in batches.value_brackets(rows, ["x"], make, qs).collect()}
+    assert len(brackets) == 9 and all(r["n_rows"] == n // 3 for r in brackets.values())
+    got = {p: {r["_d"]: r for r in quantiles.quantiles_in_batches(rows, ["a", "b", "c"], qs, ["x"], make, p).collect()} for p in ("skip", "poison")}
+    for d in range(3):
+        x = np.array([i * i % 1009 for i in range(d, n, 3)], float)
+        for c, values in enumerate([x, -2.0 * x[x >= 5]]):
+            want = np.quantile(values, qs)
+            assert got["skip"][d][2 + c] == list(want)
+            held = brackets[d, c]["_brackets"]
+            assert all(b["a"] <= w <= b["b"] for b, w in zip(held, want)) and held[2]["b"] - held[2]["a"] < np.ptp(values)
+        assert got["poison"][d]["a"] == got["skip"][d]["a"] and got["poison"][d]["b"] is None and got["skip"][d]["c"] is None
