@@ -23,6 +23,7 @@ from ..plans.staging import stage
 from .injection import kfold
 
 FITS_AT_ONCE = 4
+FIT_ROW_BYTES = 250  # of a row that Spark's trees hold in memory between their passes, besides its features
 PRODUCTS_OF = 12  # most features whose pairs get moments of their own
 
 
@@ -41,8 +42,9 @@ def oof_predict(df: DataFrame, features, label=VALUE, estimators=None, k=5, id_c
     """One prediction column per model; every row is predicted by models that never saw it.
 
     Folds are cut once and staged with one folder a fold, so a fit reads only its own. The k * m fits, each over the cluster,
-    are submitted by ``FITS_AT_ONCE`` threads, so that one fills the cores that another leaves idle. Factorization machines that
-    step by the gradient of all rows take it from moments, summed up once for all folds (``_factor_line``).
+    are submitted by up to ``FITS_AT_ONCE`` threads, so that one fills the cores that another leaves idle, but by no more than have room for
+    their rows in memory side by side: large fits fill the cores alone, and rows that do not stay in memory are read from disk in each of some
+    hundred passes. Factorization machines that step by the gradient of all rows take it from moments, summed up once for all folds (``_factor_line``).
     """
     estimators = estimators or default_estimators(seed)
     vectors = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
@@ -64,7 +66,7 @@ def oof_predict(df: DataFrame, features, label=VALUE, estimators=None, k=5, id_c
         return estimator.fit(folded.filter(F.col("fold") != fold), params)
 
     tasks = [(fold, name) for fold in range(k) for name in estimators]
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+    with ThreadPoolExecutor(_fits_at_once(folded, k, len(vectors.getInputCols()))) as pool:
         models = dict(zip(tasks, pool.map(fit, tasks)))
     parts = []
     for fold in range(k):
@@ -76,6 +78,16 @@ def oof_predict(df: DataFrame, features, label=VALUE, estimators=None, k=5, id_c
     return reduce(DataFrame.unionByName, parts)
 
 
+def _fits_at_once(folded, k, n_features):
+    """How many fits on k - 1 of k folds have their rows in the executors' memory for stored data at the same time, ``FITS_AT_ONCE`` at most."""
+    sizes, found = folded.sparkSession.sparkContext._jsc.sc().getExecutorMemoryStatus().values().iterator(), []
+    while sizes.hasNext():
+        found.append(sizes.next()._1())
+    memory = sum(found) * (len(found) - 1) // len(found) if len(found) > 1 else found[0]  # the driver of a cluster stores nothing
+    own = folded.count() * (k - 1) // k * (FIT_ROW_BYTES + 8 * n_features)
+    return max(1, min(FITS_AT_ONCE, memory // max(own, 1)))
+
+
 def _steps_by_all_rows(estimator):
     """Factorization machines whose steps depend on nothing but the mean gradient of all rows."""
     return type(estimator) is FMRegressor and estimator.getSolver() == "adamW" and estimator.getMiniBatchFraction() == 1.0 and not estimator.getRegParam()

@@ -303,3 +303,28 @@ def test_factorization_machines_from_moments_predict_as_spark_does(spark, monkey
     out = E.oof_predict(rows, ("a", "b", "c"), estimators={"factor": ours}, k=2)
     gap = theirs.transform(vectors.transform(out.filter("fold = 1"))).agg(F.max(F.abs(F.col("theirs") - F.col("factor"))).alias("gap"), F.count("*").alias("n")).first()
     assert gap["n"] == 200 and gap["gap"] < 1e-9
+
+
+@pytest.mark.parametrize("bytes_a_row, most", [(1 << 40, 1), (1, 4)])
+def test_no_more_fits_at_once_than_have_room_in_memory(spark, monkeypatch, bytes_a_row, most):
+    import threading
+    import time
+
+    class Counted(LinearRegression):
+        lock, now, seen = threading.Lock(), [], []
+
+        def _fit(self, data):
+            with self.lock:
+                self.now.append(1)
+                self.seen.append(len(self.now))
+            time.sleep(0.3)
+            try:
+                return super()._fit(data)
+            finally:
+                with self.lock:
+                    self.now.pop()
+
+    monkeypatch.setattr(E, "FIT_ROW_BYTES", bytes_a_row)
+    rows = spark.range(60).select(F.col("id").alias("entry_id"), F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("values"))
+    out = E.oof_predict(rows, ("x",), estimators={"a": Counted(), "b": Counted()}, k=3)
+    assert out.count() == 60 and len(Counted.seen) == 6 and min(2, most) <= max(Counted.seen) <= most
